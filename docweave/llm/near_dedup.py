@@ -13,8 +13,10 @@
    Jaccard similarity of the full sets does.
 4. Components of the links follow from min-label propagation with pointer
    jumping. Members of one list that are still in different components are
-   then paired with each other, so no link between components is missed, and
-   a group of near copies never emits all its pairs.
+   then held against each other, so no link between components is missed, and
+   a group of near copies never emits all its pairs: a pair leaves the join
+   only if the parity bitmaps of the two sketches differ in no more bits than
+   two sets of the required similarity can.
 
 Nulls: a null text is an empty text; an empty set links with nothing. Rows
 with one id count as one document. A row with a null id may belong to a group
@@ -36,6 +38,8 @@ from ._scratch import cut, release
 from ._words import NOT_SPACE, blocks, shingles
 
 _BITS = 1 << 20
+_WORDS = 8  # 64-bit words of a parity bitmap
+_Z = 4.75  # standard deviations: a chance below one in a million
 
 
 def _sets(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -55,20 +59,25 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
 
 def sketches(docs: DataFrame, width: int, k: int) -> DataFrame:
     """doc_id, n (size of the set), digest (of the whole set), sketch (its k
-    smallest values, ascending)."""
+    smallest values, ascending), bits (of each value one of 512 bits is turned,
+    so two bitmaps differ in at most as many bits as the sketches in values)."""
 
     def run(batches):
         for whole in batches:
             for at in range(0, whole.num_rows, 2048):
                 batch = whole.slice(at, 2048)
-                n, digest, sketch = [], [], []
+                n, digest, sketch, bits = [], [], [], []
                 for _, s in _sets(batch, width):
                     n.append(len(s))
                     digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                     sketch.append(s[:k])
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), _lists(sketch)], ["doc_id", "n", "digest", "sketch"])
+                    odd = np.bincount((s[:k] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(55)).astype(np.int64), minlength=64 * _WORDS) & 1
+                    bits.append(np.packbits(odd.astype(np.uint8)).view(np.uint64))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), _lists(sketch), _lists(bits)], ["doc_id", "n", "digest", "sketch", "bits"]
+                )
 
-    return docs.mapInArrow(run, "doc_id long, n long, digest binary, sketch array<long>")
+    return docs.mapInArrow(run, "doc_id long, n long, digest binary, sketch array<long>, bits array<long>")
 
 
 def _full_sets(docs: DataFrame, width: int, bits: np.ndarray) -> DataFrame:
@@ -133,42 +142,49 @@ def _frequent(classes: DataFrame, at_most: int = 1 << 18) -> tuple[np.ndarray, n
     return v[order], c[order]
 
 
-def _least_overlap(k: int, num: int, den: int) -> int:
-    """Shared values of the sketches of two sets of the required similarity,
-    but for a chance below one in a million."""
-    p = num / den
-    return max(1, math.floor(k * p - 4.75 * math.sqrt(k * p * (1 - p))))
+def _least_overlap(n: np.ndarray, k: int, num: int, den: int) -> np.ndarray:
+    """Values that the sketch of a set of size ``n`` shares with that of any
+    set of the required similarity. While both sketches must be whole sets it
+    is exact; else the shared values of the union's sketch are a draw without
+    replacement from a union of at most n / t values, and fewer than this come
+    with a chance below one in a million."""
+    t = num / den
+    free = np.maximum(0, 1 - k * t / np.maximum(n, 1))
+    drawn = np.floor(k * t - _Z * np.sqrt(k * t * (1 - t) * free))
+    sure = -(-np.minimum(n, k) * num // den)
+    return np.where(n * den <= k * num, sure, np.minimum(sure, drawn)).astype(np.int64)
 
 
 def _prefixes(classes: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """v, rep, n: the values through which a class can meet its links."""
+    """v, rep, n, need (see above): the values through which a class can meet its
+    links."""
     hot, count = _frequent(classes)
-    least = _least_overlap(k, num, den)
 
     def run(batches):
         for b in batches:
             sketch, ptr = b.column(2).flatten().to_numpy(), b.column(2).offsets.to_numpy()
-            sketch, ptr = sketch, ptr - ptr[0]
+            ptr = ptr - ptr[0]
             if len(hot):
                 at = np.minimum(np.searchsorted(hot, sketch), len(hot) - 1)
                 rank = np.where(hot[at] == sketch, count[at], 0)
             else:
                 rank = np.zeros(len(sketch), np.int64)
             size = np.diff(ptr)
-            take = size - np.minimum(-(-size * num // den), least) + 1
-            take = np.where(size > 0, take, 0)
+            need = _least_overlap(b.column(1).to_numpy(), k, num, den)
+            take = np.where(size > 0, size - need + 1, 0)
             order = np.lexsort((sketch, rank, np.repeat(np.arange(len(size)), size)))
             place = np.arange(len(sketch)) - np.repeat(ptr[:-1], size)
             chosen = order[place < np.repeat(take, size)]
             rows = np.repeat(np.arange(len(size)), take)
-            yield pa.RecordBatch.from_arrays([pa.array(sketch[chosen]), b.column(0).take(pa.array(rows)), b.column(1).take(pa.array(rows))], ["v", "rep", "n"])
+            columns = [pa.array(sketch[chosen]), b.column(0).take(pa.array(rows)), b.column(1).take(pa.array(rows)), pa.array(need[rows].astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, ["v", "rep", "n", "need"])
 
-    return classes.select("rep", "n", "sketch").mapInArrow(run, "v long, rep long, n long")
+    return classes.select("rep", "n", "sketch").mapInArrow(run, "v long, rep long, n long, need int")
 
 
 def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, k: int, num: int, den: int) -> DataFrame:
     """a, b: those of the distinct pairs whose full sets reach the threshold."""
-    slack = 4.75 * math.sqrt(num / den * (1 - num / den) / k)
+    slack = _Z * math.sqrt(num / den * (1 - num / den) / k)
     of = lambda side: classes.select(F.col("rep").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"s_{side}"))
     both = F.size(F.array_intersect("s_a", "s_b"))
     whole = (F.col("n_a") <= k) & (F.col("n_b") <= k)
@@ -211,7 +227,7 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100, k: int = 128) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100, k: int = 192) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, for every row of ``docs``.
 
     Rows are linked where ``den * |A & B| >= num * |A | B|`` on their sets of
@@ -219,7 +235,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     base = cut(sketches(texts, width, k), "sketches")
-    grouped = base.where("n > 0").groupBy("digest", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min_by("sketch", "doc_id").alias("sketch"))
+    grouped = base.where("n > 0").groupBy("digest", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min_by(F.struct("sketch", "bits"), "doc_id").alias("s")).select("digest", "n", "rep", "copies", "s.*")
     classes = cut(grouped.where("rep is not null"), "classes")
     prefixes = _prefixes(classes, k, num, den)
     ends = prefixes.groupBy("v").agg(F.min(F.struct("rep", "n")).alias("low"), F.max(F.struct("rep", "n")).alias("high")).where("low.rep < high.rep")
@@ -230,11 +246,16 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     links = _links(tried, classes, texts, width, k, num, den)
     labels = components(links)
 
-    placed = members.select("v", "rep", "n").join(labels.select(F.col("node").alias("rep"), "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    placed = members.select("v", "rep", "n", "need").join(labels.select(F.col("node").alias("rep"), "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     mixed = placed.groupBy("v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("v")
-    open_ = cut(placed.join(mixed, "v"), "open")
-    x, y = (open_.select("v", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "n", "comp"))) for s in "xy")
-    rest = x.join(y, "v").where((F.col("rep_x") < F.col("rep_y")) & (F.col("comp_x") != F.col("comp_y")) & near(F.col("n_x"), F.col("n_y")))
+    open_ = cut(placed.join(mixed, "v").join(classes.select("rep", "bits"), "rep"), "open")
+    x, y = (open_.select("v", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "n", "need", "comp", "bits"))) for s in "xy")
+    n_x, n_y = F.col("n_x"), F.col("n_y")
+    whole = (n_x <= k) & (n_y <= k)
+    shared = F.when(whole, F.ceil((n_x + n_y) * num / (num + den))).otherwise(F.greatest("need_x", "need_y"))
+    differ = sum((F.bit_count(F.col("bits_x")[i].bitwiseXOR(F.col("bits_y")[i])) for i in range(_WORDS)), F.lit(0))
+    may = (F.col("rep_x") < F.col("rep_y")) & (F.col("comp_x") != F.col("comp_y")) & near(n_x, n_y) & (differ <= F.least(n_x, F.lit(k)) + F.least(n_y, F.lit(k)) - 2 * shared)
+    rest = x.join(y, "v").where(may)
     rest = cut(rest.select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "rest")
     more = _links(rest, classes, texts, width, k, num, den)
     labels = components(links.union(more))
