@@ -44,27 +44,27 @@ PATTERNS = {
 KINDS = tuple(PATTERNS)
 
 
-def _prf(key: Column, label: str, i: int, value: Column, size: Column) -> Column:
+def _prf(key: Column, label: str, i: Column, value: Column, size: Column) -> Column:
     """60 bits of a keyed SHA-256, as a number."""
-    said = F.concat_ws("|", key, F.lit(label), F.lit(i), size.cast("string"), value.cast("string"))
+    said = F.concat_ws("|", key, F.lit(label), i.cast("string"), size.cast("string"), value.cast("string"))
     return F.conv(F.substring(F.sha2(said, 256), 1, 15), 16, 10).cast("long")
 
 
-def _feistel(left: Column, right: Column, mod_left: Column, mod_right: Column, key: Column, label: str, undo: bool) -> tuple[Column, Column]:
-    """Two numbers below their moduli, permuted together."""
-    pair = F.struct(left.cast("long").alias("l"), right.cast("long").alias("r"))
-    size = mod_left + mod_right
-    sign = -1 if undo else 1
+def _feistel(left: Column, right: Column, mod_left: Column, mod_right: Column, key: Column, label: str, undo: bool) -> Column:
+    """A struct of two numbers below their moduli, permuted together: even
+    rounds change the left one, odd rounds the right one."""
+    size, sign = mod_left + mod_right, -1 if undo else 1
 
-    def left_step(i: int) -> Callable[[Column], Column]:
-        return lambda p: F.struct(F.pmod(p["l"] + sign * F.pmod(_prf(key, label, i, p["r"], size), mod_left), mod_left).alias("l"), p["r"].alias("r"))
+    def turn(p: Column, i: Column) -> Column:
+        even = i % 2 == 0
+        mod = F.when(even, mod_left).otherwise(mod_right)
+        by = F.pmod(_prf(key, label, i, F.when(even, p["r"]).otherwise(p["l"]), size), mod)
+        new = F.pmod(F.when(even, p["l"]).otherwise(p["r"]) + sign * by, mod)
+        return F.struct(F.when(even, new).otherwise(p["l"]).alias("l"), F.when(even, p["r"]).otherwise(new).alias("r"))
 
-    def right_step(i: int) -> Callable[[Column], Column]:
-        return lambda p: F.struct(p["l"].alias("l"), F.pmod(p["r"] + sign * F.pmod(_prf(key, label, i, p["l"], size), mod_right), mod_right).alias("r"))
-
-    for i in reversed(range(ROUNDS)) if undo else range(ROUNDS):
-        pair = let(pair, right_step(i) if i % 2 else left_step(i))
-    return pair["l"], pair["r"]
+    start = F.struct(left.cast("long").alias("l"), right.cast("long").alias("r"))
+    rounds = F.array(*(F.lit(i) for i in (reversed(range(ROUNDS)) if undo else range(ROUNDS))))
+    return F.reduce(rounds, start, turn)
 
 
 def permute_digits(digits: Column, key: Column, label: str, undo: bool = False) -> Column:
@@ -72,8 +72,8 @@ def permute_digits(digits: Column, key: Column, label: str, undo: bool = False)
     half = F.floor(F.length(digits) / 2).cast("int")
     rest = F.length(digits) - half
     a, b = F.substring(digits, F.lit(1), half), F.substring(digits, half + 1, rest)
-    l, r = _feistel(a, b, F.pow(F.lit(10.0), half).cast("long"), F.pow(F.lit(10.0), rest).cast("long"), key, label, undo)
-    return F.concat(F.lpad(l.cast("string"), half, "0"), F.lpad(r.cast("string"), rest, "0"))
+    both = _feistel(a, b, F.pow(F.lit(10.0), half).cast("long"), F.pow(F.lit(10.0), rest).cast("long"), key, label, undo)
+    return let(both, lambda p: F.concat(F.lpad(p["l"].cast("string"), half, "0"), F.lpad(p["r"].cast("string"), rest, "0")))
 
 
 def luhn_digit(digits: Column) -> Column:
@@ -127,8 +127,8 @@ def _ip(v: Column, key: Column, undo: bool) -> Column:
 
     def body(o: Column) -> Column:
         n = lambda i: F.get(o, i).cast("long")
-        l, r = _feistel(n(0) * 256 + n(1), n(2) * 256 + n(3), mod, mod, key, "ip", undo)
-        return F.concat_ws(".", *((F.floor(x / 256) if high else x % 256).cast("string") for x in (l, r) for high in (True, False)))
+        both = _feistel(n(0) * 256 + n(1), n(2) * 256 + n(3), mod, mod, key, "ip", undo)
+        return let(both, lambda p: F.concat_ws(".", *((F.floor(p[x] / 256) if high else p[x] % 256).cast("string") for x in "lr" for high in (True, False))))
 
     return let(F.split(v, "\\."), body)
 
@@ -139,11 +139,15 @@ def _date(v: Column, key: Column, undo: bool) -> Column:
     def walk(day: Column) -> Column:
         # a cycle that leaves the days comes back after 1 / 0.73 steps on average; it
         # is walked until it does, 40 steps for all but one day in 10**22
-        one = lambda n: permute_digits(F.lpad(n.cast("string"), 6, "0"), key, "date", undo).cast("int")
-        return F.reduce(F.sequence(F.lit(1), F.lit(40)), one(day), lambda n, _: F.when(n < _DAYS, n).otherwise(one(n)))
+        mod = F.lit(1000).cast("long")
+
+        def one(n: Column) -> Column:
+            return let(_feistel(F.floor(n / 1000), n % 1000, mod, mod, key, "date", undo), lambda p: p["l"] * 1000 + p["r"])
+
+        return F.reduce(F.sequence(F.lit(1), F.lit(40)), one(day.cast("long")), lambda n, _: F.when(n < _DAYS, n).otherwise(one(n)))
 
     def body(date: Column) -> Column:
-        return F.when(date.isNull(), v).otherwise(let(walk(F.datediff(date, first)), lambda n: F.when(n < _DAYS, F.date_format(F.date_add(first, n), "yyyy-MM-dd")).otherwise("0000-00-00")))
+        return F.when(date.isNull(), v).otherwise(let(walk(F.datediff(date, first)), lambda n: F.when(n < _DAYS, F.date_format(F.date_add(first, n.cast("int")), "yyyy-MM-dd")).otherwise("0000-00-00")))
 
     return let(F.try_to_date(v, "yyyy-MM-dd"), body)
 
