@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from .registry import ORACLE_SQL, QUERIES
+from .suite import aggregates, chunking, guards, joins, procedures, retrieval, scalars, sinks, sources, sqlsurface, streams, windows
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES", "aggregates", "chunking", "guards", "joins", "procedures", "retrieval", "scalars", "sinks", "sources", "sqlsurface", "streams", "windows"]
