@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .aggregates import BLOCK_AT, WARN_AT
 
@@ -74,7 +75,7 @@ def has_instruction_verb(text: Column) -> Column:
     return text.rlike("(?i)" + VERBS)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normalise(text):  # noqa: ANN001, ANN201
     """NFKC, no zero-width characters, HTML entities and code fences undone.
     Spark has no Unicode normalisation, so this runs over Arrow batches."""
