@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import struct
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -50,7 +51,8 @@ class Merger:
         left = np.array([self.vocab[a] for a, _ in pairs], np.int64)
         right = np.array([self.vocab[b] for _, b in pairs], np.int64)
         made = np.array([self.vocab[a + b] for a, b in pairs], np.int64)
-        self.rank = {(a, b): (i, m) for i, (a, b, m) in enumerate(zip(left.tolist(), right.tolist(), made.tolist()))}
+        #: rank and result of the merge of a pair, in one number that orders by rank
+        self.rank = {(a, b): i << 32 | m for i, (a, b, m) in enumerate(zip(left.tolist(), right.tolist(), made.tolist()))}
         key = left * n + right
         self._order = np.argsort(key)
         self._keys, self._n = key[self._order], n
@@ -70,6 +72,11 @@ class Merger:
                 if not self.suffix:
                     self._inner[text] = i
                 self._longest = max(self._longest, len(text))
+        #: the longest token that starts with three characters
+        self._reach: dict[str, int] = {}
+        for t in self._inner:
+            if len(t) > 2:
+                self._reach[t[:3]] = max(self._reach.get(t[:3], 0), len(t))
 
     def _merge(self, word: str, final: bool = True) -> list[int]:
         """The tokens of a word by exact merging: lowest rank first, leftmost
@@ -77,25 +84,34 @@ class Merger:
         parts = list(word)
         if final and parts:
             parts[-1] += self.suffix
-        ids = [self.vocab[p] for p in parts]
-        while len(ids) > 1:
-            best = min((r[0], i) for i, r in ((i, self.rank.get(p, (_NONE, 0))) for i, p in enumerate(zip(ids, ids[1:]))))
-            if best[0] == _NONE:
+        ids = list(map(self.vocab.__getitem__, parts))
+        rank = self.rank.get
+        none = 1 << 62
+        ranks = [rank(pair, none) for pair in zip(ids, ids[1:])]
+        while ranks:
+            best = min(ranks)
+            if best == none:
                 break
-            at = best[1]
-            ids[at : at + 2] = [self.rank[ids[at], ids[at + 1]][1]]
+            at = ranks.index(best)
+            ids[at : at + 2] = [best & 0xFFFFFFFF]
+            del ranks[at]
+            if at:
+                ranks[at - 1] = rank((ids[at - 1], ids[at]), none)
+            if at < len(ranks):
+                ranks[at] = rank((ids[at], ids[at + 1]), none)
         return ids
 
     def _propose(self, word: str) -> list[int] | None:
         """Greedy longest match; None if it stops before the end."""
         out, at, n = [], 0, len(word)
-        inner, final, longest = self._inner, self._final, self._longest
+        inner, final, longest, reach = self._inner.get, self._final.get, self._longest, self._reach.get
         while at < n:
-            if n - at <= longest and (t := final.get(word[at:])) is not None:
+            left = n - at
+            if left <= longest and (t := final(word[at:])) is not None:
                 out.append(t)
                 return out
-            for size in range(min(longest, n - at - 1), 0, -1):
-                if (t := inner.get(word[at : at + size])) is not None:
+            for size in range(min(reach(word[at : at + 3], 2), left - 1), 0, -1):
+                if (t := inner(word[at : at + size])) is not None:
                     out.append(t)
                     at += size
                     break
@@ -141,7 +157,7 @@ class Tokenizer:
     """Ids and decoded text as the tokenizers library gives them, for BPE files
     that normalise by NFC, white space and lower case and split by a pattern."""
 
-    def __init__(self, path: str, cache_words: int = 1 << 17):
+    def __init__(self, path: str, cache_chunks: int = 1 << 19, cache_words: int = 1 << 18):
         from tokenizers import Tokenizer as Library
 
         with open(path, encoding="utf-8") as f:
@@ -159,54 +175,82 @@ class Tokenizer:
         self._cut = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
         self._rare = re.compile("[^\\t\\n\\r\\x20-\\x7e\\u00a1-\\u012f\\u0132-\\u017f]")
         letters = "a-zªµºß-öø-ÿĀ-ſ"
-        self._words = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[0-9²³¹¼½¾]|[^\\s{letters}0-9²³¹¼½¾]+").findall
+        self._words = re.compile(f"[{letters}]+|[0-9²³¹¼½¾]|'(?:s|t|re|ve|m|ll|d)|[^\\s{letters}0-9²³¹¼½¾]+").findall
         self._bytes = {b: c for c, b in _byte_of().items()}
-        self._cache: dict[str, tuple[bytes, str]] = {}
-        self._size = cache_words
+        #: ids and decoded text of words, and of chunks between white space
+        self._word_ids: dict[str, bytes] = {}
+        self._word_text: dict[str, str] = {}
+        self._ids: dict[str, bytes] = {}
+        self._text: dict[str, str] = {}
+        self._size = (cache_chunks, cache_words)
 
-    def _split(self, text: str) -> list[str]:
-        if not self._rare.search(text):
-            return self._words(text.lower())
+    def _rare_words(self, text: str) -> list[str]:
+        """Words of a text of any characters, by the library's own parts."""
         normal = self._library.normalizer.normalize_str(text)
-        # the splitter already gives byte-level characters; taken back to have one kind of key
         back = _byte_of()
         return [bytes(back[c] for c in w).decode() for w, _ in self._library.pre_tokenizer.pre_tokenize_str(normal)]
 
-    def _learn(self, words: set[str]) -> None:
-        new = list(words)
-        as_bytes = ["".join(self._bytes[b] for b in w.encode()) for w in new]
+    def _know(self, words: set[str]) -> None:
+        new = list(words.difference(self._word_ids))
+        if not new:
+            return
+        turn = self._bytes.__getitem__
         tokens = self.merger.tokens
-        for w, ids in zip(new, self.merger.encode(as_bytes)):
-            self._cache[w] = (np.array(ids, "<u4").tobytes(), " ".join(tokens[i] for i in ids))
+        for w, ids in zip(new, self.merger.encode([w if w.isascii() and w.isalnum() else "".join(map(turn, w.encode())) for w in new])):
+            self._word_ids[w] = struct.pack(f"<{len(ids)}I", *ids)
+            self._word_text[w] = " ".join([tokens[i] for i in ids])
+
+    def _learn(self, chunks: set[str]) -> None:
+        split = {c: self._words(c) for c in chunks}
+        self._know(set().union(*split.values()))
+        ids, text = self._word_ids.__getitem__, self._word_text.__getitem__
+        for c, words in split.items():
+            self._ids[c] = b"".join(map(ids, words))
+            self._text[c] = " ".join(map(text, words))
+
+    @staticmethod
+    def _trim(size: int, *caches: dict) -> None:
+        """Entries that came late go: frequent words are met early."""
+        if len(caches[0]) > size:
+            for key in list(caches[0])[size // 2 :]:
+                for c in caches:
+                    del c[key]
 
     def encode(self, texts: list[str | None]) -> Iterator[tuple[bytes, str]]:
         """For each text (none: empty) its ids as unsigned 32-bit integers, and
         the decoded text; unknown words of all the texts are learnt at once."""
-        parts: list[list[str | int]] = []
+        self._trim(self._size[0], self._ids, self._text)
+        self._trim(self._size[1], self._word_ids, self._word_text)
+        # plain texts as chunks; others as a list of words and special ids
+        plain: list[list[str] | None] = []
+        other: dict[int, list[str | int]] = {}
         unknown: set[str] = set()
-        for text in texts:
-            if self._cut and text and self._cut.search(text):
-                split: list = []
-                for piece in self._cut.split(text):
-                    split += [self._special[piece]] if piece in self._special else self._split(piece) if piece else []
-                unknown.update(w for w in split if isinstance(w, str))
+        words: set[str] = set()
+        for n, text in enumerate(texts):
+            if not text or not (self._rare.search(text) or (self._cut and self._cut.search(text))):
+                chunks = text.lower().split() if text else []
+                unknown.update(chunks)
+                plain.append(chunks)
+                continue
+            split: list[str | int] = []
+            for piece in self._cut.split(text) if self._cut else [text]:
+                split += [self._special[piece]] if piece in self._special else self._rare_words(piece)
+            words.update(w for w in split if isinstance(w, str))
+            plain.append(None)
+            other[n] = split
+        self._know(words)
+        self._learn(unknown.difference(self._ids))
+        named = {v: k for k, v in self._special.items()}
+        ids_of, text_of = self._ids.__getitem__, self._text.__getitem__
+        for n, chunks in enumerate(plain):
+            if chunks is not None:
+                yield b"".join(map(ids_of, chunks)), " ".join(map(text_of, chunks))
             else:
-                split = self._split(text) if text else []
-                unknown.update(split)
-            parts.append(split)
-        new = unknown.difference(self._cache)
-        if len(self._cache) + len(new) > self._size:
-            self._cache.clear()
-            new = unknown
-        if new:
-            self._learn(new)
-        tokens = {v: k for k, v in self._special.items()}
-        for split in parts:
-            try:
-                pairs = list(map(self._cache.__getitem__, split))
-            except KeyError:
-                pairs = [self._cache[w] if isinstance(w, str) else (np.array([w], "<u4").tobytes(), tokens[w]) for w in split]
-            yield b"".join([p[0] for p in pairs]), " ".join([p[1] for p in pairs])
+                split = other[n]
+                yield (
+                    b"".join(self._word_ids[w] if isinstance(w, str) else struct.pack("<I", w) for w in split),
+                    " ".join(self._word_text[w] if isinstance(w, str) else named[w] for w in split),
+                )
 
 
 _kept: dict[str, Tokenizer] = {}
