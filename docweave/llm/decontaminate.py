@@ -251,7 +251,7 @@ def find_windows(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, id_
             (F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= s["start"]),
             F.concat(
                 F.slice(acc, 1, F.size(acc) - 1),
-                F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end"))),
+                F.array(F.named_struct(F.lit("start"), F.element_at(acc, -1)["start"], F.lit("end"), F.greatest(F.element_at(acc, -1)["end"], s["end"]))),
             ),
         ).otherwise(F.concat(acc, F.array(s))),
     )
