@@ -1,7 +1,7 @@
 """Cutting lineage with tables in the shared folder, and giving their space back.
 
 The folder is what the session names in ``spark.checkpoint.dir``; only where
-that is unset (tests on one machine) a temporary folder is made and set.
+that is unset (tests on one machine) a temporary folder is made.
 """
 
 from __future__ import annotations
@@ -15,15 +15,22 @@ from pyspark.sql import DataFrame, SparkSession
 _KEY = "spark.checkpoint.dir"
 
 
+#: folders made for sessions that name none, by application
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, without a trailing slash."""
-    found = spark.sparkContext.getConf().get(_KEY) or spark.conf.get(_KEY, None)
+    """The folder that driver and executors share, with its scheme, so that
+    Spark and other readers mean the same store."""
+    sc = spark.sparkContext
+    found = sc.getConf().get(_KEY) or spark.conf.get(_KEY, None)
     if not found:
-        if not spark.sparkContext.master.startswith("local"):
+        if not sc.master.startswith("local"):
             raise ValueError(f"set {_KEY} to a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="docweave-")
-        spark.conf.set(_KEY, found)
-    return found.rstrip("/")
+        found = _own.setdefault(sc.applicationId, tempfile.mkdtemp(prefix="docweave-"))
+    p = sc._jvm.org.apache.hadoop.fs.Path(found)
+    full = p.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(p).toString().rstrip("/")
+    return full.replace("file:/", "file:///", 1) if full.startswith("file:/") and not full.startswith("file://") else full
 
 
 def new_path(spark: SparkSession, kind: str) -> str:
