@@ -21,10 +21,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group (five-word shingles, similarity of 0.8 or more) the row
-    with the smallest id stays; so do rows without words, which link with none."""
+    with the smallest id stays; so do rows without words, which link with none,
+    and rows without an id. Rows that share an id are one document: one stays."""
     groups = near_dedup.near_duplicates(docs, width=5, num=80, den=100)
     gone = cut(groups.where("not kept and doc_id is not null").select("doc_id").distinct(), "gone")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return kept
+    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
