@@ -1,7 +1,7 @@
 """Sharding by vector bin packing: bytes, tokens and rows balanced jointly.
 
 Rows with equal texts form a group and stay together, unless the group alone
-is more than a tenth of a shard in some measure; then it is dealt in pieces by
+is more than half a shard in some measure; then it is dealt in pieces by
 a hash of the id. Small groups are gathered by a hash into a fixed number of
 bundles. So what is packed is at most ``bundles`` vectors and as many large
 pieces, whatever the table's size. They are placed largest first, each in the
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ._scratch import cut
 
-_SHARE = 10  # a group of over a tenth of a shard is dealt in pieces
+_SHARE = 2  # a group of over half a shard is dealt in pieces
 
 
 def pack(vectors: np.ndarray, shards: int) -> np.ndarray:
