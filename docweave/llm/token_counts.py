@@ -86,6 +86,7 @@ class Counter:
             raise ValueError("a vocabulary with pieces across words or of users isn't supported")
         self.by_bytes = any(kind == 6 for _, _, kind in found)
         self.unknown = np.float32(min(s for _, s in normal) - 10)
+        self._whole = all(s == int(s) <= 0 for _, s in normal)
         self._automaton = ahocorasick.Automaton()
         for p, s in normal:
             self._automaton.add_word(p, (len(p), s))
@@ -98,23 +99,48 @@ class Counter:
         """Pieces on the best path of one word."""
         n = len(word)
         ends: list[list[tuple[int, float]]] = [[] for _ in range(n)]
-        for end, piece in self._automaton.iter(word):
+        for end, piece in self._automaton.iter(word):  # at each end the longest piece first
             ends[end].append(piece)
-        best, count, f32 = [np.float32(0)] * (n + 1), [0] * (n + 1), np.float32
-        for end in range(1, n + 1):
-            top, pieces_, single = None, 0, False
-            for size, score in sorted(ends[end - 1], reverse=True):
-                single = single or size == 1
-                total = best[end - size] + f32(score)
+        if self._whole and all(found and found[-1][0] == 1 for found in ends):
+            total, pieces_ = self._plain(ends)
+            # whole numbers above -2**24 add up alike in 32 bits and in 64; scores
+            # are not positive, so then all on the best path and all its rivals do,
+            # but for paths so bad that no rounding makes them rivals
+            if total > -(1 << 24):
+                return pieces_
+        number = np.float32
+        best, count, unknown = [number(0)] * (n + 1), [0] * (n + 1), number(self.unknown)
+        for end, found in enumerate(ends, 1):
+            top, pieces_ = None, 0
+            for size, score in found:
+                total = best[end - size] + number(score)
                 if top is None or total > top:
                     top, pieces_ = total, count[end - size] + 1
-            if not single:
-                total = best[end - 1] + self.unknown
+            if not found or found[-1][0] != 1:
+                total = best[end - 1] + unknown
                 if top is None or total > top:
                     top, pieces_ = total, count[end - 1] + (len(word[end - 1].encode()) if self.by_bytes else 1)
             best[end], count[end] = top, pieces_
         return count[n]
 
+    @staticmethod
+    def _plain(ends: list[list[tuple[int, float]]]) -> tuple[float, int]:
+        """Total and pieces of the best path, where every character is a piece."""
+        best, count = [0.0], [0]
+        for end, found in enumerate(ends, 1):
+            if len(found) == 1:
+                best.append(best[-1] + found[0][1])
+                count.append(count[-1] + 1)
+                continue
+            top = None
+            for size, score in found:
+                total = best[end - size] + score
+                if top is None or total > top:
+                    top, at = total, end - size
+            best.append(top)
+            count.append(count[at] + 1)
+        return best[-1], count[-1]
+
     def count(self, text: str | None) -> int:
         if not text:
             return 0
