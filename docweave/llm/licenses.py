@@ -12,6 +12,8 @@ once has one row for it and each kind of unit.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -122,10 +124,30 @@ def canonical(text: Column) -> Column:
 
 
 def known_licenses(spark: SparkSession, texts: dict[str, list[str]] | None = None) -> DataFrame:
-    """license, digest, n_words: one row for each known text."""
+    """license, digest, anchor: one row for each known text. The anchor is its
+    longest word that no other spelling stands for, so every text of the same
+    normal form has it too."""
     rows = [(name, t) for name, ts in (texts or KNOWN).items() for t in ts]
     form = spark.createDataFrame(rows, "license string, text string").select("license", canonical(F.col("text")).alias("form"))
-    return form.select("license", F.sha2(F.col("form").cast("binary"), 256).alias("digest"), F.size(F.split("form", " ")).alias("n_words")).distinct()
+    respelled = sorted({w for v in EQUIVALENT.values() for w in v.split()})
+    firm = F.filter(F.split("form", " "), lambda w: ~w.isin(*respelled))
+    longest = F.array_max(F.transform(firm, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    return form.select("license", F.sha2(F.col("form").cast("binary"), 256).alias("digest"), longest.alias("anchor")).distinct()
+
+
+#: anchors up to which texts without any of them are left out before all else
+ANCHORS = 64
+
+
+def _may_match(text: Column, lookup: DataFrame) -> Column:
+    """Whether a text has an anchor of some known one; true where one has none."""
+    if "anchor" not in lookup.columns:
+        return F.lit(True)
+    anchors = [r["anchor"] for r in lookup.select("anchor").distinct().limit(ANCHORS + 1).collect()]
+    if len(anchors) > ANCHORS or None in anchors:
+        return F.lit(True)
+    low = F.lower(text)
+    return reduce(lambda x, y: x | y, (F.contains(low, F.lit(a)) for a in anchors), F.lit(False))
 
 
 #: known texts for which the digests are sent to every executor (about 100 bytes each)
@@ -149,7 +171,9 @@ def scan(docs: DataFrame, *, known: DataFrame | None = None, id_col: str = "doc_
             F.expr("cast(array() as array<struct<unit:string,part:string>>)")
         ),
     )
-    parts = docs.select(F.col(id_col).alias("doc_id"), text_col if text_col == "text" else F.col(text_col).alias("text")).where(text.isNotNull()).select("doc_id", F.explode(units).alias("u"))
+    parts = docs.select(F.col(id_col).alias("doc_id"), text_col if text_col == "text" else F.col(text_col).alias("text"))
+    likely = _may_match(text, lookup)
+    parts = parts.where(text.isNotNull() & likely).select("doc_id", F.explode(units).alias("u")).where(_may_match(F.col("u.part"), lookup))
     digests = parts.select("doc_id", "u.unit", F.sha2(canonical(F.col("u.part")).cast("binary"), 256).alias("digest"))
     by_digest = lookup.select("digest", "license")
     found = digests.join(F.broadcast(by_digest) if bounded else by_digest, "digest")
