@@ -8,7 +8,8 @@
    one in a million at the threshold itself, and far below above it). So they
    share one of the ``s - c + 1`` first values in any common order; with
    frequent values last, the inverted lists of shared passages stay out.
-3. Every list links its members to two pivots. A pair passes if the estimate
+3. Every list links its members to two pivots, and lists that then still have
+   members of several components to eight more. A pair passes if the estimate
    from the union's sketch may reach the threshold, and is a link if the
    Jaccard similarity of the full sets does.
 4. Components of the links follow from min-label propagation with pointer
@@ -39,6 +40,7 @@ from ._words import NOT_SPACE, blocks, shingles
 
 _BITS = 1 << 20
 _WORDS = 8  # 64-bit words of a parity bitmap
+_PIVOTS = 8  # drawn for each list that is still mixed
 _Z = 4.75  # standard deviations: a chance below one in a million
 
 
@@ -246,23 +248,48 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     links = _links(tried, classes, texts, width, k, num, den)
     labels = components(links)
 
-    placed = members.select("v", "rep", "n", "need").join(labels.select(F.col("node").alias("rep"), "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    mixed = placed.groupBy("v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("v")
-    open_ = cut(placed.join(mixed, "v").join(classes.select("rep", "bits"), "rep"), "open")
-    x, y = (open_.select("v", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "n", "need", "comp", "bits"))) for s in "xy")
+    def mixed(rows: DataFrame, labels: DataFrame) -> DataFrame:
+        """The rows with their components, of lists that still have several."""
+        placed = rows.join(labels.select(F.col("node").alias("rep"), "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+        several = placed.groupBy("v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("v")
+        return placed.join(several, "v")
+
+    def side(rows: DataFrame, s: str, *more: str) -> DataFrame:
+        return rows.select("v", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "n", "need", "comp", "bits", *more)))
+
     n_x, n_y = F.col("n_x"), F.col("n_y")
     whole = (n_x <= k) & (n_y <= k)
     shared = F.when(whole, F.ceil((n_x + n_y) * num / (num + den))).otherwise(F.greatest("need_x", "need_y"))
     differ = sum((F.bit_count(F.col("bits_x")[i].bitwiseXOR(F.col("bits_y")[i])) for i in range(_WORDS)), F.lit(0))
-    may = (F.col("rep_x") < F.col("rep_y")) & (F.col("comp_x") != F.col("comp_y")) & near(n_x, n_y) & (differ <= F.least(n_x, F.lit(k)) + F.least(n_y, F.lit(k)) - 2 * shared)
-    rest = x.join(y, "v").where(may)
-    rest = cut(rest.select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "rest")
+    may = (F.col("comp_x") != F.col("comp_y")) & near(n_x, n_y) & (differ <= F.least(n_x, F.lit(k)) + F.least(n_y, F.lit(k)) - 2 * shared)
+    pair = [F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b")]
+
+    open_ = cut(mixed(members.select("v", "rep", "n", "need"), labels).join(classes.select("rep", "bits"), "rep"), "open")
+    # more pivots for the lists that are still mixed: the same few members in all
+    # lists of a group, so the pairs stay in proportion to its members
+    drawn = [F.min(F.struct(F.xxhash64("rep", F.lit(i)).alias("h"), "rep", "n", "need", "comp", "bits")).alias(f"p{i}") for i in range(_PIVOTS)]
+    pivots = open_.groupBy("v").agg(*drawn).select("v", F.array(*(f"p{i}" for i in range(_PIVOTS))).alias("p"))
+    fan = side(open_, "x").join(pivots, "v").select("*", F.explode("p").alias("y"))
+    fan = fan.select("*", *(F.col(f"y.{c}").alias(f"{c}_y") for c in ("rep", "n", "need", "comp", "bits")))
+    again = cut(fan.where(may).select(*pair).distinct().join(tried, ["a", "b"], "left_anti"), "again")
+    links = cut(links.union(_links(again, classes, texts, width, k, num, den)), "links")
+    labels = components(links)
+
+    # a pair meets in every list that it shares; only the first of them (by
+    # value) keeps it, so each is made once
+    left = cut(mixed(open_.drop("comp"), labels), "left")
+    own = left.groupBy("rep").agg(F.collect_list("v").alias("own"))
+    left_own = cut(left.join(own, "rep"), "left")
+    x, y = (side(left_own, s, "own") for s in "xy")
+    first = F.array_min(F.array_intersect("own_x", "own_y")) == F.col("v")
+    rest = x.join(y, "v").where((F.col("rep_x") < F.col("rep_y")) & may & first)
+    rest = cut(rest.select(*pair).distinct().join(tried.union(again), ["a", "b"], "left_anti"), "rest")
     more = _links(rest, classes, texts, width, k, num, den)
     labels = components(links.union(more))
 
     named = classes.select("digest", "rep", "copies").join(labels.select(F.col("node").alias("rep"), "comp"), "rep", "left")
     named = cut(named.where("copies > 1 or comp < rep").select("digest", F.coalesce("comp", "rep").alias("comp")), "named")
-    release(members, tried, open_, rest, classes)
+    release(members, tried, again, open_, left, left_own, rest, classes)
     out = base.select("doc_id", "n", "digest").join(named, "digest", "left")
     component = F.coalesce("comp", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"))
