@@ -1,8 +1,9 @@
 """License scans by canonical digest lookup.
 
 A whole text, and each of its paragraphs and lines, is normalised: lower case,
-copyright lines and comment marks dropped, equivalent spellings made one,
-punctuation and white space collapsed. Its SHA-256 is then joined with the
+copyright lines and comment marks dropped, equivalent spellings made one, the
+holder's name in the clauses that have a place for it made one, punctuation and
+white space collapsed. Its SHA-256 is then joined with the
 digests of known licences, normalised the same way. So a match is a whole
 licence (or notice), never a likeness.
 
@@ -12,7 +13,9 @@ once has one row for it and each kind of unit.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
+from importlib import resources
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -93,6 +96,17 @@ THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH RE
 
 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
 
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+    ],
+    "BSD-3-Clause": [
+        """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+
 THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
     ],
     "Zlib": [
@@ -108,7 +122,61 @@ Permission is granted to anyone to use this software for any purpose, including
     ],
 }
 
-_COPYRIGHT = "(?m)^[^a-z0-9\\n]*(?:copyright|\\(c\\)|©|all rights reserved)[^\\n]*$"
+# Title lines under which the texts above are published
+TITLES = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)", "MIT"],
+    "ISC": ["ISC License", "The ISC License", "ISC License (ISC)", "The ISC License (ISC)", "ISC"],
+    "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD", "Zero-Clause BSD License", "BSD Zero Clause License (0BSD)", "0BSD"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License", "The 2-Clause BSD License", 'BSD 2-Clause "Simplified" License', "Simplified BSD License", "BSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The BSD 3-Clause License", "The 3-Clause BSD License", 'BSD 3-Clause "New" or "Revised" License', "New BSD License", "Modified BSD License", "BSD License"],
+    "Zlib": ["zlib License", "The zlib License", "zlib License (Zlib)", "The zlib/libpng License", "zlib"],
+}
+#: longer licences, whole, as published; they bring their own titles
+LONG = ("Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0")
+
+
+def published() -> dict[str, list[str]]:
+    """KNOWN and LONG in the forms in which they are published: with a title or
+    without, lists with numbers or bullets, Apache-2.0 with its appendix or without."""
+    out = {name: list(texts) for name, texts in KNOWN.items()}
+    for name, titles in TITLES.items():
+        texts = out[name]
+        texts += [re.sub("(?m)^[0-9][.] ", "* ", t) for t in texts if re.search("(?m)^[0-9][.] ", t)]
+        texts += [t.replace("modify, and/or distribute", "modify, and distribute") for t in texts if name == "ISC"]
+        out[name] = texts + [f"{title}\n\n{t}" for title in titles for t in texts]
+    out |= {name: [resources.files(__package__).joinpath(f"license_texts/{name}.txt").read_text(encoding="utf-8")] for name in LONG}
+    whole = out["Apache-2.0"][0]
+    end = "END OF TERMS AND CONDITIONS"
+    terms, appendix = whole.split(end)
+    below = terms[terms.index("TERMS AND CONDITIONS FOR USE") :]
+    out["Apache-2.0"] = [h + t for h in (terms, below) for t in (end + appendix, end, "")]
+    out["Apache-2.0 notice"].append(appendix[appendix.index("Licensed under") :])
+    return out
+
+
+# what follows the word in running text, where a line happens to begin with it
+_RUNNING = (
+    "(?:notices?|holders?|owners?|ownership|licen[cs](?:e[sd]?|ors?|ing)|laws?|doctrines?|statements?|interests?|permissions?|treat(?:y|ies)|rights?|works?|materials?|protections?|protected|claims?|infringements?"
+    "|status|conditions?|disclaimers?|patents?|trademarks?|terms|information|attributions?|marks?|legends?|registrations?|restrictions?|acts?|subject|grants?|resulting|related|applicable|relevant"
+    "|and|or|on|in|of|to|for|is|as|are|an?|any|that|this|these|those|which|with|without|from|under|over|if|be|but|not|it|its|their|such|where|when|within|may|shall|can|must|will|would|has|have|does|at|than"
+    "|the (?:software|works?|programs?|library|libraries|code|documentation|materials?|above|following|same|terms))"
+)
+_YEAR = "[\\[<{(]?[ \\t]*(?:[0-9]{4}|yyyy\\b|years?\\b)"
+#: a notice's line (of lower-case text): the word with a sign, a year or a holder
+_COPYRIGHT = (
+    "(?m)^[^a-z0-9\\n]*(?:"
+    f"copyrights?[ \\t:,]*(?:\\(c\\)|©|{_YEAR}|by\\b)"
+    f"|\\(c\\)[ \\t]*(?:copyright\\b|{_YEAR})"
+    "|©|all rights reserved"
+    f"|copyright(?:[ \\t]+|[ \\t]*:[ \\t]*)(?!{_RUNNING}\\b|the[ \\t\\r]*$)[\\p{{L}}\\[<{{]"
+    ")[^\\n]*$"
+)
+# clauses with a place for the holder's name
+_HOLDERS = {
+    "\\bneither the names? of .{1,120}? nor the names of (?:its|their|any) contributors\\b": "neither the name of the holder nor the names of its contributors",
+    "\\bthis software is provided by .{1,120}? as is and any\\b": "this software is provided by the holder as is and any",
+    "\\bin no event shall .{1,120}? be liable\\b": "in no event shall the holder be liable",
+}
 
 
 def canonical(text: Column) -> Column:
@@ -116,6 +184,8 @@ def canonical(text: Column) -> Column:
     out = F.regexp_replace(F.lower(text), _COPYRIGHT, " ")
     out = F.trim(F.regexp_replace(out, "[^\\p{L}\\p{N}]+", " "))
     spelled = "\\b(" + "|".join(sorted(EQUIVALENT, key=len, reverse=True)) + ")\\b"
+    for clause, said in _HOLDERS.items():
+        out = F.regexp_replace(out, clause, said)
     fixed = out
     for old, new in EQUIVALENT.items():
         fixed = F.regexp_replace(fixed, f"\\b{old}\\b", new)
@@ -127,7 +197,7 @@ def known_licenses(spark: SparkSession, texts: dict[str, list[str]] | None = Non
     """license, digest, anchor: one row for each known text. The anchor is its
     longest word that no other spelling stands for, so every text of the same
     normal form has it too."""
-    rows = [(name, t) for name, ts in (texts or KNOWN).items() for t in ts]
+    rows = [(name, t) for name, ts in (texts or published()).items() for t in ts]
     form = spark.createDataFrame(rows, "license string, text string").select("license", canonical(F.col("text")).alias("form"))
     respelled = sorted({w for v in EQUIVALENT.values() for w in v.split()})
     firm = F.filter(F.split("form", " "), lambda w: ~w.isin(*respelled))

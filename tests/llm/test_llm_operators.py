@@ -4,6 +4,7 @@ very long texts, ties, repeated rows, empty tables and clashing column names."""
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 from itertools import combinations
 
@@ -171,6 +172,36 @@ def test_licenses(spark):
     assert (7, "CC-BY-NC-4.0 notice", "line", 2) in got and (1, "MIT", "text", 1) in got
 
 
+def test_licenses_published(spark):
+    mit, isc, bsd2, bsd3, zlib_ = (licenses.KNOWN[k][0] for k in ("MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "Zlib"))
+    wrap = lambda t, w: "\n\n".join(textwrap.fill(p, w) for p in t.split("\n\n"))
+    long = {k: v[0] for k, v in licenses.published().items() if k in licenses.LONG}
+    apache = long["Apache-2.0"]
+    owned = bsd3.replace("the copyright holder nor", "Acme, Inc. nor").replace("THE COPYRIGHT HOLDERS AND", "ACME AND").replace("THE COPYRIGHT HOLDER OR", "ACME OR")
+    head = "Copyright (c) 2020, Some Body\n\n"
+    rows = [
+        ("MIT", "MIT License\n\n" + head + wrap(mit, 78)),
+        ("MIT", "The MIT License (MIT)\r\n\r\nCopyright The Acme Authors\r\n\r\n" + wrap(mit, 70).replace("\n", "\r\n")),
+        ("BSD-2-Clause", "BSD 2-Clause License\n\n" + head + "All rights reserved.\n\n" + wrap(bsd2, 79)),
+        ("BSD-3-Clause", "BSD 3-Clause License\n\n" + head + wrap(bsd3.replace("1. ", "* ").replace("2. ", "* ").replace("3. ", "* "), 79)),
+        ("BSD-3-Clause", head + wrap(owned, 76)),
+        ("Zlib", "zlib License\n\n(C) 1995 Some Body\n\n" + wrap(zlib_, 70)),
+        ("Apache-2.0", apache.replace("Copyright [yyyy] [name of copyright owner]", "Copyright 2021 Some Body")),
+        ("Apache-2.0", apache[: apache.index("APPENDIX")]),
+        ("Apache-2.0 notice", "".join(f"// {x}\n" for x in ("Copyright 2021 Some Body\n\n" + apache[apache.index("Licensed under") :]).strip().split("\n"))),
+        *(("ISC", "ISC License\n\n" + head + wrap(isc, w)) for w in range(40, 100)),
+        *long.items(),
+    ]
+    # a line may begin with the word at each of its places
+    for name, text in {"MIT": mit, "ISC": isc, "BSD-2-Clause": bsd2, "BSD-3-Clause": bsd3, **long}.items():
+        rows += [(name, text[: m.start()] + "\n" + text[m.start() + 1 :]) for m in re.finditer(r"(?i)(?<! {2})(?<!name of) (?=copyright)(?!copyright \(C\))", text)]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = {(r.doc_id, r.license) for r in licenses.scan(docs).collect() if r.unit in ("text", "paragraph")}
+    assert got == {(i, name) for i, (name, _) in enumerate(rows)}
+    kept = licenses.scan(docs.limit(1).selectExpr("doc_id", "replace(text, 'without restriction', 'with restriction') AS text")).count()
+    assert kept == 0
+
+
 def base_metrics(text):
     text = text or ""
     w = WORD.findall(text)
