@@ -11,9 +11,13 @@ under a reserved host.
 - digits of length n are split in halves of n // 2 and n - n // 2; eight rounds
   add a keyed SHA-256 of the one half (with the round, kind and length) to the
   other, modulo its power of ten.
-- a card's check digit is made anew from the permuted others.
+- a card's check digit is made anew from the permuted others. Sixteen digits in
+  fours (with three more as a fifth group, or none) always count; other numbers of 13 to 19 digits if they pass the check.
 - a date of year 1000 to 2999 is its day number, permuted by cycle walking in
-  six digits until it is one of the 730,485 days again.
+  six digits until it is one of the 730,485 days again, and one that its own
+  form can say: digits, separators, order of the fields and the list of month
+  names stay. With slashes the month comes first, with dots or hyphens the day,
+  if that is a date; else the other way.
 - an address's four octets are one number below 2**32, permuted in halves of
   16 bits.
 
@@ -32,14 +36,52 @@ from .quality import let
 ROUNDS = 8
 _FIRST_DAY, _DAYS = "1000-01-01", 730485
 
+# month names, by list; a name of several lists belongs to the first
+MONTHS = tuple(
+    names.split()
+    for names in (
+        "january february march april may june july august september october november december",
+        "jan feb mar apr may jun jul aug sep oct nov dec",
+        "januar februar märz april mai juni juli august september oktober november dezember",
+        "janvier février mars avril mai juin juillet août septembre octobre novembre décembre",
+        "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre",
+    )
+)
+_MONTH_CODE = {"sept": 109} | {name: 100 * k + i for k, names in reversed(list(enumerate(MONTHS))) for i, name in enumerate(names, 1)}
+_MONTH = "(?iu:" + "|".join(sorted(_MONTH_CODE, key=len, reverse=True)) + ")(?!\\p{L})"
+
+_FOURS = "[0-9]{4}([ -]?)[0-9]{4}\\1[0-9]{4}\\1[0-9]{4}"
+_ISO = "[12][0-9]{3}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])"
+_S, _CODE = "[ .-]", "\\+[0-9]{1,3}[ .-](?:\\(0\\)[ ]?)?"
+_PHONES = (
+    "\\+[0-9]{1,3}[ .-]?\\(?[0-9]{2,4}\\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}",
+    "\\+[0-9]{8,15}",
+    f"{_CODE}[0-9]{{4,5}}{_S}[0-9]{{5,8}}",
+    f"{_CODE}\\(?[0-9]{{2,3}}\\)?{_S}[0-9]{{7,8}}",
+    f"{_CODE}\\(?[0-9]{{1,4}}\\)?{_S}[0-9]{{3,5}}{_S}[0-9]{{3,4}}",
+    f"{_CODE}[0-9](?:{_S}[0-9]{{2}}){{4}}",
+    f"{_CODE}[0-9]{{2,3}}(?:{_S}[0-9]{{2}}){{3,4}}",
+    f"{_CODE}[0-9]{{4}}{_S}[0-9]{{4}}",
+)
+_NATIONAL = (
+    "(?:1[ .-])?(?:\\([0-9]{3}\\)[ ]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}",
+    # with the zero of a long-distance call; not the groups of a longer number
+    f"(?<![0-9][ -])\\(?0(?:[0-9](?:{_S}[0-9]{{2}}){{4}}|[0-9]{{2,4}}\\)?[ /-][0-9]{{6,8}}|[0-9]{{1,4}}\\)?{_S}[0-9]{{3,4}}{_S}[0-9]{{3,4}})(?![ -][0-9]{{4}}(?![0-9]))",
+)
+
 #: patterns in Java's syntax; a value stands free of letters, digits and dots beside it
 PATTERNS = {
     "email": "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)*\\.[A-Za-z]{2,}",
-    "card": "(?<![0-9A-Za-z])[0-9]{4}([ -]?)[0-9]{4}\\1[0-9]{4}\\1[0-9]{4}(?![0-9A-Za-z])",
+    "card": f"(?<![0-9A-Za-z])(?:{_FOURS}(?![0-9A-Za-z]|\\1[0-9]{{3}}(?![0-9A-Za-z]))|[0-9]{{4}}([ -])[0-9]{{4}}\\2[0-9]{{4}}\\2[0-9]{{4}}\\2[0-9]{{3}}|[0-9]{{4}}([ -])[0-9]{{6}}\\3[0-9]{{4,5}}|(?<!\\+)[0-9]{{13,19}})(?![0-9A-Za-z])",
     "ssn": "(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
-    "phone": "\\+[0-9]{1,3}[ .-]?\\(?[0-9]{2,4}\\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])",
+    "phone": f"(?:(?:{'|'.join(_PHONES)})(?![0-9])|(?<![0-9A-Za-z+]|[0-9][.-])(?:{'|'.join(_NATIONAL)})(?![0-9A-Za-z]|[.-][0-9]))",
     "ip": "(?<![0-9A-Za-z.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?![0-9A-Za-z]|\\.[0-9])",
-    "date": "(?<![0-9A-Za-z-])[12][0-9]{3}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])(?![0-9A-Za-z-])",
+    "date": (
+        f"(?:(?<![0-9A-Za-z-]){_ISO}(?![0-9A-Za-z-])"
+        "|(?<![0-9A-Za-z]|[0-9][./-])(?:[0-9]{1,2}([/.-])[0-9]{1,2}\\1[12][0-9]{3}|[12][0-9]{3}([/.])[0-9]{1,2}\\2[0-9]{1,2})(?![0-9A-Za-z]|[./-][0-9])"
+        f"|(?<!\\p{{L}}){_MONTH}\\.?[ ][0-9]{{1,2}}(?i:st|nd|rd|th)?,?[ ][12][0-9]{{3}}(?![0-9A-Za-z])"
+        f"|(?<![0-9A-Za-z])[0-9]{{1,2}}(?:(?i:st|nd|rd|th|er)|\\.)?[ ](?:(?i:of|de)[ ])?{_MONTH}\\.?,?(?:[ ](?i:de|del))?[ ][12][0-9]{{3}}(?![0-9A-Za-z]))"
+    ),
 }
 KINDS = tuple(PATTERNS)
 
@@ -94,6 +136,15 @@ def _spread(shape: Column, digits: Column) -> Column:
     return F.array_join(placed, "")
 
 
+def _passes(digits: Column) -> Column:
+    front = F.substring(digits, F.lit(1), F.length(digits) - 1)
+    return luhn_digit(front) == F.substring(digits, F.length(digits), F.lit(1))
+
+
+def _is_card(v: Column) -> Column:
+    return v.rlike(f"^{_FOURS}(?:[ -][0-9]{{3}})?$") | let(F.regexp_replace(v, "[^0-9]", ""), _passes)
+
+
 def _card(v: Column, key: Column, undo: bool) -> Column:
     def body(d: Column) -> Column:
         front = F.substring(d, F.lit(1), F.length(d) - 1)
@@ -105,7 +156,7 @@ def _card(v: Column, key: Column, undo: bool) -> Column:
         odd = let(permute_digits(front, key, "card", undo), lambda p: F.concat(p, F.pmod(luhn_digit(p).cast("int") + off, F.lit(10)).cast("string")))
         return F.when(valid, new).otherwise(odd)
 
-    return let(F.regexp_replace(v, "[^0-9]", ""), lambda d: _spread(v, body(d)))
+    return F.when(_is_card(v), let(F.regexp_replace(v, "[^0-9]", ""), lambda d: _spread(v, body(d)))).otherwise(v)
 
 
 def _digits(label: str) -> Callable[[Column, Column, bool], Column]:
@@ -113,7 +164,7 @@ def _digits(label: str) -> Callable[[Column, Column, bool], Column]:
 
 
 def _phone(v: Column, key: Column, undo: bool) -> Column:
-    """The country code stays; the last seven digits are permuted."""
+    """The last seven digits are permuted; what stands before them stays."""
 
     def body(d: Column) -> Column:
         n = F.length(d)
@@ -133,23 +184,76 @@ def _ip(v: Column, key: Column, undo: bool) -> Column:
     return let(F.split(v, "\\."), body)
 
 
+def _read_date(v: Column) -> Column:
+    """date (null if it is none), wm, wd (digits of month and day), swapped (the
+    fields stand in the other order), code (of the month's name, or null)."""
+    codes = F.create_map(*(F.lit(x) for pair in _MONTH_CODE.items() for x in pair))
+
+    def read(a: Column) -> Column:
+        code = F.when(F.size(a) == 2, F.try_element_at(codes, F.lower(F.regexp_extract(v, _MONTH, 0))))
+        n = lambda i: F.get(a, F.lit(i))
+        named, first = code.isNotNull(), F.length(n(0)) == 4
+        slash = F.instr(v, "/") > 0
+        year = F.when(named, n(1)).when(first, n(0)).otherwise(n(2))
+        month = F.when(named, F.lpad((code % 100).cast("string"), 2, "0")).when(first | ~slash, n(1)).otherwise(n(0))
+        day = F.when(~named & first, n(2)).when(~named & slash, n(1)).otherwise(n(0))
+        date = lambda m, d: F.try_to_date(F.concat_ws("-", year, F.lpad(m, 2, "0"), F.lpad(d, 2, "0")), "yyyy-MM-dd")
+        one, other = date(month, day), F.when(~named & ~first, date(day, month))
+        swapped = one.isNull() & other.isNotNull()
+        wide = lambda x, y: F.length(F.when(swapped, y).otherwise(x))
+        return F.struct(F.coalesce(one, other).alias("date"), wide(month, day).alias("wm"), wide(day, month).alias("wd"), swapped.alias("swapped"), code.alias("code"))
+
+    return let(F.regexp_extract_all(v, F.lit("[0-9]+"), F.lit(0)), read)
+
+
+def _is_date(v: Column) -> Column:
+    return v.rlike(f"^{_ISO}$") | _read_date(v)["date"].isNotNull()
+
+
 def _date(v: Column, key: Column, undo: bool) -> Column:
     first = F.lit(_FIRST_DAY).cast("date")
+    names = F.array(*(F.lit(x) for xs in MONTHS for x in xs))
+    codes = F.create_map(*(F.lit(x) for pair in _MONTH_CODE.items() for x in pair))
 
-    def walk(day: Column) -> Column:
-        # a cycle that leaves the days comes back after 1 / 0.73 steps on average; it
-        # is walked until it does, 40 steps for all but one day in 10**22
+    def walk(p: Column) -> Column:
+        # a cycle that leaves the days the form can say comes back after 1 / 0.16 steps
+        # on average in the narrowest form (1 / 0.73 in full digits); it is walked until
+        # it does, 250 steps for all but one day in 10**19
         mod = F.lit(1000).cast("long")
 
         def one(n: Column) -> Column:
-            return let(_feistel(F.floor(n / 1000), n % 1000, mod, mod, key, "date", undo), lambda p: p["l"] * 1000 + p["r"])
-
-        return F.reduce(F.sequence(F.lit(1), F.lit(40)), one(day.cast("long")), lambda n, _: F.when(n < _DAYS, n).otherwise(one(n)))
-
-    def body(date: Column) -> Column:
-        return F.when(date.isNull(), v).otherwise(let(walk(F.datediff(date, first)), lambda n: F.when(n < _DAYS, F.date_format(F.date_add(first, n.cast("int")), "yyyy-MM-dd")).otherwise("0000-00-00")))
-
-    return let(F.try_to_date(v, "yyyy-MM-dd"), body)
+            return let(_feistel(F.floor(n / 1000), n % 1000, mod, mod, key, "date", undo), lambda q: q["l"] * 1000 + q["r"])
+
+        def fits(n: Column) -> Column:
+            date = F.date_add(first, n.cast("int"))
+            month, day = F.month(date), F.dayofmonth(date)
+            table = F.floor(p["code"] / 100).cast("int")
+            said = F.try_element_at(codes, F.get(names, table * 12 + month - 1)) == table * 100 + month
+            return (n < _DAYS) & ((p["wm"] == 2) | (month < 10)) & ((p["wd"] == 2) | (day < 10)) & (~p["swapped"] | (day > 12)) & (p["code"].isNull() | said)
+
+        begun = one(F.datediff(p["date"], first).cast("long"))
+        return let(F.reduce(F.sequence(F.lit(1), F.lit(250)), begun, lambda n, _: F.when(fits(n), n).otherwise(one(n))), lambda n: F.when(fits(n), n))
+
+    def write(p: Column, n: Column) -> Column:
+        date = F.date_add(first, n.cast("int"))
+        year, month, day = F.date_format(date, "yyyy"), F.month(date), F.dayofmonth(date)
+        m, d = F.lpad(month.cast("string"), p["wm"], "0"), F.lpad(day.cast("string"), p["wd"], "0")
+        sep, slash = F.regexp_extract(v, "[-/.]", 0), F.instr(v, "/") > 0
+        figures = F.when(v.rlike("^[0-9]{4}"), F.concat(year, sep, m, sep, d)).when(slash != p["swapped"], F.concat(m, sep, d, sep, year)).otherwise(F.concat(d, sep, m, sep, year))
+        token = F.regexp_extract(v, _MONTH, 0)
+        name = F.get(names, F.floor(p["code"] / 100).cast("int") * 12 + month - 1)
+        name = F.when(token == F.lower(token), name).when(token == F.upper(token), F.upper(name)).otherwise(F.initcap(name))
+        th = F.when(day.isin(11, 12, 13), "th").when(day % 10 == 1, "st").when(day % 10 == 2, "nd").when(day % 10 == 3, "rd").otherwise("th")
+        counted = F.when(v.rlike("[0-9](?:st|nd|rd|th)"), th).when(v.rlike("[0-9](?:ST|ND|RD|TH)"), F.upper(th)).otherwise("")
+        words = F.regexp_replace(v, F.lit("[0-9]{4}$"), year)
+        words = F.regexp_replace(words, F.lit("(?<![0-9])[0-9]{1,2}(?:(?i:st|nd|rd|th))?(?![0-9])"), F.concat(d, counted))
+        return F.when(p["code"].isNull(), figures).otherwise(F.regexp_replace(words, F.lit("(?<!\\p{L})" + _MONTH), name))
+
+    def body(p: Column) -> Column:
+        said = let(walk(p), lambda n: F.coalesce(write(p, n), F.regexp_replace(v, "[0-9]", "0")))
+        return F.when(p["date"].isNull(), v).otherwise(said)
+
+    return let(_read_date(v), body)
 
 
 def _email(v: Column, key: Column, undo: bool) -> Column:
@@ -159,9 +263,23 @@ def _email(v: Column, key: Column, undo: bool) -> Column:
 _MASKS = {"email": _email, "card": _card, "ssn": _digits("ssn"), "phone": _phone, "ip": _ip, "date": _date}
 
 
+#: kinds of which the pattern finds more than the values, and what they must pass
+_CHECKS = {"card": _is_card, "date": _is_date}
+
+
 def _hint(kind: str, text: Column) -> Column:
     """A cheap test that every text with a value of the kind passes."""
-    return F.instr(text, "@") > 0 if kind == "email" else F.instr(text, "+") > 0 if kind == "phone" else text.rlike("[0-9]{4}") if kind == "card" else text.rlike("[0-9]-[0-9]") if kind in ("ssn", "date") else text.rlike("[0-9]\\.[0-9]")
+    if kind == "email":
+        return F.instr(text, "@") > 0
+    if kind == "phone":
+        return (F.instr(text, "+") > 0) | text.rlike("[0-9][) ./-]{1,2}[0-9]{2}")
+    return text.rlike({"card": "[0-9]{4}", "ssn": "[0-9]-[0-9]", "ip": "[0-9]\\.[0-9]", "date": "[12][0-9]{3}"}[kind])
+
+
+def _count(kind: str, text: Column) -> Column:
+    if kind not in _CHECKS:
+        return F.regexp_count(text, F.lit(PATTERNS[kind]))
+    return F.size(F.filter(F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0)), _CHECKS[kind]))
 
 
 def _replaced(text: Column, kind: str, key: Column, undo: bool) -> Column:
@@ -176,7 +294,7 @@ def pseudonymise(docs: DataFrame, *, key: str, kinds: tuple[str, ...] = KINDS, i
     """doc_id, n_found (values by all kinds), n_<kind> ..., text (with pseudonyms)."""
     out = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     for kind in kinds:
-        hit = F.when(_hint(kind, F.col("text")), F.regexp_count("text", F.lit(PATTERNS[kind])))
+        hit = F.when(_hint(kind, F.col("text")), _count(kind, F.col("text")))
         out = out.withColumn(f"n_{kind}", F.coalesce(hit, F.lit(0)).cast("long"))
         # texts without a value pass as they are; the masks are only made for the others
         out = out.withColumn("text", F.when(F.col(f"n_{kind}") > 0, _replaced(F.col("text"), kind, F.lit(key), undo)).otherwise(F.col("text")))

@@ -374,6 +374,30 @@ def test_pii_round_trip(spark):
     assert back[0].text == text
 
 
+def test_pii_shapes(spark):
+    shapes = {
+        "card": "3782 822463 10005|378282246310005|3782-822463-10005|30569309025904|4222222222222|6304000000000000000|4111-1111-1111-1111",
+        "phone": "(555) 123-4567|555-123-4567|555.123.4567|555 123 4567|+44 20 7946 0958|+44 7700 900123|+33 1 23 45 67 89|+34 612 345 678|+49 30 12345678|+4915112345678|020 7946 0958|01 23 45 67 89|+1 (555) 555-5657",
+        "date": "03/14/2021|14/03/2021|3/4/2021|03/04/2021|14.03.2021|4.3.2021|14-03-2021|2021/03/14|2021-03-14|March 14, 2021|Mar 3, 2021|14 March 2021|14th March 2021|MAY 1st, 2020|14. März 2021|14 mars 2021|14 de marzo de 2021|Sep. 9, 1999",
+    }
+    rows = [(k, v) for k, vs in shapes.items() for v in vs.split("|")]
+    df = spark.createDataFrame([(i, f"a {v}, or ({v}) 7 b.") for i, (_, v) in enumerate(rows)], "doc_id long, text string")
+    out = pii.pseudonymise(df, key="k").orderBy("doc_id").collect()
+    for (kind, v), r in zip(rows, out):
+        assert r.n_found == r[f"n_{kind}"] == 2 and v not in r.text, (v, r)
+    kinds = pii.KINDS
+    there = spark.createDataFrame([(r.doc_id, r.text) for r in out], "doc_id long, text string")
+    back = pii.pseudonymise(there, key="k", kinds=kinds[::-1], undo=True).orderBy("doc_id").collect()
+    assert [r.text for r in back] == [f"a {v}, or ({v}) 7 b." for _, v in rows]
+    left = "378282246310006 1234567890123 31/31/2021 02/30/2021 May 32, 2021 1.2.3 12/34 ISBN 978-3-16-148410-0"
+    r = pii.pseudonymise(spark.createDataFrame([(1, left)], "doc_id long, text string"), key="k").first()
+    assert r.n_found == 0 and r.text == left
+    days = spark.range(0, 800).select(F.date_add(F.lit("1999-01-01").cast("date"), F.col("id").cast("int")).alias("d"))
+    for form in ("dd/MM/yyyy", "M/d/yyyy", "d.M.yyyy", "MMM d, yyyy"):
+        said = days.select(F.date_format("d", form).alias("d"))
+        assert said.select(pii._date(F.col("d"), F.lit("k"), False).alias("x")).distinct().count() == 800
+
+
 def test_pii_permutes(spark):
     n = spark.range(10_000).select(F.lpad(F.col("id").cast("string"), 4, "0").alias("d"))
     got = [r[0] for r in n.select(pii.permute_digits(F.col("d"), F.lit("k"), "t")).collect()]
