@@ -1,15 +1,17 @@
 """Secret scans: fixed patterns, and a small character convolutional network.
 
 The patterns (assign, access, hex) always count. Beside them every other run of
-16 or more key characters with a letter and a digit is a candidate; the network
-reads it with the characters around it and adds the span (kind ``cnn``) if its
-calibrated probability reaches the threshold.
+16 or more key characters with a letter and a digit is a candidate, and so is
+what a pattern's span leaves of a run; the network reads it whole, in windows of
+48 characters with those around them, and adds the span (kind ``cnn``) if the
+highest calibrated probability reaches the threshold.
 
 The network is trained here, on labelled findings: ``findings(n, seed)`` makes
 keys of many issuers' shapes and look-alikes (host names, paths, identifiers,
-versions, dates, long words) in varied surroundings. Three disjoint draws train
-it, calibrate it (a logistic map of its score) and give the threshold: the
-highest that still finds ``min_recall`` of the true ones. Training is
+versions, dates, long words) in varied surroundings, ``buried(n, seed)`` puts
+them behind long paths. Three disjoint draws of both train it, calibrate it (a
+logistic map of its score) and give the threshold: the highest that still finds
+``min_recall`` of the true ones of either kind. Training is
 deterministic; its size is a parameter and doesn't depend on the table.
 
 Null texts count as empty. Offsets are in code points.
@@ -37,6 +39,8 @@ _LETTER = re.compile("[A-Za-z]")
 _CUES = re.compile("|".join(_HINTS), re.ASCII | re.IGNORECASE)
 
 LEFT, BODY, RIGHT = 24, 48, 8
+#: from one window of a long candidate to the next
+STEP = 8
 _WIDTH = LEFT + BODY + RIGHT
 
 
@@ -54,9 +58,8 @@ _ALNUM = _UPPER + _LOWER + _DIGITS
 _SYLLABLES = "th er on an re he in ed nd ha at en es of or nt ea ti to it st io le is ou ar as de rt ve ción que ment aux der ung ich".split()
 
 
-def findings(n: int, seed: int) -> list[tuple[str, int, int, int]]:
-    """(text, start, end, 1 if the span is a secret, else 0)"""
-    rng = np.random.default_rng(seed)
+def _makers(rng: np.random.Generator):
+    """Makers of words, numbers and prose, of keys and of look-alikes."""
     pick = lambda xs: xs[int(rng.integers(len(xs)))]
     some = lambda chars, k: "".join(chars[i] for i in rng.integers(0, len(chars), k))
     word = lambda: "".join(pick(_SYLLABLES) for _ in range(int(rng.integers(1, 5))))
@@ -87,6 +90,13 @@ def findings(n: int, seed: int) -> list[tuple[str, int, int, int]]:
         lambda: "ISBN-" + f"978-{number(1)}-{number(4)}-{number(4)}-{number(1)}",
         lambda: "".join(word().title() for _ in range(4)) + number(2),
     )
+    return pick, some, word, number, prose, secrets, harmless
+
+
+def findings(n: int, seed: int) -> list[tuple[str, int, int, int]]:
+    """(text, start, end, 1 if the span is a secret, else 0)"""
+    rng = np.random.default_rng(seed)
+    pick, _, _, _, prose, secrets, harmless = _makers(rng)
     cues = ("key: ", "key=", "auth ", "Authorization: Bearer ", "credential '", "pwd ", "export KEY=", "AWS ", "access ", "", "", "")
     plain = ("see ", "at ", "file ", "host ", "version ", "id ", "", "", "", "on ", "the ")
     out = []
@@ -100,9 +110,52 @@ def findings(n: int, seed: int) -> list[tuple[str, int, int, int]]:
     return out
 
 
+def buried(n: int, seed: int) -> list[tuple[str, int, int, int, int, int]]:
+    """(text, start, end, 1 if a secret is in the run, else 0, start and end of
+    the secret or look-alike): runs that begin with a path or host."""
+    rng = np.random.default_rng([seed, 1])
+    pick, some, word, number, prose, secrets, harmless = _makers(rng)
+    parts = (
+        word,
+        word,
+        lambda: word() + number(int(rng.integers(1, 4))),
+        lambda: pick("TBCUG") + some(_UPPER + _DIGITS, int(rng.integers(8, 11))),
+        lambda: pick("TBCUG") + "0" * 8,
+        lambda: "-".join(word() for _ in range(int(rng.integers(2, 6)))),
+        lambda: "_".join(word() for _ in range(int(rng.integers(2, 5)))),
+        lambda: f"20{number(2)}/0{number(1)}/1{number(1)}",
+        lambda: number(int(rng.integers(2, 10))),
+        lambda: f"v{number(1)}.{number(1)}",
+        lambda: word().title() + word().title(),
+    )
+    hosts = (lambda: f"//{word()}.{word()}.com", lambda: f"//{word()}{number(1)}.example.org", lambda: "/" + word(), lambda: word() + "/" + word(), lambda: f"www.{word()}.net")
+    out = []
+    while len(out) < n:
+        true, least = int(rng.integers(2)), int(rng.integers(16, 100))
+        ahead = pick(hosts)()
+        while len(ahead) < least:
+            ahead += "/" + pick(parts)()
+        leaf = pick(secrets if true else harmless + parts)()
+        tail = pick(("", "", "", "/" + word(), "." + word(), "/" + word() + "/" + word() + number(2)))
+        ahead += pick(("/", "/", "/", "=", "/" + word() + "="))
+        run, before = ahead + leaf + tail, prose() + pick((" ", "\n", ": ", ' "', " https:"))
+        if not (_RUN.fullmatch(run) and _DIGIT.search(run) and _LETTER.search(run)):
+            continue
+        s = len(before)
+        out.append((before + run + pick((" ", '"', "\n", ", ", "; ")) + prose(), s, s + len(run), true, s + len(ahead), s + len(ahead) + len(leaf)))
+    return out
+
+
 # ---------------------------------------------------------------- the network
 
 
+def _windows(s: int, e: int) -> list[tuple[int, int]]:
+    """The windows over a candidate; the last ends with it."""
+    if e - s <= BODY:
+        return [(s, e)]
+    return [(at, at + BODY) for at in [*range(s, e - BODY, STEP), e - BODY]]
+
+
 def _codes(cases: list[tuple[str, int, int]]) -> np.ndarray:
     """Character codes of each candidate's window: 1-95 for printable ASCII, 96
     for others, 0 for nothing; 97 more inside the candidate."""
@@ -151,6 +204,30 @@ class Network:
         parts = [self._forward(codes[i : i + 1024])[-1] for i in range(0, len(codes), 1024)]
         return np.concatenate(parts) if parts else np.zeros(0, np.float32)
 
+    def best(self, cases: list[tuple[str, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+        """Of each candidate: the highest score of its windows, and that window's codes."""
+        top, codes = np.full(len(cases), -np.inf), np.zeros((len(cases), _WIDTH), np.int64)
+
+        def weigh(held: list[tuple[int, str, int, int]]) -> None:
+            rows = _codes([h[1:] for h in held])
+            for (i, *_), row, score in zip(held, rows, self.score(rows).tolist()):
+                if score > top[i]:
+                    top[i], codes[i] = score, row
+
+        held: list[tuple[int, str, int, int]] = []
+        for i, (text, s, e) in enumerate(cases):
+            for window in _windows(s, e):
+                held.append((i, text, *window))
+                if len(held) == 4096:
+                    weigh(held)
+                    held = []
+        weigh(held)
+        return top, codes
+
+    def sure(self, cases: list[tuple[str, int, int]]) -> np.ndarray:
+        """Whether the highest probability of a candidate reaches the threshold."""
+        return self.probability(self.best(cases)[1]) >= self.threshold
+
     def probability(self, codes: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-(self.slope * self.score(codes) + self.offset)))
 
@@ -196,6 +273,20 @@ class Network:
         self.threshold = float(found[int((1 - min_recall) * len(found))])
 
 
+def _labelled_windows(cases: list[tuple[str, int, int, int, int, int]], seed: int) -> list[tuple[str, int, int, int]]:
+    """Windows with the whole secret (or all of it that fits) and windows without
+    any of it, one of each for a case; of the others two."""
+    rng, out = np.random.default_rng(seed), []
+    for text, s, e, true, a, b in cases:
+        windows = _windows(s, e)
+        within = [w for w in windows if min(w[1], b) - max(w[0], a) >= min(b - a, BODY - STEP)]
+        outside = [w for w in windows if w[1] <= a or b <= w[0]]
+        for label, some in ((1, within), (0, outside)) if true else ((0, windows), (0, windows)):
+            if some:
+                out.append((text, *some[int(rng.integers(len(some)))], label))
+    return out
+
+
 _trained: dict[tuple, Network] = {}
 
 
@@ -204,11 +295,17 @@ def trained(n: int = 3000, seed: int = 11, min_recall: float = 0.97) -> Network:
     key = (n, seed, min_recall)
     if key not in _trained:
         net = Network(seed)
-        parts = [findings(n, seed), findings(n // 3, seed + 1), findings(n // 3, seed + 2)]
-        (x, y), cal, thr = ((_codes([f[:3] for f in p]), np.array([f[3] for f in p])) for p in parts)
-        net.fit(x, y)
-        net.calibrate(*cal)
-        net.constrain(*thr, min_recall)
+        draws = [(findings(k, seed + d), buried(k, seed + d)) for d, k in enumerate((n, n // 3, n // 3))]
+        plain, deep = draws[0]
+        cases = [f[:4] for f in plain] + _labelled_windows(deep, seed)
+        net.fit(_codes([c[:3] for c in cases]), np.array([c[3] for c in cases]))
+        both = draws[1][0] + draws[1][1]
+        net.calibrate(net.best([f[:3] for f in both])[1], np.array([f[3] for f in both]))
+        limits = []
+        for part in draws[2]:
+            net.constrain(net.best([f[:3] for f in part])[1], np.array([f[3] for f in part]), min_recall)
+            limits.append(net.threshold)
+        net.threshold = min(limits)
         _trained[key] = net
     return _trained[key]
 
@@ -216,6 +313,11 @@ def trained(n: int = 3000, seed: int = 11, min_recall: float = 0.97) -> Network:
 # ---------------------------------------------------------------- scanning
 
 
+def _candidate(i: int, text: str, s: int, e: int) -> list[tuple[int, str, int, int]]:
+    part = text[s:e]
+    return [(i, text, s, e)] if len(part) >= 16 and _DIGIT.search(part) and _LETTER.search(part) else []
+
+
 def scan(texts: list[str | None], net: Network) -> list[list[Span]]:
     """The spans of each text, by start, then kind, then end."""
     out: list[list[Span]] = []
@@ -235,10 +337,13 @@ def scan(texts: list[str | None], net: Network) -> list[list[Span]]:
             if len(body) >= 32:
                 own += [Span(at + m.start(), 2, at + m.end()) for m in _HEX.finditer(body) if m.end() - m.start() >= 32]
             spans += own
-            if _DIGIT.search(body) and _LETTER.search(body) and not any(s.start < run.end() and run.start() < s.end for s in spans):
-                open_.append((i, text, run.start(), run.end()))
+            # what the patterns leave of the run
+            for s in sorted(x for x in spans if x.start < run.end() and run.start() < x.end):
+                open_ += _candidate(i, text, at, s.start)
+                at = max(at, s.end)
+            open_ += _candidate(i, text, at, run.end())
     if open_:
-        sure = net.probability(_codes([c[1:] for c in open_])) >= net.threshold
+        sure = net.sure([c[1:] for c in open_])
         for (i, _, s, e), yes in zip(open_, sure.tolist()):
             if yes:
                 out[i].append(Span(s, 3, e))

@@ -351,6 +351,21 @@ def test_secrets_base_spans_and_heldout():
     ]
 
 
+def test_secrets_behind_long_paths():
+    net = secrets.trained()
+    cases = secrets.buried(1500, 78)
+    found, labels = net.sure([c[:3] for c in cases]), np.array([c[3] for c in cases])
+    assert found[labels == 1].mean() > 0.93 and found[labels == 0].mean() < 0.03
+    hook = "//hooks.slack.com/services/T00000000/B00000000/"
+    for key in ("uXk29dLqPz7RmVb4TnYw8sHc", "Zp3kQ9vT1xWm7LrB5nYc8JdF", "a8F3kLm2Qx9ZrT7vBn4Wc6Ys"):
+        text = f"see https:{hook}{key} now"
+        assert [(s.kind, s.start, s.end) for s in secrets.scan([text], net)[0]] == [(3, 10, 10 + len(hook) + 24)]
+        beside = f"x AKIA{'Q2' * 8}/{key} y {'0a' * 16}.{key} z"
+        assert [s.kind for s in secrets.scan([beside], net)[0]] == [1, 3, 2, 3]
+    plain = "see https://docs.example.com/guides/getting-started/installation/2021/03/14/release-notes-for-version-12.html now"
+    assert secrets.scan([plain], net) == [[]]
+
+
 def test_secrets_redaction(spark):
     rows = [(1, f"a token={'f' * 40} b", "z"), (2, None, None), (3, "clean text", "z")]
     got = [tuple(r) for r in secrets.redact(spark.createDataFrame(rows, "doc_id long, text string, spans string")).collect()]
