@@ -62,6 +62,22 @@ def postings(chunks: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return listed.select("id", F.size("w").cast("long").alias("n"), F.explode("w").alias("term")).groupBy("id", "n", "term").agg(F.count("*").alias("tf"))
 
 
+def bm25_weights(queries: DataFrame, index: DataFrame, *, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """side, id, term, tf, weight: every posting of the texts (side passage) with
+    its saturated frequency, every term of the queries (side query) with its idf;
+    the product of both, summed over a query's terms, is the score of ``bm25``."""
+    texts = index.select("id", "n").dropDuplicates()
+    stats = F.broadcast(texts.agg(F.count("*").alias("total"), F.avg("n").alias("mean")))
+    gain = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n") / F.col("mean")))
+    passages = index.crossJoin(stats).select(F.lit("passage").alias("side"), "id", "term", "tf", gain.alias("weight"))
+    asked = small(queries.select("term").dropDuplicates())
+    df = index.join(asked, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    held = F.coalesce(F.col("df"), F.lit(0))
+    idf = F.log(1 + (F.col("total") - held + 0.5) / (held + 0.5))
+    wanted = queries.join(df, "term", "left").crossJoin(stats)
+    return passages.unionByName(wanted.select(F.lit("query").alias("side"), "id", "term", "tf", idf.alias("weight")))
+
+
 def bm25(queries: DataFrame, index: DataFrame, k: int, *, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """query_id, id, score, rank: the best texts of each query. Only postings of
     the queries' terms are scored."""

@@ -56,6 +56,12 @@ def em_sparse(spark, d):
     return R.postings(table(spark, d, "documents"), "doc_id", "text").where("tf >= 20").select("id", "term", "tf")
 
 
+@query()
+def em_sparse_weights(spark, d):
+    index = R.postings(table(spark, d, "documents"), "doc_id", "text")
+    return R.bm25_weights(R.postings(table(spark, d, "benchmark"), "item_id", "text"), index)
+
+
 _FUSED = """x AS (SELECT query_id % 40 AS query_id, id, min(rank) AS rx FROM dense GROUP BY ALL), f AS (SELECT query_id, id, round(0.6 * coalesce(1.0::DOUBLE / (20 + rx), 0) + 0.4 * coalesce(1.0::DOUBLE / (20 + sparse.rank), 0), 9) AS score FROM x FULL JOIN sparse USING (query_id, id)),
 fused AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM f) WHERE rank <= 10)"""
 

@@ -1,5 +1,8 @@
 """What SQL can't express, against plain Python; and edge cases."""
 
+import math
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -167,3 +170,38 @@ def test_two_sinks_stream(spark, sf_dir, tmp_path):
     q.awaitTermination(120)
     everything, security = spark.read.parquet(f"{tmp_path}/all"), spark.read.parquet(f"{tmp_path}/sec")
     assert everything.count() == 1000 and security.count() == everything.where("event_type = 'error'").count()
+
+
+def test_sparse_weights(spark):
+    texts = {1: "a a b rare", 2: "A, b!", 3: "b c c c c", 4: None}
+    asked = {7: "a unseen a", 8: "C"}
+    frame = lambda rows: spark.createDataFrame(list(rows.items()), "id long, text string")
+    index, queries = (retrieval.postings(frame(r), "id", "text") for r in (texts, asked))
+    got = {(r.side, r.id, r.term): (r.tf, round(r.weight, 9)) for r in retrieval.bm25_weights(queries, index).collect()}
+    words = {i: re.findall("[a-z]+", (t or "").lower()) for i, t in texts.items()}
+    words = {i: w for i, w in words.items() if w}
+    mean = sum(map(len, words.values())) / len(words)
+    want = {}
+    for i, w in words.items():
+        for term in set(w):
+            tf = w.count(term)
+            want["passage", i, term] = (tf, round(tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(w) / mean)), 9))
+    for i, t in asked.items():
+        w = t.lower().split()
+        for term in set(w):
+            df = sum(term in x for x in words.values())
+            want["query", i, term] = (w.count(term), round(math.log(1 + (len(words) - df + 0.5) / (df + 0.5)), 9))
+    assert got == want
+    pairs = retrieval.bm25(queries.select(F.col("id").alias("query_id"), "term"), index, 5).collect()
+    for r in pairs:
+        score = sum(v * got[("passage", r.id, term)][1] for (side, q, term), (_, v) in got.items() if side == "query" and q == r.query_id and ("passage", r.id, term) in got)
+        assert abs(score - r.score) < 1e-5
+
+
+def test_sparse_weights_keep_every_posting(spark, sf_dir):
+    from docweave import catalog
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    got = catalog.QUERIES["em_sparse_weights"](spark, sf_dir).where("side = 'passage'")
+    assert got.count() == retrieval.postings(docs, "doc_id", "text").count()
+    assert got.where("tf < 20").count() > 0
