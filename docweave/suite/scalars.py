@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
@@ -337,3 +338,50 @@ def fn_retry_after(spark, d):
 def fn_paragraphs(spark, d):
     p = F.split(F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n")), "\\n\\s*\\n")
     return table(spark, d, "documents").select("doc_id", F.posexplode(p).alias("i", "text")).select("doc_id", F.col("i").cast("long").alias("paragraph"), "text")
+
+
+# ---------------------------------------------------------------- operators over every row's own text
+# the queries of the same names without _all hold only constants
+
+
+@query()
+def fn_collapse_repeat_all(spark, d):
+    return table(spark, d, "documents").select("doc_id", X.collapse_repeats(F.col("text")).alias("text"))
+
+
+@query()
+def fn_fullwidth_all(spark, d):
+    return table(spark, d, "documents").select("doc_id", X.half_width(F.col("text")).alias("text"))
+
+
+@query()
+def fn_callout_heading_all(spark, d):
+    return blocks(spark, d).select("document_id", "block_order", X.is_callout(F.col("text")).alias("callout"), X.callout_format(F.col("text")).alias("formatted"))
+
+
+@query()
+def fn_list_marker_all(spark, d):
+    return blocks(spark, d).select("document_id", "block_order", X.list_item(F.col("text"), F.lit("-")).alias("item"))
+
+
+@query()
+def fn_context_anchor_all(spark, d):
+    # the lead-in of a table is the block before it
+    lead = F.lag("text", 1, "").over(Window.partitionBy("document_id").orderBy("block_order"))
+    led = blocks(spark, d).withColumn("lead", lead).where("type = 'table'")
+    return led.select("document_id", "block_order", G.lacks_anchor(F.col("text"), F.col("lead")).alias("missing"))
+
+
+@query()
+def prj_title_all(spark, d):
+    return table(spark, d, "documents").select("doc_id", X.title_from_filename(F.col("source")).alias("title"))
+
+
+@query()
+def fn_retry_after_all(spark, d):
+    return table(spark, d, "documents").select("doc_id", X.retry_seconds(F.col("text")).alias("wait"))
+
+
+@query()
+def fn_step_markers_all(spark, d):
+    return table(spark, d, "documents").select("doc_id", X.has_steps(F.col("text")).alias("steps"))

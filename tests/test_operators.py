@@ -205,3 +205,35 @@ def test_sparse_weights_keep_every_posting(spark, sf_dir):
     got = catalog.QUERIES["em_sparse_weights"](spark, sf_dir).where("side = 'passage'")
     assert got.count() == retrieval.postings(docs, "doc_id", "text").count()
     assert got.where("tf < 20").count() > 0
+
+
+def test_scalars_read_every_text(spark, tmp_path):
+    from docweave import catalog
+
+    texts = [
+        "Item " + "." * 40 + " end",
+        "ＡＢ１２ plain",
+        "<NOTE>\n<note> mind it\n- done\n todo",
+        "see 11H and 12K\na | b\nrow 11h | c\nno code\nx | y",
+        "Please retry in 12.5s.",
+        "Intro\n  Step 3 remove it",
+        "abab" * 10 + "\nWARNING",
+        "nothing 3",
+        "",
+    ]
+    sources = ["20240115_0042-feed_rate-manual.pdf", "web", "a_b-c.txt"]
+    rows = [(i, t, "en", sources[i % 3], len(t)) for i, t in enumerate(texts * 2)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = lambda name: {tuple(r) for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()}
+    wide = {c: c - 0xFEE0 for a, b in ((0xFF10, 0xFF19), (0xFF21, 0xFF3A), (0xFF41, 0xFF5A)) for c in range(a, b + 1)}
+    lines = [(i, k, b) for i, t, *_ in rows for k, b in enumerate(t.split("\n"))]
+    names = "IMPORTANT|NOTE|ONE POINT|WARNING|CAUTION|DANGER"
+    assert got("fn_collapse_repeat_all") == {(i, re.sub(r"(.{1,3}?)\1{9,}", r"\1\1\1", t)) for i, t, *_ in rows}
+    assert got("fn_fullwidth_all") == {(i, t.translate(wide)) for i, t, *_ in rows}
+    assert got("fn_callout_heading_all") == {(i, k, bool(re.fullmatch(rf"(?i)[\s<\[(*]*({names})[\s>\])*]*", b)), re.sub(rf"(?i)<({names})>\s*", r"**\1:** ", b)) for i, k, b in lines}
+    assert got("fn_list_marker_all") == {(i, k, b.strip(" ") if b.strip(" ").startswith("-") else "- " + b.strip(" ")) for i, k, b in lines}
+    assert got("fn_context_anchor_all") == {(i, k, missing) for i in (3, 12) for k, missing in ((1, True), (2, False), (4, False))}
+    titles = dict(zip(sources, ("Feed Rate Manual", "Web", "A B C")))
+    assert got("prj_title_all") == {(i, titles[source]) for i, _, _, source, _ in rows}
+    assert got("fn_retry_after_all") == {(i, 12.5 if "retry" in t else None) for i, t, *_ in rows}
+    assert got("fn_step_markers_all") == {(i, "Step" in t) for i, t, *_ in rows}
