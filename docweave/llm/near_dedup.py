@@ -4,13 +4,13 @@
    set's digest and a sketch: the ``k`` smallest hashes. Texts with equal sets
    form a class at once (aggregated, so a class of any size is one row).
 2. Two sets of the required similarity share at least ``c`` retained values
-   (exactly, where the sketch is the whole set; else but for a chance below
-   one in a million at the threshold itself, and far below above it). So they
+   (exactly, where the sketch is the whole set; else but for a chance of
+   2.3 in a million at the threshold itself, and far below above it). So they
    share one of the ``s - c + 1`` first values in any common order; with
    frequent values last, the inverted lists of shared passages stay out.
 3. Every list links its members to two pivots, and lists that then still have
    members of several components to eight more. A pair passes if the estimate
-   from the union's sketch may reach the threshold, and is a link if the
+   from the union's sketch may reach the threshold (but for 5.2 in a million), and is a link if the
    Jaccard similarity of the full sets does.
 4. Components of the links follow from min-label propagation with pointer
    jumping. Members of one list that are still in different components are
@@ -41,7 +41,7 @@ from ._words import NOT_SPACE, blocks, shingles
 _BITS = 1 << 20
 _WORDS = 8  # 64-bit words of a parity bitmap
 _PIVOTS = 8  # drawn for each list that is still mixed
-_Z = 4.75  # standard deviations: a chance below one in a million
+_Z = 4.75  # standard deviations: by the exact binomial tail a chance of 2 to 6 in a million (k = 192)
 
 
 def _sets(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -149,7 +149,7 @@ def _least_overlap(n: np.ndarray, k: int, num: int, den: int) -> np.ndarray:
     set of the required similarity. While both sketches must be whole sets it
     is exact; else the shared values of the union's sketch are a draw without
     replacement from a union of at most n / t values, and fewer than this come
-    with a chance below one in a million."""
+    with a chance of 2.3 in a million at most (k = 192, t of 0.80 or 0.85)."""
     t = num / den
     free = np.maximum(0, 1 - k * t / np.maximum(n, 1))
     drawn = np.floor(k * t - _Z * np.sqrt(k * t * (1 - t) * free))
