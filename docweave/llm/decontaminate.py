@@ -8,29 +8,47 @@ occurrence of a window are hit.
 
 Most text never comes near an item: a window can only lie in a run of words
 whose every neighbouring pair also stands in an item, so only such runs are
-walked; they are found for whole byte buffers at once.
+walked; one table of bits for the pairs of all items finds them for whole byte
+buffers at once.
 
 Items are taken in blocks of a bounded number of words, each with its own
-automaton, so what a task holds does not grow with the benchmark. Words are
-compared by 64-bit hashes. Null texts have no words; items without words have
-no windows; an item with a null id is left out.
+automaton in a file of the shared folder. A worker reads a text once, holds its
+runs against every block, and keeps at most ``HELD`` automata: neither passes
+over the documents nor memory grow with the benchmark, and rows are never
+matched up by their ids, so repeated and null ids change nothing.
+
+Words are compared by 64-bit hashes. Null texts have no words; items without
+words have no windows; an item with a null id is left out, and rows of one item
+id count as one item. Long texts and items are read whole. Columns of ``docs``
+other than id and text are not looked at; ``keep_clean`` and ``remove_spans``
+pass them on. An empty benchmark hits nothing; no rows give no rows.
 """
 
 from __future__ import annotations
 
+import math
+import pickle
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._scratch import cut, new_path, release
 from ._words import ALNUM, Words, blocks
 
 WINDOW = 13
 #: words of items for which one automaton is built (about 0.2 kB a word)
 BLOCK_WORDS = 400_000
+#: automata that a worker keeps
+HELD = 4
+#: bytes of text between two readings of an automaton, where there are more
+CHUNK = 1 << 26
+MOST_BITS = 27
 
 
 class Automaton:
@@ -131,132 +149,224 @@ class Automaton:
 
 
 class Matcher:
-    """Finds the windows of one block of items in tables of words."""
-
-    def __init__(self, ids: list[str], words: Words, window: int):
-        sizes = np.diff(words.ptr)
-        self.vocabulary, coded = np.unique(words.hashes, return_inverse=True)
-        self.n = np.uint64(len(self.vocabulary) + 1)
-        coded = coded.astype(np.uint64)
-        owner = np.repeat(np.arange(len(sizes)), sizes)
-        pairs = coded[:-1] * self.n + coded[1:]
-        self.pairs = np.unique(pairs[owner[:-1] == owner[1:]]) if len(coded) > 1 else coded[:0]
-        self.least = int(min(window, sizes[sizes > 0].min())) if (sizes > 0).any() else 0
-        code = coded.astype(np.int64).tolist()
-        self.automaton = Automaton([(i, code[s:e]) for i, s, e in zip(ids, words.ptr, words.ptr[1:]) if e > s], window)
-
-    def find(self, words: Words) -> dict[int, tuple[list[tuple[int, int]], set[str]]]:
-        """By text: spans of hit words, and items."""
-        found: dict[int, tuple[list[tuple[int, int]], set[str]]] = {}
-        w, ptr = words.hashes, words.ptr
-        if not len(w) or not self.least:
-            return found
-        at = np.minimum(np.searchsorted(self.vocabulary, w), len(self.vocabulary) - 1)
-        known = self.vocabulary[at] == w
-        joined = np.zeros(len(w) + 1, bool)  # word i and i - 1 stand together in an item
-        if len(self.pairs) and len(w) > 1:
-            key = at[:-1].astype(np.uint64) * self.n + at[1:].astype(np.uint64)
-            near = np.flatnonzero(known[:-1] & known[1:])
-            place = np.minimum(np.searchsorted(self.pairs, key[near]), len(self.pairs) - 1)
-            joined[near[self.pairs[place] == key[near]] + 1] = True
+    """The items of one block: their automaton, and codes for their words."""
+
+    def __init__(self, ids: list[str], held: list[np.ndarray], window: int):
+        flat = np.concatenate(held)
+        self.vocabulary, coded = np.unique(flat, return_inverse=True)
+        code, ends = coded.tolist(), np.cumsum([0, *map(len, held)]).tolist()
+        self.automaton = Automaton([(i, code[s:e]) for i, s, e in zip(ids, ends, ends[1:]) if e > s], window)
+
+    def walk(self, words: np.ndarray) -> tuple[list[tuple[int, int]], set[str]]:
+        """Spans of hit words in a run of hashed words, and items."""
+        at = np.minimum(np.searchsorted(self.vocabulary, words), len(self.vocabulary) - 1)
+        return self.automaton.walk(np.where(self.vocabulary[at] == words, at, -1).tolist())
+
+
+def _pair_bits(words: np.ndarray, power: int) -> np.ndarray:
+    """A place of ``2**power`` for every two neighbouring words."""
+    return (words[:-1] * np.uint64(0x9E3779B97F4A7C15) + words[1:] * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - power)
+
+
+def _word_bits(words: np.ndarray, power: int) -> np.ndarray:
+    return (words * np.uint64(0xA0761D6478BD642F)) >> np.uint64(64 - power)
+
+
+class Items:
+    """Benchmark items in files of the shared folder: a matcher for each block
+    of about ``block_words`` words, and one table of bits for the neighbouring
+    words of all items, of at most ``2**MOST_BITS`` bits.
+
+    Made by tasks: the driver sees one short row for a block. Long items are
+    taken apart into pieces that overlap by a window less one word, so every
+    window lies in a piece.
+    """
+
+    def __init__(self, items: DataFrame, *, window: int = WINDOW, item_col: str = "item_id", text_col: str = "text", block_words: int = BLOCK_WORDS):
+        spark = items.sparkSession
+        self.window, self.folder = window, new_path(spark, "items")
+        size = max(window, block_words // 8)
+
+        def pieces(batches):
+            for b in batches:
+                for first, end, words in blocks(b.column(1), ALNUM):
+                    item, place, part = [], [], []
+                    for i in range(end - first):
+                        seq = words.hashes[words.ptr[i] : words.ptr[i + 1]].view(np.int64)
+                        for s in range(0, max(1, len(seq) - window + 1), size) if len(seq) else ():
+                            item.append(first + i)
+                            place.append(s)
+                            part.append(seq[s : s + size + window - 1])
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(item, pa.int64())), pa.array(place, pa.int64()), pa.array(part, pa.list_(pa.int64()))], ["item", "place", "words"])
+
+        named = items.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")).where("item is not null")
+        cut_up = cut(named.mapInArrow(pieces, "item string, place long, words array<long>"), "pieces")
+        seen = cut_up.agg(F.sum(F.size("words")).alias("n"), F.min(F.size("words")).alias("least")).first()
+        self.least = int(seen["least"] or 0)
+        self.power = int(min(MOST_BITS, max(16, math.ceil(math.log2(16 * (seen["n"] or 1))))))
+        n_blocks = max(1, -(-(seen["n"] or 0) // block_words))
+        folder, power = self.folder, self.power
+
+        def build(group: pa.Table) -> pa.Table:
+            group = group.sort_by([("item", "ascending"), ("place", "ascending")])
+            held = [np.array(w, np.int64).view(np.uint64) for w in group.column("words").to_pylist()]
+            fs, base = pafs.FileSystem.from_uri(folder)
+            fs.create_dir(base, recursive=True)
+            name = f"block-{uuid.uuid4().hex}"
+            with fs.open_output_stream(f"{base}/{name}") as out:
+                out.write(pickle.dumps(Matcher(group.column("item").to_pylist(), held, window), 5))
+            with fs.open_output_stream(f"{base}/{name}.bits") as out:
+                out.write(pickle.dumps([np.unique(np.concatenate([f(h, power) for h in held])) for f in (_pair_bits, _word_bits)], 5))
+            return pa.table({"name": [name]})
+
+        def gather(batches):
+            names = [n for b in batches for n in b.column(0).to_pylist()]
+            fs, base = pafs.FileSystem.from_uri(folder)
+            tables = np.zeros((2, 1 << power - 3), np.uint8)
+            for name in names:
+                with fs.open_input_file(f"{base}/{name}.bits") as f:
+                    for table, at in zip(tables, pickle.loads(f.read())):
+                        np.bitwise_or.at(table, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+            if names:
+                bits = f"bits-{uuid.uuid4().hex}"
+                with fs.open_output_stream(f"{base}/{bits}") as out:
+                    out.write(tables.tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array([bits]), pa.array([sorted(names)])], ["bits", "names"])
+
+        block = F.pmod(F.xxhash64("item", "place"), F.lit(n_blocks)).alias("block")
+        told = cut(cut_up.select("*", block).groupBy("block").applyInArrow(build, "name string"), "blocks")  # one attempt's files count
+        row = told.coalesce(1).mapInArrow(gather, "bits string, names array<string>").first()
+        self.bits, self.names = (row["bits"], row["names"]) if row else ("", [])
+        release(cut_up, told)
+
+    def _read(self, name: str) -> bytes:
+        fs, base = pafs.FileSystem.from_uri(self.folder)
+        with fs.open_input_file(f"{base}/{name}") as f:
+            return f.read()
+
+
+class Finder:
+    """A worker's side of :class:`Items`: at most ``HELD`` matchers at once."""
+
+    def __init__(self, items: Items):
+        self.items = items
+        self.bits = np.frombuffer(items._read(items.bits), np.uint8).reshape(2, -1) if items.names else None
+        self._held: dict[str, Matcher] = {}
+
+    @property
+    def chunk(self) -> int:
+        """Bytes of text to gather before :meth:`solve`: where matchers come
+        and go each is read once for a chunk."""
+        return CHUNK if len(self.items.names) > HELD else 0
+
+    def _matcher(self, name: str) -> Matcher:
+        found = self._held.pop(name, None)
+        if found is None:
+            while len(self._held) >= HELD:
+                del self._held[next(iter(self._held))]
+            found = pickle.loads(self.items._read(name))
+        self._held[name] = found
+        return found
+
+    def _set(self, table: int, at: np.ndarray) -> np.ndarray:
+        return (self.bits[table][at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+    def runs(self, words: Words) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(text, place in it, words) of the runs in which a window can lie:
+        all neighbours of a window are neighbours in an item."""
+        w, ptr, power = words.hashes, words.ptr, self.items.power
+        if not len(w) or self.bits is None:
+            return
+        joined = np.zeros(len(w) + 1, bool)  # word i and i - 1 may stand together in an item
+        if len(w) > 1:
+            joined[1:-1] = self._set(0, _pair_bits(w, power))
             joined[ptr] = False
+        known = self._set(1, _word_bits(w, power)) if self.items.least == 1 else joined[:-1] | joined[1:]
         begin = np.flatnonzero(known & ~joined[:-1])
         end = np.flatnonzero(known & ~joined[1:]) + 1
-        runs = end - begin >= self.least
-        for s, e in zip(begin[runs], end[runs]):
-            spans, items = self.automaton.walk(at[s:e].tolist())
-            if spans:
-                text = int(np.searchsorted(ptr, s, "right")) - 1
-                all_spans, all_items = found.setdefault(text, ([], set()))
-                all_spans += [(int(s - ptr[text]) + a, int(s - ptr[text]) + b) for a, b in spans]
-                all_items |= items
-        return found
+        long = end - begin >= self.items.least
+        for s, e in zip(begin[long].tolist(), end[long].tolist()):
+            text = int(np.searchsorted(ptr, s, "right")) - 1
+            yield text, s - int(ptr[text]), w[s:e]
+
+    def solve(self, runs: list[tuple[object, int, np.ndarray]]) -> dict:
+        """By text: its spans of hit words (maximal, in order) and its items."""
+        found: dict = {}
+        for name in self.items.names if runs else ():
+            matcher = self._matcher(name)
+            for text, at, words in runs:
+                spans, items = matcher.walk(words)
+                if spans:
+                    all_spans, all_items = found.setdefault(text, ([], set()))
+                    all_spans += [(at + s, at + e) for s, e in spans]
+                    all_items |= items
+        return {k: (merged(s), i) for k, (s, i) in found.items()}
 
 
-def _item_blocks(items: DataFrame, window: int, block_words: int) -> Iterator[Matcher]:
-    """Matchers of the items in the order of their ids."""
+_kept: dict[str, Finder] = {}
 
-    def run(batches):
-        for b in batches:
-            for first, end, words in blocks(b.column(1), ALNUM):
-                parts = [words.hashes[s:e].view(np.int64) for s, e in zip(words.ptr, words.ptr[1:])]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, end - first), pa.array(parts, pa.list_(pa.int64()))], ["item", "words"])
 
-    ids: list[str] = []
-    held: list[np.ndarray] = []
+def _found(batches, place: int, items: Items) -> Iterator[tuple[pa.RecordBatch, np.ndarray, dict]]:
+    """(batch, words of each text, by row its spans and items), for parts of the batches."""
+    if items.folder not in _kept:
+        _kept.clear()
+        _kept[items.folder] = Finder(items)
+    finder = _kept[items.folder]
+    waiting: list[tuple[pa.RecordBatch, np.ndarray]] = []
+    runs: list = []
     size = 0
-    for row in items.mapInArrow(run, "item string, words array<long>").orderBy("item").toLocalIterator():
-        seq = np.array(row["words"], np.int64).view(np.uint64)
-        if ids and size + len(seq) > block_words:
-            yield _matcher(ids, held, window)
-            ids, held, size = [], [], 0
-        ids.append(row["item"])
-        held.append(seq)
-        size += len(seq)
-    if ids:
-        yield _matcher(ids, held, window)
 
-
-def _matcher(ids: list[str], held: list[np.ndarray], window: int) -> Matcher:
-    return Matcher(ids, Words(np.concatenate(held), np.cumsum([0, *map(len, held)])), window)
+    def flush():
+        found: list[dict] = [{} for _ in waiting]
+        for (n, i), value in finder.solve(runs).items():
+            found[n][i] = value
+        for (part, n_words), here in zip(waiting, found):
+            yield part, n_words, here
+        waiting.clear()
+        runs.clear()
+
+    for b in batches:
+        for first, end, words in blocks(b.column(place), ALNUM):
+            runs += [((len(waiting), i), at, w.copy()) for i, at, w in finder.runs(words)]
+            waiting.append((b.slice(first, end - first), np.diff(words.ptr)))
+            size += waiting[-1][0].column(place).nbytes
+            if size >= finder.chunk:
+                yield from flush()
+                size = 0
+    yield from flush()
+
+
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans in order, those that touch or overlap as one."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(spans):
+        if out and s <= out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
 
 
 _SCHEMA = "doc_id long, n_words long, spans array<struct<start:long,end:long>>, items array<string>"
 
 
-def _against(texts: DataFrame, matcher: Matcher | None) -> DataFrame:
-    held = texts.sparkSession.sparkContext.broadcast(matcher)
+def find_windows(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """doc_id, n_words, spans (of hit words; maximal, in order), items (sorted):
+    one row for every row of ``docs``, found in one pass over it. ``options``
+    are those of :class:`Items`; none but ``window`` changes a row."""
+    held = Items(items, **options)
     span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 
     def run(batches):
-        matcher = held.value
-        for b in batches:
-            for first, end, words in blocks(b.column(1), ALNUM):
-                found = matcher.find(words) if matcher else {}
-                spans = [[{"start": s, "end": e} for s, e in found[i][0]] if i in found else [] for i in range(end - first)]
-                names = [sorted(found[i][1]) if i in found else [] for i in range(end - first)]
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(first, end - first), pa.array(np.diff(words.ptr), pa.int64()), pa.array(spans, pa.list_(span)), pa.array(names, pa.list_(pa.string()))],
-                    ["doc_id", "n_words", "spans", "items"],
-                )
-
-    return texts.mapInArrow(run, _SCHEMA)
-
+        for b, n_words, found in _found(batches, 1, held):
+            spans: list[list] = [[] for _ in range(b.num_rows)]
+            names: list[list] = [[] for _ in range(b.num_rows)]
+            for i, (s, n) in found.items():
+                spans[i] = [{"start": x, "end": y} for x, y in s]
+                names[i] = sorted(n)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(span)), pa.array(names, pa.list_(pa.string()))], ["doc_id", "n_words", "spans", "items"])
 
-def find_windows(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", block_words: int = BLOCK_WORDS) -> DataFrame:
-    """doc_id, n_words, spans (of hit words; maximal, in order), items (sorted).
-
-    One row for every row of ``docs``; with several blocks of items, rows that
-    share an id and number of words count as the same document.
-    """
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    named = items.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")).where("item is not null")
-    parts = [_against(texts, m) for m in _item_blocks(named, window, block_words)] or [_against(texts, None)]
-    if len(parts) == 1:
-        return parts[0]
-    whole = parts[0]
-    for p in parts[1:]:
-        whole = whole.unionByName(p)
-    gathered = whole.groupBy("doc_id", "n_words").agg(
-        (F.count("*") / len(parts)).cast("int").alias("rows"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-    )
-    empty = F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)")
-    # spans are sorted by start: one that begins inside the last one extends it
-    merged = F.reduce(
-        "spans",
-        empty,
-        lambda acc, s: F.when(
-            (F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= s["start"]),
-            F.concat(
-                F.slice(acc, 1, F.size(acc) - 1),
-                F.array(F.named_struct(F.lit("start"), F.element_at(acc, -1)["start"], F.lit("end"), F.greatest(F.element_at(acc, -1)["end"], s["end"]))),
-            ),
-        ).otherwise(F.concat(acc, F.array(s))),
-    )
-    once = F.explode(F.sequence(F.lit(1), F.col("rows"))).alias("_")
-    return gathered.select("doc_id", "n_words", merged.alias("spans"), "items", once).drop("_")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, _SCHEMA)
 
 
 def contamination(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
@@ -269,41 +379,25 @@ def contamination(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), flag.alias("contaminated"), "spans")
 
 
-def keep_clean(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, text_col: str = "text", item_col: str = "item_id", block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The rows of ``docs`` that aren't contaminated, as they are. With several
-    blocks of items every block's hits count together."""
-    named = items.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")).where("item is not null")
-    held = [docs.sparkSession.sparkContext.broadcast(m) for m in _item_blocks(named, window, block_words)]
+def keep_clean(docs: DataFrame, items: DataFrame, *, text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that aren't contaminated, as they are."""
+    held = Items(items, **options)
     place = docs.columns.index(text_col)
 
     def run(batches):
-        for b in batches:
+        for b, n_words, found in _found(batches, place, held):
             clean = np.ones(b.num_rows, bool)
-            for first, _, words in blocks(b.column(place), ALNUM):
-                hits: dict[int, list] = {}
-                for matcher in held:
-                    for i, (spans, _) in matcher.value.find(words).items():
-                        hits.setdefault(i, []).extend(spans)
-                for i, spans in hits.items():
-                    n_hit = sum(e - s for s, e in merged(spans))
-                    clean[first + i] = n_hit * 20 < words.ptr[i + 1] - words.ptr[i]
+            for i, (spans, _) in found.items():
+                clean[i] = sum(e - s for s, e in spans) * 20 < n_words[i]
             yield b if clean.all() else b.filter(pa.array(clean))
 
     return docs.mapInArrow(run, docs.schema)
 
 
-def merged(spans: list[tuple[int, int]]) -> list[list[int]]:
-    """Spans in order, those that touch or overlap as one."""
-    out: list[list[int]] = []
-    for s, e in sorted(spans):
-        if out and s <= out[-1][1]:
-            out[-1][1] = max(e, out[-1][1])
-        else:
-            out.append([s, e])
-    return out
+_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
-def remove_spans(docs: DataFrame, items: DataFrame, *, max_words: int | None = None, max_share: float = 0.05, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def remove_spans(docs: DataFrame, items: DataFrame, *, max_words: int | None = None, max_share: float = 0.05, text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` with benchmark passages cut out of their texts.
 
     Where at least ``max_share`` of the words is hit all spans go; elsewhere
@@ -311,35 +405,27 @@ def remove_spans(docs: DataFrame, items: DataFrame, *, max_words: int | None = N
     is cut from its first word's start to its last word's end. Other texts stay
     as they are.
     """
-    held = [docs.sparkSession.sparkContext.broadcast(m) for m in _item_blocks(items.select(F.col(options.pop("item_col", "item_id")).cast("string").alias("item"), F.col(text_col).alias("text")).where("item is not null"), options.pop("window", WINDOW), options.pop("block_words", BLOCK_WORDS))]
+    held = Items(items, **options)
     place = docs.columns.index(text_col)
-    lower = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
     def cleaned(text: str, spans: list[tuple[int, int]]) -> str:
-        joined = merged(spans)
         raw = text.encode()
-        at = [(m.start(), m.end()) for m in re.finditer(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", raw.translate(lower))]
-        all_go = sum(e - s for s, e in joined) >= max_share * len(at)
+        at = [(m.start(), m.end()) for m in re.finditer(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", raw.translate(_LOWER))]
+        all_go = sum(e - s for s, e in spans) >= max_share * len(at)
         out, last = [], 0
-        for s, e in joined:
+        for s, e in spans:
             if all_go or (max_words is not None and e - s > max_words):
                 out.append(raw[last : at[s][0]])
                 last = at[e - 1][1]
         return b"".join([*out, raw[last:]]).decode()
 
     def run(batches):
-        for b in batches:
-            for first, end, words in blocks(b.column(place), ALNUM):
-                spans: dict[int, list] = {}
-                for matcher in held:
-                    for i, (s, _) in matcher.value.find(words).items():
-                        spans.setdefault(i, []).extend(s)
-                part = b.slice(first, end - first)
-                if spans:
-                    texts = part.column(place).to_pylist()
-                    for i, s in spans.items():
-                        texts[i] = cleaned(texts[i], s)
-                    part = part.set_column(place, part.schema.field(place), pa.array(texts, part.schema.field(place).type))
-                yield part
+        for b, _, found in _found(batches, place, held):
+            if found:
+                texts = b.column(place).to_pylist()
+                for i, (spans, _) in found.items():
+                    texts[i] = cleaned(texts[i], spans)
+                b = b.set_column(place, b.schema.field(place), pa.array(texts, b.schema.field(place).type))
+            yield b
 
     return docs.mapInArrow(run, docs.schema)

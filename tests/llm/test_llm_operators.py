@@ -433,21 +433,22 @@ def windows_of(items):
     return out
 
 
-@pytest.mark.parametrize("block_words", [10**6, 40])
+@pytest.mark.parametrize("block_words", [10**6, 40, 14])
 def test_decontamination(spark, block_words):
     rng = random.Random(9)
     vocab = [f"v{i}" for i in range(30)]
     sent = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
     items = [(1, sent(40)), (2, sent(20)), (3, "short item"), (10, "v1"), (4, None), (5, ""), (6, "..."), (7, sent(13))]
-    items += [(8, items[0][1]), (9, "v2 v3")]
+    items += [(8, items[0][1]), (9, "v2 v3"), (11, sent(500)), (None, sent(30)), (2, sent(15))]
     docs = [(0, None), (1, ""), (2, sent(300)), (3, items[0][1].upper()), (4, sent(100) + " " + items[1][1] + ", " + sent(50)), (5, "a Short-Item b"), (6, "é" + items[7][1]), (7, items[7][1].replace(" ", " -- ")), (8, "xyz " * 50), (8, "xyz " * 50)]
-    docs += [(9, " ".join(["zz"] * 400 + items[1][1].split() + ["zz"] * 400))]
-    wins = windows_of(items)
+    docs += [(9, " ".join(["zz"] * 400 + items[1][1].split() + ["zz"] * 400)), (10, items[10][1]), (11, "v1 " * 30000)]
+    # rows of one id, and without one, with as many words but not the same ones
+    docs += [(5, items[7][1]), (5, "xyz " * 13), (None, items[7][1]), (None, "xyz " * 13), (None, items[11][1])]
+    wins = windows_of([x for x in items if x[0] is not None])
     got = decontaminate.contamination(
-        spark.createDataFrame([(i, t, "x") for i, t in docs], "doc_id long, text string, item string"), spark.createDataFrame(items, "item_id long, text string"), block_words=block_words
+        spark.createDataFrame([(i, t, "x") for i, t in docs], "doc_id long, text string, item string").repartition(3), spark.createDataFrame(items, "item_id long, text string"), block_words=block_words
     ).collect()
-    assert len(got) == len(docs)
-    truth = {}
+    truth = []
     for i, t in docs:
         w = DWORD.findall(low(t))
         hit, found = set(), set()
@@ -456,9 +457,8 @@ def test_decontamination(spark, block_words):
                 if tuple(w[k : k + len(win)]) == win:
                     hit.update(range(k, k + len(win)))
                     found |= ids
-        truth[i] = (len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), len(hit) > 0 and 20 * len(hit) >= len(w))
-    for r in got:
-        assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == truth[r.doc_id], r.doc_id
+        truth.append((i if i is not None else -1, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), len(hit) > 0 and 20 * len(hit) >= len(w)))
+    assert sorted((r.doc_id if r.doc_id is not None else -1, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got) == sorted(truth)
 
 
 def test_decontamination_cuts_and_keeps(spark, empty):
