@@ -2,26 +2,38 @@
 
 An Aho-Corasick automaton gives every vocabulary piece that ends at each
 character; for each end the best total score is kept with the number of pieces
-on its path, and nothing else. Ties follow the unigram tokenizer of the
-sentencepiece library: of equal totals the path whose last piece starts first
-wins. A character that no piece covers costs the least score minus 10 and
-counts as one piece, or as its UTF-8 bytes where the vocabulary has bytes.
+on its path, and nothing else. The counts are those of the unigram tokenizer of
+the sentencepiece library, with its rules for ties and rounding:
 
-A text gets the marker U+2581 for each space (and one in front). Where no piece
-has the marker behind another character, best paths never cross a word's start,
-so each distinct word is solved once and remembered. Scores of a word are summed
-in float32 as the library does for a text of that word.
+- scores add up in 32 bits, and of totals that come out equal the path whose
+  last piece starts first wins;
+- where the score of a place passes ``RESET`` it and all scores beyond it are
+  counted anew from that place, in 32 bits again. Beside a marker whose own score
+  is -1e9 this rounds the first pieces of a word to multiples of 64, so a longer
+  first piece may win over a better pair; what the rounding does depends on
+  the score modulo 64 with which the word before ended;
+- a character that no piece covers costs the least score minus 10 and counts
+  as its UTF-8 bytes where the vocabulary has bytes; else a run of such is one.
+
+A text gets the marker U+2581 for each space (and one in front). Where scores
+are whole numbers and no piece crosses a word's start, each word is solved once
+for each such remainder and remembered (characters that no piece has stand alone,
+and the score begins anew behind them); other vocabularies go through whole texts.
 
 The public vocabulary file at hand was made for BPE; its pieces and scores are
 used as a unigram vocabulary here (the library does the same if the file's model
 type is switched), so the counts are those of that unigram tokenizer.
+
+One row comes out for every row. A null or empty text has no characters and no
+tokens; null and repeated ids and repeated rows stay as they are, other columns
+are not read, and very long texts are counted whole.
 """
 
 from __future__ import annotations
 
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +41,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
+#: fixed value of the library: a score beyond it is counted anew
+RESET = 100_000
+
+
+def _single(x: float) -> float:
+    """``x`` in 32 bits."""
+    return float(np.float32(x))
 
 
 def fields(data: bytes) -> Iterator[tuple[int, int, bytes | int]]:
@@ -72,9 +91,9 @@ def pieces(path: str) -> tuple[list[tuple[str, float, int]], dict[int, int]]:
 
 
 class Counter:
-    """Counts pieces of texts, one distinct word at a time."""
+    """Counts pieces of texts, one distinct word at a time where it can."""
 
-    def __init__(self, path: str, cache_words: int = 1 << 19):
+    def __init__(self, path: str, cache_words: int = 1 << 18):
         import ahocorasick
 
         found, flags = pieces(path)
@@ -82,81 +101,164 @@ class Counter:
             raise ValueError("a vocabulary that drops spaces isn't supported")
         self.prefix = MARK if flags.get(3, 1) else ""
         normal = [(p, s) for p, s, kind in found if kind == 1]
-        if any(kind == 4 for _, _, kind in found) or any(MARK in p.lstrip(MARK) for p, _ in normal):
-            raise ValueError("a vocabulary with pieces across words or of users isn't supported")
+        if any(kind == 4 for _, _, kind in found) or MARK not in dict(normal):
+            raise ValueError("a vocabulary with pieces of users, or without the marker, isn't supported")
         self.by_bytes = any(kind == 6 for _, _, kind in found)
-        self.unknown = np.float32(min(s for _, s in normal) - 10)
-        self._whole = all(s == int(s) <= 0 for _, s in normal)
+        self.unknown = _single(min(s for _, s in normal) - 10)
+        self._longest = max(len(p) for p, _ in normal)
+        known = "".join(map(re.escape, sorted(set().union(*(p for p, _ in normal)) - {MARK})))
+        self._known = re.compile(f"[{MARK}{known}]").match
+        self._alone = {p for p, _ in normal if len(p) == 1}
+        self._words = re.compile(f"{MARK}*[{known}]+|{MARK}+|[^{MARK}{known}]+").findall
+        #: of words met again, results by the difference at their start (from
+        #: the least); a result is a number of pieces and the difference after
+        #: them, the latter in its lowest 20 bits
+        self._cache: dict[str, tuple[int, ...]] = {}
+        #: of words met once, the difference and its result
+        self._once: dict[str, int] = {}
+        self._size = cache_words
+        self._coarse = self._half = None
+        marks = {s for p, s in normal if not p.strip(MARK)}
+        inside = any(MARK in p.lstrip(MARK) or (p.startswith(MARK * 2) and p.strip(MARK)) for p, _ in normal)
+        if len(marks) == 1 and not inside and all(s == int(s) <= 0 for _, s in normal) and min(marks) <= -(1 << 24):
+            self._coarse = int(min(marks))
+            self._half = int(abs(np.spacing(np.float32(self._coarse)))) // 2
+            self._coarse = self._coarse if self._half < 1 << 18 else None
         self._automaton = ahocorasick.Automaton()
         for p, s in normal:
-            self._automaton.add_word(p, (len(p), s))
+            self._automaton.add_word(p, (len(p), int(s), self._offsets(p, int(s))) if self._coarse else (len(p), s, None))
         self._automaton.make_automaton()
-        self._words = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+").findall
-        self._cache: dict[str, int] = {}
-        self._size = cache_words
 
-    def _solve(self, word: str) -> int:
-        """Pieces on the best path of one word."""
-        n = len(word)
-        ends: list[list[tuple[int, float]]] = [[] for _ in range(n)]
-        for end, piece in self._automaton.iter(word):  # at each end the longest piece first
-            ends[end].append(piece)
-        if self._whole and all(found and found[-1][0] == 1 for found in ends):
-            total, pieces_ = self._plain(ends)
-            # whole numbers above -2**24 add up alike in 32 bits and in 64; scores
-            # are not positive, so then all on the best path and all its rivals do,
-            # but for paths so bad that no rounding makes them rivals
-            if total > -(1 << 24):
-                return pieces_
-        number = np.float32
-        best, count, unknown = [number(0)] * (n + 1), [0] * (n + 1), number(self.unknown)
-        for end, found in enumerate(ends, 1):
-            top, pieces_ = None, 0
+    def _offsets(self, piece: str, score: int) -> tuple[list[int], list[int]] | None:
+        """For each difference at a word's start, from the least, the score of a
+        first piece as rounded beside the marker's own; and where it changes."""
+        if not piece.strip(MARK) or not piece.startswith(MARK):
+            return None
+        sums = np.arange(-self._half, self._half + 1) + float(score - self._coarse)
+        out = (sums.astype(np.float32).astype(np.float64) + self._coarse).astype(int)
+        return out.tolist(), (np.flatnonzero(np.diff(out)) + 1).tolist()
+
+    def _exact(self, text: str, start: float) -> tuple[int, float]:
+        """Pieces of a text and the score at its end, in 32-bit steps from the
+        score ``start``."""
+        n, longest = len(text), self._longest
+        by_start: list[list[tuple[int, float]]] = [[] for _ in text]
+        for end, (size, score, _) in self._automaton.iter(text):
+            by_start[end + 1 - size].append((size, score))
+        best: list[float | None] = [start, *[None] * n]
+        count, last_unknown = [0] * (n + 1), [False] * (n + 1)
+        for i, found in enumerate(by_start):
+            here = best[i]
+            if abs(here) > RESET:
+                for j in range(i + 1, min(n, i + longest) + 1):
+                    if best[j] is not None:
+                        best[j] = _single(best[j] - here)
+                here = 0.0
             for size, score in found:
-                total = best[end - size] + number(score)
-                if top is None or total > top:
-                    top, pieces_ = total, count[end - size] + 1
-            if not found or found[-1][0] != 1:
-                total = best[end - 1] + unknown
-                if top is None or total > top:
-                    top, pieces_ = total, count[end - 1] + (len(word[end - 1].encode()) if self.by_bytes else 1)
-            best[end], count[end] = top, pieces_
-        return count[n]
+                total = _single(here + score)
+                if best[i + size] is None or total > best[i + size]:
+                    best[i + size], count[i + size], last_unknown[i + size] = total, count[i] + 1, False
+            if not any(size == 1 for size, _ in found):
+                total = _single(here + self.unknown)
+                if best[i + 1] is None or total > best[i + 1]:
+                    more = len(text[i].encode()) if self.by_bytes else not last_unknown[i]
+                    best[i + 1], count[i + 1], last_unknown[i + 1] = total, count[i] + more, True
+        return count[n], best[n]
+
+    def _solve(self, word: str, at: int) -> int:
+        """The result of a word for the difference ``at`` its start.
+        Differences that round its first pieces alike have one result; a word
+        that is met again is solved for all of them."""
+        if not self._known(word):  # nothing reaches across such characters
+            return self._keep(word, at, [self._after(len(word.encode()) if self.by_bytes else 1, RESET + 1)])
+        found = list(self._automaton.iter(word))  # by end, the longest first
+        # the marker with one character, and the longer first pieces
+        first = [piece[2] for _, piece in found if piece[2]]
+        zero = first.pop(0) if first and any(piece[2] and piece[0] == 2 for _, piece in found[:4]) else None
+        if word[:2] == MARK * 2 or not self._alone.issuperset(word) or (first and not zero):
+            return self._after(*self._exact(word, float(at - self._half)))
+        n = len(word)
+        if not zero:
+            return self._keep(word, at, [self._after(*self._plain(found, n, int(word[0] == MARK), ()))])
+        ways: dict[tuple[int, ...], int] = {}
+
+        def result(i: int) -> int:
+            way = tuple([f[0][i] - zero[0][i] for f in first])
+            if way not in ways:
+                ways[way] = self._after(*self._plain(found, n, 2, way))
+            return ways[way]
+
+        if word not in self._once:
+            return self._keep(word, at, result(at))
+        row: list[int] = []
+        steps = sorted({0, *zero[1], *(i for f in first for i in f[1])})
+        for here, after in zip(steps, [*steps[1:], 2 * self._half + 1]):
+            row += [result(here)] * (after - here)
+        return self._keep(word, at, row)
+
+    def _keep(self, word: str, at: int, found: int | list[int]) -> int:
+        if isinstance(found, int):
+            self._once[word] = found << 20 | at
+            return found
+        self._once.pop(word, None)
+        self._cache[word] = tuple(found * (2 * self._half + 1) if len(found) == 1 else found)
+        return self._cache[word][at]
+
+    def _word(self, word: str, at: int) -> int:
+        """What :meth:`_solve` says, for a word that isn't in the cache."""
+        once = self._once.get(word)
+        if once is not None and once & 0xFFFFF == at:
+            return once >> 20
+        return self._solve(word, at)
+
+    def _after(self, pieces_: int, score: float) -> int:
+        left = 0 if abs(score) > RESET else int(score + self._coarse - _single(score + self._coarse))
+        return pieces_ << 20 | left + self._half
 
     @staticmethod
-    def _plain(ends: list[list[tuple[int, float]]]) -> tuple[float, int]:
-        """Total and pieces of the best path, where every character is a piece."""
-        best, count = [0.0], [0]
-        for end, found in enumerate(ends, 1):
-            if len(found) == 1:
-                best.append(best[-1] + found[0][1])
-                count.append(count[-1] + 1)
-                continue
-            top = None
-            for size, score in found:
+    def _plain(found: list[tuple[int, tuple]], n: int, begin: int, way: Sequence[int]) -> tuple[int, int]:
+        """Pieces and score in whole numbers, for a word whose every character
+        is a piece. It begins behind the marker and its first character (2), for
+        only the scores of its first pieces are rounded, and ``way`` is how,
+        beside that of the shortest; or at once (0), or behind the marker (1)."""
+        best, count = [-(1 << 60)] * (n + 1), [0] * (n + 1)
+        best[begin], count[begin] = 0, int(begin > 0)
+        turn = 0
+        for end, (size, score, rounded) in found:
+            end += 1
+            if rounded is None:
                 total = best[end - size] + score
-                if top is None or total > top:
-                    top, at = total, end - size
-            best.append(top)
-            count.append(count[at] + 1)
-        return best[-1], count[-1]
+                if total > best[end]:
+                    best[end], count[end] = total, count[end - size] + 1
+            elif size > 2:  # the first of its end
+                best[end], count[end] = way[turn], 1
+                turn += 1
+        zero = 0  # the score from which scores are counted
+        if not -RESET <= min(best[begin:]) <= max(best[begin:]) <= RESET:
+            for score in best[begin:n]:
+                if not -RESET <= score - zero <= RESET:
+                    zero = score
+        return count[n], best[n] - zero
 
     def count(self, text: str | None) -> int:
         if not text:
             return 0
-        cache = self._cache
-        words = self._words(self.prefix + text.replace(" ", MARK))
-        try:
-            return sum(map(cache.__getitem__, words))
-        except KeyError:
-            for w in set(words).difference(cache):
-                cache[w] = self._solve(w)
-            out = sum(map(cache.__getitem__, words))
-            if len(cache) > self._size:
+        text = self.prefix + text.replace(" ", MARK)
+        if self._coarse is None:
+            return self._exact(text, 0.0)[0]
+        rows = self._cache
+        total, at = 0, self._half
+        for word in self._words(text):
+            row = rows.get(word)
+            found = row[at] if row else self._word(word, at)
+            total += found >> 20
+            at = found & 0xFFFFF
+        for cache, size in ((rows, self._size), (self._once, 2 * self._size)):
+            if len(cache) > size:
                 # words met first are the frequent ones; those met late go
-                for w in list(cache)[self._size // 2 :]:
+                for w in list(cache)[size // 2 :]:
                     del cache[w]
-            return out
+        return total
 
 
 _kept: dict[str, Counter] = {}

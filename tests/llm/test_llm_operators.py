@@ -4,6 +4,7 @@ very long texts, ties, repeated rows, empty tables and clashing column names."""
 import hashlib
 import random
 import re
+import struct
 import textwrap
 import zlib
 from itertools import combinations
@@ -282,24 +283,21 @@ def test_bpe_query_form(docs, fixture_texts, empty):
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
-def unigram_library():
-    """The library over the same vocabulary, its model type switched to unigram."""
+def unigram_library(score=None):
+    """The library over the same vocabulary, its model type switched to unigram;
+    ``score`` gives pieces other scores."""
     import sentencepiece
 
     data = open(PIECES, "rb").read()
     out = bytearray()
-    at = 0
     for number, kind, value in token_counts.fields(data):
-        assert kind == 2
         if number == 2:
-            inner = bytearray()
-            for n, k, v in token_counts.fields(value):
-                if n == 3:
-                    v = 1
-                inner += _field(n, k, v)
-            value = bytes(inner)
+            value = b"".join(_field(n, k, 1 if n == 3 else v) for n, k, v in token_counts.fields(value))
+        elif number == 1 and score:
+            held = {n: v for n, _, v in token_counts.fields(value)}
+            value = b"".join(_field(n, k, v) for n, k, v in token_counts.fields(value) if n != 2)
+            value += bytes([2 << 3 | 5]) + struct.pack("<f", score(held[1].decode(), struct.unpack("<f", held[2])[0]))
         out += _field(number, kind, value)
-        at += 1
     return sentencepiece.SentencePieceProcessor(model_proto=bytes(out))
 
 
@@ -318,15 +316,35 @@ def _field(n, kind, value):
     return head + (_varint(value) if kind == 0 else _varint(len(value)) + value if kind == 2 else value)
 
 
-def test_token_counts_equal_library(fixture_texts):
+def test_token_counts_equal_library(spark, sf_dir, fixture_texts):
+    """Whole texts, real ones and odd ones, with a cache that overflows."""
     lib = unigram_library()
-    counter = token_counts.Counter(PIECES, cache_words=40)
-    # one word at a time: sums of whole texts lose whole numbers in the library's 32 bits
-    words = sorted({w for t in fixture_texts if t for w in t.split()})[:400] + ["Übergrößenträger", "日本語", "don't", "e=mc²", "🙂🙂", "▁x", "antidisestablishmentarianism"]
-    for w in words:
-        assert counter.count(w) == len(lib.encode(w)), w
-    for t in ("two words", "  lead and  double ", "a", " "):
-        assert counter.count(t) == len(lib.encode(t)), repr(t)
+    counter = token_counts.Counter(PIECES, cache_words=300)
+    rng = random.Random(4)
+    texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()] + fixture_texts
+    texts += ["Übergrößenträger", "日本語", "don't", "e=mc²", "🙂🙂", "▁x", "two words", "  lead and  double ", "a", " ", "   ", "\n\n a\n", "être 15 the 日 the", "x" * 5000 + " the the", "the" * 3000]
+    texts += ["".join(rng.choice("abthe  日ñ.x") for _ in range(rng.randrange(1, 300))) for _ in range(300)]
+    for t in texts:
+        assert counter.count(t) == (len(lib.encode(t)) if t else 0), repr(t)[:200]
+
+
+@pytest.mark.parametrize("draw", [lambda r: -r.random() * 20, lambda r: -r.choice([1, 2, 3, 0.1, 0.3, 7.7]), lambda r: -r.random() * 3e7, lambda r: -r.choice([1e4, 3e4, 1e9])])
+def test_token_counts_other_scores(draw, tmp_path, fixture_texts):
+    """Ties and sums of fractions come out as in the library's 32 bits."""
+    rng = random.Random(6)
+    lib = unigram_library(lambda piece, score: draw(rng))
+    (tmp_path / "m.model").write_bytes(lib.serialized_model_proto())
+    counter = token_counts.Counter(str(tmp_path / "m.model"))
+    for t in [t for t in fixture_texts if t][:60]:
+        assert counter.count(t) == len(lib.encode(t))
+
+
+@pytest.mark.parametrize(("score", "n"), [(50000, 4), (50001, 5)])
+def test_token_counts_reset(tmp_path, score, n):
+    scores = {"z": -50000.0, "x": -float(score), "zx": -1e8, "xz": -1e8, "▁q": -5.0, "▁qz": -1e8, "▁the": -40.0}
+    lib = unigram_library(lambda piece, old: scores.get(piece, old))
+    (tmp_path / "m.model").write_bytes(lib.serialized_model_proto())
+    assert token_counts.Counter(str(tmp_path / "m.model")).count("qzx the") == len(lib.encode("qzx the")) == n
 
 
 def test_token_counts_null_and_empty(spark, empty):
@@ -335,6 +353,14 @@ def test_token_counts_null_and_empty(spark, empty):
     assert token_counts.token_counts(empty, vocabulary=PIECES).collect() == []
 
 
+def test_token_counts_rows(spark, docs, fixture_texts):
+    """Repeated rows and clashing columns: a row for each, with its own count."""
+    lib = unigram_library()
+    got = sorted((r.doc_id, r.n_chars, r.n_tokens) for r in token_counts.token_counts(docs, vocabulary=PIECES).collect())
+    want = [(i, len(t or ""), len(lib.encode(t)) if t else 0) for i, t in enumerate(fixture_texts)]
+    assert got == sorted([*want, want[5]])
+
+
 def test_secrets_base_spans_and_heldout():
     net = secrets.trained()
     cases = secrets.findings(1500, 77)
