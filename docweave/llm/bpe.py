@@ -13,6 +13,10 @@ Texts are normalised and split as the tokenizer's file says. Texts of common
 characters take a direct way that gives the same words; others go through the
 library's own normaliser and splitter. Special tokens in a text are found
 first, in the text as it is.
+
+One row comes out for every row: a null text is an empty one, without ids; null
+and repeated ids and repeated rows stay as they are; other columns are not read.
+Very long texts, and very long words, are encoded whole.
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ import json
 import re
 import struct
 from collections.abc import Iterable, Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +36,7 @@ from pyspark.sql import functions as F
 from .token_files import _byte_of
 
 _NONE = np.int64(2**31)
+_LONG = 100  # tokens from which a heap beats looking through all pairs
 
 
 class Merger:
@@ -86,6 +92,8 @@ class Merger:
             parts[-1] += self.suffix
         ids = list(map(self.vocab.__getitem__, parts))
         rank = self.rank.get
+        if len(ids) > _LONG:
+            return self._merge_long(ids)
         none = 1 << 62
         ranks = [rank(pair, none) for pair in zip(ids, ids[1:])]
         while ranks:
@@ -101,6 +109,29 @@ class Merger:
                 ranks[at] = rank((ids[at], ids[at + 1]), none)
         return ids
 
+    def _merge_long(self, ids: list[int]) -> list[int]:
+        """The same with a heap of pairs and linked neighbours: n log n steps."""
+        rank = self.rank.get
+        n = len(ids)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        heap = [(r, i) for i, pair in enumerate(zip(ids, ids[1:])) if (r := rank(pair)) is not None]
+        heapify(heap)
+        while heap:
+            r, i = heappop(heap)
+            j = after[i]
+            # a pair that has changed since is another merge, or none
+            if ids[i] < 0 or j >= n or rank((ids[i], ids[j])) != r:
+                continue
+            ids[i], ids[j] = r & 0xFFFFFFFF, -1
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+                if (r := rank((ids[i], ids[k]))) is not None:
+                    heappush(heap, (r, i))
+            if (h := before[i]) >= 0 and (r := rank((ids[h], ids[i]))) is not None:
+                heappush(heap, (r, h))
+        return [i for i in ids if i >= 0]
+
     def _propose(self, word: str) -> list[int] | None:
         """Greedy longest match; None if it stops before the end."""
         out, at, n = [], 0, len(word)
