@@ -1,23 +1,33 @@
 """Quality rules as a short-circuit cascade, in DataFrame functions only.
 
-Every rule has a predicate (true: the document fails) and a cost. On a sample
-the share that each rule rejects and the size of what it reads are measured;
-rules then run in the order of rejection per cost, and a document leaves the
-cascade at the first rule it fails (``CASE WHEN`` stops there). The order
-changes what is paid, never which documents are kept.
-
-Words are runs of characters other than space and \\x09-\\x0D; a null text has
-none. A line counts if it has a word.
+Every rule is a predicate over a text's metrics (true: the document fails). On
+a sample each rule's cost is timed and its verdicts are kept; rules then run in
+the order of rejection per cost, where a rule counts only what the rules before
+it let through. A document leaves the cascade at the first rule it fails
+(``CASE WHEN`` stops there, and a metric is computed inside the branches that
+use it). The order changes what is paid, never which documents are kept: it is
+taken anew in each run, so no result tells it.
+
+The two base limits are rules like the others.
+
+Words are runs of characters other than space and \\x09-\\x0D; a null or empty
+text has none and so is too short. A line counts if it has a word. Every row is
+judged for itself: null and repeated ids, repeated rows and other columns, of
+whatever name, change nothing and pass through :func:`keep_good` as they are.
+Very long texts are judged whole; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import time
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._scratch import cut, release
+
 WINDOW = 8
 _SPACE = "[\\x20\\x09-\\x0D]+"
 
@@ -63,89 +73,112 @@ def repeated_words(words: Column, width: int = WINDOW) -> Column:
     return let(F.transform(words, lambda w: F.xxhash64(w)), count)
 
 
+METRICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
+def metrics(text: Column, words: Column | None = None) -> dict[str, Column]:
+    """Expressions of a text (and its words, where they are at hand)."""
+    known = F.coalesce(text, F.lit(""))
+    split = words_of(text) if words is None else words
+    return {
+        "n_words": F.regexp_count(known, F.lit("[^\\x20\\x09-\\x0D]+")).cast("long") if words is None else F.size(words).cast("long"),
+        "word_chars": F.length(F.translate(known, " \t\n\x0b\x0c\r", "")).cast("long"),
+        "n_symbols": F.regexp_count(known, F.lit("[#*$%&|<>]")).cast("long"),
+        "n_dup_lines": duplicate_lines(text),
+        "n_repeat_words": repeated_words(split),
+        "n_lines": (F.regexp_count(known, F.lit("\n")) + 1).cast("long"),
+        "n_capitals": F.regexp_count(known, F.lit("\\p{Lu}{2,}")).cast("long"),
+    }
+
+
 @dataclass(frozen=True)
 class Rule:
-    """``fails`` may use the columns of :func:`with_metrics`; ``reads`` is what
-    its cost grows with, and ``unit`` the cost of one of it."""
+    """``fails`` makes a predicate of the columns of :func:`metrics`."""
 
     name: str
-    fails: Column
-    reads: Column
-    unit: float
-
-
-def with_metrics(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``text`` with n_words, word_chars, n_symbols, n_dup_lines and
-    n_repeat_words as column ``m`` (a struct) beside ``row`` (all of the row)."""
-    row = docs.select(F.struct("*").alias("row"))
-    text = F.col("row")[text_col]
-    split = row.select("row", text.alias("text"), words_of(text).alias("words"))
-    word_chars = F.length(F.array_join("words", "")).cast("long")
-    return split.select(
-        "row",
-        "text",
-        F.struct(
-            F.size("words").cast("long").alias("n_words"),
-            word_chars.alias("word_chars"),
-            F.coalesce(F.regexp_count("text", F.lit("[#*$%&|<>]")), F.lit(0)).cast("long").alias("n_symbols"),
-            duplicate_lines(F.col("text")).alias("n_dup_lines"),
-            repeated_words(F.col("words")).alias("n_repeat_words"),
-        ).alias("m"),
-    )
+    fails: Callable[[Mapping[str, Column]], Column]
+
+
+#: the base limits
+SHORT = Rule("short", lambda m: m["n_words"] < 20)
+REPEATED = Rule("repeated_words", lambda m: m["n_repeat_words"] * 100 > m["n_words"] * 30)
 
 
 def default_rules() -> list[Rule]:
-    """Beyond the base limits: symbols, shouting, doubled lines, odd words."""
-    m = F.col("m")
-    words, chars = F.col("m.n_words"), F.length(F.coalesce("text", F.lit("")))
-    capitals = F.coalesce(F.regexp_count("text", F.lit("\\p{Lu}{2,}")), F.lit(0))
+    """The base limits, symbols, doubled lines, odd words, shouting."""
     return [
-        Rule("symbols", m["n_symbols"] * 10 > words, F.lit(1), 1.0),
-        Rule("repeated_lines", m["n_dup_lines"] * 10 > (F.coalesce(F.regexp_count("text", F.lit("\n")), F.lit(0)) + 1) * 3, chars, 0.02),
-        Rule("word_length", (m["word_chars"] > words * 20) | (m["word_chars"] < words * 2), F.lit(1), 2.0),
-        Rule("shouting", capitals * 10 > words * 3, chars, 0.05),
+        SHORT,
+        REPEATED,
+        Rule("symbols", lambda m: m["n_symbols"] * 10 > m["n_words"]),
+        Rule("repeated_lines", lambda m: m["n_dup_lines"] * 10 > m["n_lines"] * 3),
+        Rule("word_length", lambda m: (m["word_chars"] > m["n_words"] * 20) | (m["word_chars"] < m["n_words"] * 2)),
+        Rule("shouting", lambda m: m["n_capitals"] * 10 > m["n_words"] * 3),
     ]
 
 
-def ordered(docs: DataFrame, rules: list[Rule], *, text_col: str = "text", sample_rows: int = 2000) -> list[Rule]:
-    """The rules by rejection per cost on a sample of about ``sample_rows``
-    rows (a bound on what is measured; every row still runs the cascade)."""
+def by_gain(rules: list[Rule], cost: list[float], verdicts: dict[tuple[bool, ...], int]) -> list[Rule]:
+    """The rules by rejection per cost, each among what those before it left;
+    ``verdicts`` counts rows by which rules they fail."""
+    order: list[int] = []
+    left = dict(verdicts)
+    while len(order) < len(rules):
+        gain = {i: sum(n for v, n in left.items() if v[i]) / cost[i] for i in range(len(rules)) if i not in order}
+        best = max(gain, key=lambda i: (gain[i], -cost[i], -i))
+        order.append(best)
+        left = {v: n for v, n in left.items() if not v[best]}
+    return [rules[i] for i in order]
+
+
+def ordered(docs: DataFrame, rules: list[Rule], *, text_col: str = "text", sample_rows: int = 1000) -> list[Rule]:
+    """The rules in the order to run them, from a sample of about
+    ``sample_rows`` rows (a bound on what is timed; every row still runs the
+    cascade). A rule's cost is the shorter of two timed runs over the sample,
+    less that of a run that only reads it."""
     total = docs.count()
     if not total or len(rules) < 2:
         return rules
-    part = docs.sample(fraction=sample_rows / total, seed=7) if total > sample_rows else docs
-    rejects = [F.avg(F.coalesce(r.fails, F.lit(False)).cast("int")) for r in rules]
-    reads = [F.avg(r.reads) for r in rules]
-    seen = with_metrics(part, text_col).agg(*(c.alias(f"c{i}") for i, c in enumerate(rejects + reads))).first()
-    gain = [(seen[i] or 0) / max(r.unit * (seen[i + len(rules)] or 1), 1e-9) for i, r in enumerate(rules)]
-    return [rules[i] for i in sorted(range(len(rules)), key=lambda i: (-gain[i], i))]
-
-
-def cascade(rules: list[Rule]) -> Column:
-    """The name of the first rule that fails, null if none does."""
+    part = docs.select(F.col(text_col).alias("text"))
+    part = cut(part.sample(fraction=sample_rows / total, seed=7) if total > sample_rows else part, "sample")
+    m = metrics(F.col("text"))
+
+    def timed(column: Column) -> float:
+        took = []
+        for _ in range(2):
+            began = time.perf_counter()
+            part.agg(F.max(column)).collect()
+            took.append(time.perf_counter() - began)
+        return min(took)
+
+    reading = timed(F.length("text"))
+    cost = [max(timed(r.fails(m).cast("int")) - reading, 1e-3) for r in rules]
+    flags = [F.coalesce(r.fails(m), F.lit(False)).alias(f"f{i}") for i, r in enumerate(rules)]
+    seen = part.select(*flags).groupBy(*(f"f{i}" for i in range(len(rules)))).count().collect()
+    release(part)
+    return by_gain(rules, cost, {tuple(r[:-1]): r[-1] for r in seen})
+
+
+def cascade(rules: list[Rule], m: Mapping[str, Column]) -> Column:
+    """True where a rule fails; those after it are not looked at."""
     out = None
     for r in rules:
-        out = F.when(r.fails, F.lit(r.name)) if out is None else out.when(r.fails, F.lit(r.name))
-    return F.lit(None).cast("string") if out is None else out
-
-
-def judged(docs: DataFrame, *, rules: list[Rule] | None = None, text_col: str = "text", sample_rows: int = 2000) -> DataFrame:
-    """``row`` (the row as it was), ``m`` (its metrics), base_failed,
-    failed_rule (null: none) and kept, for every row."""
-    measured = with_metrics(docs, text_col)
-    run = ordered(docs, default_rules() if rules is None else rules, text_col=text_col, sample_rows=sample_rows)
-    base = (F.col("m.n_words") < 20) | (F.col("m.n_repeat_words") * 100 > F.col("m.n_words") * 30)
-    out = measured.select("row", "text", "m", base.alias("base_failed"))
-    named = out.select("row", "m", "base_failed", F.when(F.col("base_failed"), F.lit("base")).otherwise(cascade(run)).alias("failed_rule"))
-    return named.select("*", F.col("failed_rule").isNull().alias("kept"))
+        out = F.when(r.fails(m), True) if out is None else out.when(r.fails(m), True)
+    return F.lit(False) if out is None else out.otherwise(False)
 
 
-def quality(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """One row of metrics and verdict for every row of ``docs``."""
-    out = judged(docs, **options)
-    return out.select(F.col("row")[id_col].alias("doc_id"), "m.*", "base_failed", "failed_rule", "kept")
+def quality(docs: DataFrame, *, rules: list[Rule] | None = None, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 1000) -> DataFrame:
+    """doc_id, the metrics, base_failed and kept, for every row of ``docs``.
+    As all metrics are asked for, the cascade only saves the rest."""
+    rules = default_rules() if rules is None else rules
+    run = ordered(docs, rules, text_col=text_col, sample_rows=sample_rows)
+    split = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), words_of(F.col(text_col)).alias("words"))
+    m = metrics(F.col("text"), F.col("words"))
+    told = split.select("doc_id", "text", *(m[c].alias(c) for c in METRICS))
+    known = metrics(F.col("text")) | {c: F.col(c) for c in METRICS}
+    base = SHORT.fails(known) | REPEATED.fails(known)
+    return told.select("doc_id", *METRICS, base.alias("base_failed"), (~cascade(run, known)).alias("kept"))
 
 
-def keep_good(docs: DataFrame, **options) -> DataFrame:
+def keep_good(docs: DataFrame, *, rules: list[Rule] | None = None, text_col: str = "text", sample_rows: int = 1000) -> DataFrame:
     """The rows of ``docs`` that no rule rejects, with their own columns."""
-    return judged(docs, **options).where("kept").select("row.*")
+    run = ordered(docs, default_rules() if rules is None else rules, text_col=text_col, sample_rows=sample_rows)
+    return docs.where(~cascade(run, metrics(F.col(text_col))))
