@@ -11,6 +11,11 @@ decoding its neighbours. All integers are little-endian.
     segment  = n_docs:u64 n_ids:u64 n_levels:u64 ids_of_docs:i64[] starts:u64[n_docs + 1] null:u8[] level*
     level    = n:u64 chunks:u8[n] bits:u8[ceil(n / 8)] ranks:u32[ceil(n / 512)]
     footer   = n_segments:u64 (offset:u64 first_id:u64 n_ids:u64)*
+
+One document is written for every row: a null or empty text has only the end id;
+null ids (told apart from 0), repeated ids and repeated rows are kept; other
+columns are not read. A very long text makes one longer segment. An empty table
+gives no file.
 """
 
 from __future__ import annotations
@@ -21,6 +26,7 @@ import os
 import re
 import struct
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -215,6 +221,7 @@ class Reader:
         (n,) = struct.unpack_from("<Q", footer)
         self.segments = [struct.unpack_from("<QQQ", footer, 8 + 24 * i) for i in range(n)]
         self.ends = [s[0] for s in self.segments[1:]] + [at]
+        self._firsts = [s[1] for s in self.segments]
         self._held: tuple[int, tuple] | None = None
 
     def _segment(self, k: int):
@@ -233,9 +240,28 @@ class Reader:
         return sum(s[2] for s in self.segments)
 
     def token(self, i: int) -> int:
-        firsts = [s[1] for s in self.segments]
-        k = int(np.searchsorted(firsts, i, "right")) - 1
-        return self._segment(k)[3][i - firsts[k]]
+        """Id i of the file, from some headers and, for each level, its chunk, its
+        byte of the bitmap, a rank and at most 64 bytes of bitmap beside."""
+        k = bisect_right(self._firsts, i) - 1
+        read, at = self.source.read_at, self.segments[k][0]
+        (n_docs,) = struct.unpack("<Q", read(8, at))
+        at += 17 * n_docs + 8 + 16
+        (n_levels,) = struct.unpack("<Q", read(8, at))
+        at, i, out = at + 8, i - self._firsts[k], 0
+        for level in range(n_levels):
+            (n,) = struct.unpack("<Q", read(8, at))
+            chunks, bits = at + 8, at + 8 + n
+            ranks = bits + -(-n // 8)
+            out |= read(1, chunks + i)[0] << (_BITS * level)
+            block = i // _RANK
+            begin = block * _RANK // 8
+            near = np.frombuffer(read((i >> 3) - begin + 1, bits + begin), np.uint8)
+            if not near[-1] >> (i & 7) & 1:
+                break
+            (before,) = struct.unpack("<I", read(4, ranks + 4 * block))
+            i = before + int(_POPCOUNT[near[:-1]].sum()) + bin(int(near[-1]) & ((1 << (i & 7)) - 1)).count("1")
+            at = ranks + 4 * -(-n // _RANK)
+        return out
 
     def documents(self) -> Iterator[tuple[int | None, int, np.ndarray]]:
         """(doc_id, start in the file, ids)"""
@@ -255,7 +281,8 @@ def open_file(path: str):
 
 def write(docs: DataFrame, folder: str, *, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[str, int, int]]:
     """Encode every text, append ``end_id`` to each, and write files in
-    ascending id order (nulls first, equal ids by text). Returns, per file in
+    ascending id order (nulls first; equal ids by a hash of the text, then as they
+    come, so they need not lie in one file). Returns, per file in
     order, (path, ids of all files before it, ids): one short row for a file.
 
     A task writes under a name of its own attempt and renames it when whole;
@@ -286,7 +313,9 @@ def write(docs: DataFrame, folder: str, *, tokenizer: str, end_id: int, id_col:
             fs.delete_file(f"{base}/_{name}")
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    ordered = texts.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    order = ["doc_id", "hash", "place"]
+    keyed = texts.select("*", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("place"))
+    ordered = keyed.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     made = cut(ordered.mapInArrow(run, "part int, name string, n_ids long"), "manifest").orderBy("part").collect()
     fs, base = pafs.FileSystem.from_uri(folder)
     named = {r["name"] for r in made}
