@@ -15,7 +15,7 @@ import pytest
 import regex
 from pyspark.sql import functions as F
 
-from docweave.llm import bpe, decontaminate, licenses, near_dedup, pii, quality, secrets, sharding, token_counts, token_files
+from docweave.llm import bpe, decontaminate, licenses, near_dedup, pii, quality, queries, secrets, sharding, token_counts, token_files
 
 SCHEMA = "doc_id long, text string, n long, digest string, row string, m string, rep long, comp long, unit string, shard string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -154,6 +154,32 @@ def test_token_output(spark, docs, fixture_texts, tmp_path):
         assert len(f) == n and [f.token(i) for i in range(0, n, max(1, n // 50))] == [every[before + i] for i in range(0, n, max(1, n // 50))]
 
 
+def test_token_output_equal_ids(spark, tmp_path):
+    """Rows without an id, and rows of one id, spread over files; a token is read
+    from a few bytes."""
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(BYTE)
+    rows = [(i, f"text {n} é " * (n % 9)) for i in (None, 7) for n in range(200)] + [(None, None)] * 40
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    files = token_files.write(docs, f"file://{tmp_path}/out", tokenizer=BYTE, end_id=2)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(files) > 2 and max(n for _, _, n in files) < 0.6 * sum(n for _, _, n in files)
+    got = token_files.read_digests(spark, files).collect()
+    size = lambda t: (len(lib.encode(t, add_special_tokens=False).ids) if t else 0) + 1
+    assert sorted((r.doc_id or -1, r.n_tokens) for r in got) == sorted((i or -1, size(t)) for i, t in rows)
+    starts = sorted((r.start, r.n_tokens) for r in got)
+    assert all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:]))
+    for path, _, n in files:
+        with token_files.open_file(path) as f:
+            ids = [i for _, _, part in f.documents() for i in part.tolist()]
+            reads = []
+            f.source = type("Counted", (), {"read_at": lambda self, size, at, real=f.source: (reads.append(size), real.read_at(size, at))[1]})()
+            assert [f.token(i) for i in range(0, n, 37)] == ids[::37]
+            assert sum(reads) < 200 * len(range(0, n, 37))
+
+
 def test_token_output_empty(empty):
     assert token_files.token_output(empty, tokenizer=BYTE, end_id=2).collect() == []
 
@@ -419,6 +445,29 @@ def test_secrets_behind_long_paths():
     assert secrets.scan([plain], net) == [[]]
 
 
+def test_find_secrets(spark, docs, fixture_texts, empty):
+    """The base part of the query's own form, against the patterns as they stand."""
+    key = "AKIA" + "Q2" * 8
+    more = ["password = short1", f"x {key}{key} y", 'api-key: "abcdefgh12" API_KEY=abcdefgh token=ABCDEFGHIJ', "h " + "0a" * 16 + "g" + "0a" * 40, f"é日 tokén secret={'f' * 40}\nPasswd : {key}", "token=a token=abcdefgh", "AKIA" * 4 + " " + "aKIA" * 9, ("word " * 5000) + "secret=" + "x1" * 3000]
+    texts = fixture_texts + more
+    rows = spark.createDataFrame([(1000 + i, t, 7, "d", "r", "m", 1, 2, "u", "s") for i, t in enumerate(more)], SCHEMA)
+    patterns = [r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", "(AKIA[A-Z0-9]+)", "([0-9a-f]+)"]
+    want = {}
+    for i, t in [*enumerate(fixture_texts), *((1000 + i, t) for i, t in enumerate(more))]:
+        spans = sorted((m.start(), k, m.end()) for k, (p, least) in enumerate(zip(patterns, (8, 16, 32))) for m in re.finditer(p, t or "") if len(m[1]) >= least)
+        said = ",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in spans)
+        want[i] = (*(sum(x[1] == k for x in spans) for k in range(3)), hashlib.sha256(said.encode()).hexdigest())
+    got = secrets.find_secrets(docs.union(rows)).collect()
+    assert len(got) == len(texts) + 1
+    for r in got:
+        assert (r.n_assign, r.n_access, r.n_hex, r.base_sha256) == want[r.doc_id], r.doc_id
+        base = ",".join(s for s in r.spans.split(",") if s and not s.startswith("cnn"))
+        assert hashlib.sha256(base.encode()).hexdigest() == r.base_sha256
+    assert sum(map(sum, (v[:3] for v in want.values()))) > 8
+    assert secrets.find_secrets(empty).collect() == [] and secrets.redact(empty).collect() == []
+    assert secrets.redact(docs).columns == docs.columns
+
+
 def test_secrets_redaction(spark):
     rows = [(1, f"a token={'f' * 40} b", "z"), (2, None, None), (3, "clean text", "z")]
     got = [tuple(r) for r in secrets.redact(spark.createDataFrame(rows, "doc_id long, text string, spans string")).collect()]
@@ -466,6 +515,17 @@ def test_pii_shapes(spark):
         assert said.select(pii._date(F.col("d"), F.lit("k"), False).alias("x")).distinct().count() == 800
 
 
+def test_pii_key_and_edges(spark, docs, fixture_texts, empty):
+    """No plan shows the key; texts without values stay, whatever the rows are."""
+    out = pii.pseudonymise(docs, key="zebra-key")
+    plan = out._sc._jvm.PythonSQLUtils.explainString(out._jdf.queryExecution(), "extended")
+    assert "text" in plan and "zebra" not in plan
+    got = out.collect()
+    assert len(got) == len(fixture_texts) + 1
+    assert all(r.text == fixture_texts[r.doc_id] for r in got if r.n_found == 0) and sum(r.n_found == 0 for r in got) > 50
+    assert pii.pseudonymise(empty, key="k").collect() == []
+
+
 def test_pii_permutes(spark):
     n = spark.range(10_000).select(F.lpad(F.col("id").cast("string"), 4, "0").alias("d"))
     got = [r[0] for r in n.select(pii.permute_digits(F.col("d"), F.lit("k"), "t")).collect()]
@@ -539,3 +599,22 @@ def test_sharding(docs, fixture_texts, empty, spark):
     out = sharding.assign(spark.createDataFrame(rows, "doc_id long, text string"), shards=8).groupBy("shard").agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect()
     sizes = [r.b for r in out]
     assert len(out) == 8 and max(sizes) <= 1.02 * min(sizes)
+
+
+def test_sharding_query_and_null_ids(spark, tmp_path):
+    """Rows without an id, in one hot group and out of it, spread like others;
+    groups of middle size stay whole; the query's columns are as told."""
+    rows = [(None, "hot")] * 3000 + [(None, None)] * 1000 + [(5, f"group {i % 40} " * 5) for i in range(800)] + [(10 + i, f"row {i}") for i in range(3000)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op10_sharding(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows) and {r.law for r in got} == {"bytes"} and {r.grown_shard for r in got} == {None}
+    sizes, groups = {}, {}
+    for r in got:
+        sizes[r.shard] = sizes.get(r.shard, 0) + r.size
+        if r.doc_id == 5:
+            groups.setdefault(r.text_crc32, set()).add(r.shard)
+    assert sorted(sizes) == list(range(40)) and max(sizes.values()) <= 1.1 * min(sizes.values())
+    assert len(groups) == 40 and all(len(s) == 1 for s in groups.values())
+    for shard in range(40):
+        slots = sorted(r.slot for r in got if r.shard == shard)
+        assert slots == list(range(len(slots)))
