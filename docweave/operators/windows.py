@@ -47,6 +47,13 @@ def first_of(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame
     return top(rows, keys, order, 1).drop("rank")
 
 
+def with_verbatim(subs: Column, question: Column, max_chars: int = 500) -> Column:
+    """The sub-questions, with the question itself at the end unless one of them
+    says the same (but for case and outer spaces) or it is too long."""
+    said = F.exists(subs, lambda q: F.lower(F.trim(q)) == F.lower(F.trim(question)))
+    return F.when(said | (F.length(question) > max_chars), subs).otherwise(F.array_append(subs, question))
+
+
 def merge_boxes(boxes: DataFrame, keys: list[str], least_iou: float = 0.3) -> DataFrame:
     """Boxes of a page that overlap become one, until none do. A page has few
     boxes; they are merged together in one Arrow group."""
