@@ -106,24 +106,35 @@ class Counter:
         self.by_bytes = any(kind == 6 for _, _, kind in found)
         self.unknown = _single(min(s for _, s in normal) - 10)
         self._longest = max(len(p) for p, _ in normal)
-        known = "".join(map(re.escape, sorted(set().union(*(p for p, _ in normal)) - {MARK})))
-        self._known = re.compile(f"[{MARK}{known}]").match
+        inside = [p.lstrip(MARK) for p, _ in normal]
+        known = set("".join(inside)) - {MARK}
+        letters = {c for c in known if c.isalpha()}
+        if any(x.isalpha() != y.isalpha() for p in inside for x, y in zip(p, p[1:])):
+            letters = known  # pieces go from letters to other characters
+        some = lambda chars: "".join(map(re.escape, sorted(chars)))
+        self._words = re.compile("|".join([f"{MARK}*[{some(c)}]+" for c in (letters, known - letters) if c] + [f"{MARK}+", f"[^{MARK}{some(known)}]+"])).findall
         self._alone = {p for p, _ in normal if len(p) == 1}
-        self._words = re.compile(f"{MARK}*[{known}]+|{MARK}+|[^{MARK}{known}]+").findall
-        #: of words met again, results by the difference at their start (from
-        #: the least); a result is a number of pieces and the difference after
-        #: them, the latter in its lowest 20 bits
-        self._cache: dict[str, tuple[int, ...]] = {}
-        #: of words met once, the difference and its result
+        self._pairs = {p for p, _ in normal if len(p) == 2 and p[0] == MARK != p[1]}
+        #: results by the difference at the start (from the least) of words met often;
+        #: a result is a number of pieces and the score after them, in its lowest bits
+        self._rows: dict[str, tuple[int, ...]] = {}
+        #: of other words, one result and the differences that have it
         self._once: dict[str, int] = {}
+        #: pieces, score and lowest score on the way of words without a marker
+        self._free: dict[str, tuple[int, int, int]] = {}
         self._size = cache_words
         self._coarse = self._half = None
         marks = {s for p, s in normal if not p.strip(MARK)}
-        inside = any(MARK in p.lstrip(MARK) or (p.startswith(MARK * 2) and p.strip(MARK)) for p, _ in normal)
-        if len(marks) == 1 and not inside and all(s == int(s) <= 0 for _, s in normal) and min(marks) <= -(1 << 24):
+        across = any(MARK in p or (q.startswith(MARK * 2) and p) for p, (q, _) in zip(inside, normal))
+        if len(marks) == 1 and not across and all(s == int(s) <= 0 for _, s in normal) and min(marks) <= -(1 << 24):
             self._coarse = int(min(marks))
             self._half = int(abs(np.spacing(np.float32(self._coarse)))) // 2
-            self._coarse = self._coarse if self._half < 1 << 18 else None
+            self._coarse = self._coarse if self._half < 1 << 15 else None
+            # what rounding beside the marker's score takes off a score: half goes to the even side
+            step, odd = 2 * self._half, int(min(marks)) // (2 * self._half) & 1
+            quotient, left = np.divmod(np.arange(-RESET, RESET + 1), step)
+            over = (left > self._half) | ((left == self._half) & (quotient % 2 != odd))
+            self._places = (left - step * over + self._half).tolist()
         self._automaton = ahocorasick.Automaton()
         for p, s in normal:
             self._automaton.add_word(p, (len(p), int(s), self._offsets(p, int(s))) if self._coarse else (len(p), s, None))
@@ -165,59 +176,70 @@ class Counter:
                     best[i + 1], count[i + 1], last_unknown[i + 1] = total, count[i] + more, True
         return count[n], best[n]
 
-    def _solve(self, word: str, at: int) -> int:
-        """The result of a word for the difference ``at`` its start.
-        Differences that round its first pieces alike have one result; a word
-        that is met again is solved for all of them."""
-        if not self._known(word):  # nothing reaches across such characters
-            return self._keep(word, at, [self._after(len(word.encode()) if self.by_bytes else 1, RESET + 1)])
+    def _marked(self, word: str, place: int) -> int:
+        """The result of a word with a marker for a score before it (from
+        -RESET). Differences that round its first pieces alike have one result;
+        a word that is met with another one is solved for all."""
+        at = self._places[place]
+        once = self._once.get(word)
+        if once is not None and once >> 16 & 0xFFFF <= at < once & 0xFFFF:
+            return once >> 32
         found = list(self._automaton.iter(word))  # by end, the longest first
         # the marker with one character, and the longer first pieces
         first = [piece[2] for _, piece in found if piece[2]]
-        zero = first.pop(0) if first and any(piece[2] and piece[0] == 2 for _, piece in found[:4]) else None
+        zero = first.pop(0) if first and word[:2] in self._pairs else None
         if word[:2] == MARK * 2 or not self._alone.issuperset(word) or (first and not zero):
-            return self._after(*self._exact(word, float(at - self._half)))
+            return self._after(*self._exact(word, float(place - RESET)))
         n = len(word)
         if not zero:
-            return self._keep(word, at, [self._after(*self._plain(found, n, int(word[0] == MARK), ()))])
+            here = self._after(*self._plain(found, n, 1, ())[:2])
+            self._once[word] = here << 32 | 0xFFFF
+            return here
+        if once is None:
+            here = self._after(*self._plain(found, n, 2, [f[0][at] - zero[0][at] for f in first])[:2])
+            low, high = 0, 2 * self._half + 1
+            for f in (zero, *first):
+                for step in f[1]:
+                    if low < step <= at:
+                        low = step
+                    elif at < step < high:
+                        high = step
+            self._once[word] = here << 32 | low << 16 | high
+            return here
         ways: dict[tuple[int, ...], int] = {}
 
         def result(i: int) -> int:
             way = tuple([f[0][i] - zero[0][i] for f in first])
             if way not in ways:
-                ways[way] = self._after(*self._plain(found, n, 2, way))
+                ways[way] = self._after(*self._plain(found, n, 2, way)[:2])
             return ways[way]
 
-        if word not in self._once:
-            return self._keep(word, at, result(at))
         row: list[int] = []
         steps = sorted({0, *zero[1], *(i for f in first for i in f[1])})
         for here, after in zip(steps, [*steps[1:], 2 * self._half + 1]):
             row += [result(here)] * (after - here)
-        return self._keep(word, at, row)
-
-    def _keep(self, word: str, at: int, found: int | list[int]) -> int:
-        if isinstance(found, int):
-            self._once[word] = found << 20 | at
-            return found
-        self._once.pop(word, None)
-        self._cache[word] = tuple(found * (2 * self._half + 1) if len(found) == 1 else found)
-        return self._cache[word][at]
-
-    def _word(self, word: str, at: int) -> int:
-        """What :meth:`_solve` says, for a word that isn't in the cache."""
-        once = self._once.get(word)
-        if once is not None and once & 0xFFFFF == at:
-            return once >> 20
-        return self._solve(word, at)
+        self._rows[word] = tuple(row)
+        del self._once[word]
+        return row[at]
+
+    def _unmarked(self, word: str, place: int) -> int:
+        """The same for a word without a marker: nothing is rounded there."""
+        if word[0] not in self._alone and not any(True for _ in self._automaton.iter(word)):
+            return self._after(len(word.encode()) if self.by_bytes else 1, RESET + 1)  # no piece has these
+        if not self._alone.issuperset(word):
+            return self._after(*self._exact(word, float(place - RESET)))
+        found = list(self._automaton.iter(word))
+        if word not in self._free:
+            self._free[word] = self._plain(found, len(word), 0, ())
+        return self._after(*self._plain(found, len(word), 0, (), place - RESET)[:2])
 
-    def _after(self, pieces_: int, score: float) -> int:
-        left = 0 if abs(score) > RESET else int(score + self._coarse - _single(score + self._coarse))
-        return pieces_ << 20 | left + self._half
+    @staticmethod
+    def _after(pieces_: int, score: float) -> int:
+        return pieces_ << 18 | (int(score) + RESET if -RESET <= score <= RESET else RESET)
 
     @staticmethod
-    def _plain(found: list[tuple[int, tuple]], n: int, begin: int, way: Sequence[int]) -> tuple[int, int]:
-        """Pieces and score in whole numbers, for a word whose every character
+    def _plain(found: list[tuple[int, tuple]], n: int, begin: int, way: Sequence[int], before: int = 0) -> tuple[int, int, int]:
+        """Pieces, score and lowest score in whole numbers, for a word whose every character
         is a piece. It begins behind the marker and its first character (2), for
         only the scores of its first pieces are rounded, and ``way`` is how,
         beside that of the shortest; or at once (0), or behind the marker (1)."""
@@ -233,12 +255,13 @@ class Counter:
             elif size > 2:  # the first of its end
                 best[end], count[end] = way[turn], 1
                 turn += 1
-        zero = 0  # the score from which scores are counted
-        if not -RESET <= min(best[begin:]) <= max(best[begin:]) <= RESET:
+        zero = -before  # the score from which scores are counted
+        low = min(best[begin:])
+        if low + before < -RESET or (way and max(way) > RESET):
             for score in best[begin:n]:
                 if not -RESET <= score - zero <= RESET:
                     zero = score
-        return count[n], best[n] - zero
+        return count[n], best[n] - zero, low
 
     def count(self, text: str | None) -> int:
         if not text:
@@ -246,14 +269,22 @@ class Counter:
         text = self.prefix + text.replace(" ", MARK)
         if self._coarse is None:
             return self._exact(text, 0.0)[0]
-        rows = self._cache
-        total, at = 0, self._half
+        rows, free, places = self._rows, self._free, self._places
+        total, place = 0, RESET
         for word in self._words(text):
-            row = rows.get(word)
-            found = row[at] if row else self._word(word, at)
-            total += found >> 20
-            at = found & 0xFFFFF
-        for cache, size in ((rows, self._size), (self._once, 2 * self._size)):
+            if word[0] == MARK:
+                row = rows.get(word)
+                found = row[places[place]] if row else self._marked(word, place)
+            else:
+                own = free.get(word)
+                if own and place + own[2] >= 0:
+                    total += own[0]
+                    place += own[1]
+                    continue
+                found = self._unmarked(word, place)
+            total += found >> 18
+            place = found & 0x3FFFF
+        for cache, size in ((rows, self._size), (self._once, 2 * self._size), (free, self._size)):
             if len(cache) > size:
                 # words met first are the frequent ones; those met late go
                 for w in list(cache)[size // 2 :]:
