@@ -41,7 +41,8 @@ def markdown_blocks(text: Column) -> Column:
         def block(k: Column, j: Column) -> Column:
             upto = F.coalesce(F.get(starts, j + 1)["i"], F.size(ks))
             own = F.filter(F.slice(ks, k["i"] + 1, upto - k["i"]), lambda x: x["kind"] == k["kind"])
-            said = F.array_join(F.transform(own, lambda x: x["text"]), F.when(k["kind"] == "table", "\n").otherwise(" "))
+            texts = F.transform(own, lambda x: x["text"])
+            said = F.when(k["kind"] == "table", F.array_join(texts, "\n")).otherwise(F.array_join(texts, " "))
             shout = (F.upper(said) == said) & (F.lower(said) != said) & (F.length(said) < 100)
             return F.struct(F.when((k["kind"] == "text") & shout, "heading").otherwise(k["kind"]).alias("type"), said.alias("text"))
 

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructType
 
 _FENCE = re.compile(r"\A```[A-Za-z]*\s*|\s*```\Z")
 _TOKEN = re.compile(r'"(?:\\.|[^"\\])*(?:"|\Z)|[{}]', re.S)
@@ -106,22 +107,22 @@ def _said(value) -> str | None:  # noqa: ANN001
     return None if value is None else json.dumps(value, ensure_ascii=False, sort_keys=True)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def json_array(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if (x := array_of(t)) is None else [_said(i) for i in x])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def json_object(text: pd.Series) -> pd.Series:
     return text.map(lambda t: _said(object_of(t)))
 
 
-@F.pandas_udf("array<struct<type:string,text:string>>")
+@F.pandas_udf(ArrayType(StructType().add("type", StringType()).add("text", StringType())))
 def region_blocks(text: pd.Series) -> pd.Series:
     return text.map(regions_of)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unwrapped(text: pd.Series) -> pd.Series:
     return text.map(content_of)
 
@@ -141,7 +142,7 @@ def scan_json(pattern: str, mask: str = "[CONTENT REDACTED: injection detected]"
     """An Arrow function of a JSON column: the same JSON, injected strings of any depth replaced."""
     bad = re.compile(pattern, re.I)
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def scan(text: pd.Series) -> pd.Series:
         return text.map(lambda t: t if (x := _loads(t or "")) is None else json.dumps(redacted(x, bad, mask, depth), ensure_ascii=False))
 

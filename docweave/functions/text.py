@@ -34,6 +34,27 @@ def collapse_repeats(text: Column) -> Column:
     return F.regexp_replace(text, "(.{1,3}?)\\1{9,}", "$1$1$1")
 
 
+def truncate_utf8(text: Column, limit: int) -> Column:
+    """At most ``limit`` bytes of the text in UTF-8, no character cut in two."""
+    raw = text.cast("binary")
+    cuts = [F.substring(raw, 1, max(0, limit - k)).cast("string") for k in range(4)]
+    whole = F.coalesce(*(F.when(F.is_valid_utf8(c), c) for c in cuts))
+    return F.when(F.octet_length(text) <= limit, text).otherwise(whole)
+
+
+def is_running_header(text: Column, top: Column) -> Column:
+    """High on the page, little text, and a gap of 15 spaces or more in it."""
+    return (top <= 60) & text.rlike(" {15,}") & (F.length(clean_spaces(text)) < 80)
+
+
+def is_tiny(text: Column, tokens: Column, structured: Column) -> Column:
+    """Under five tokens and a number or range, a roman numeral or three
+    characters at most; tables and images are never tiny."""
+    t = F.trim(F.coalesce(text, F.lit("")))
+    bare = t.rlike("^[0-9]+(-[0-9]+)?$") | t.rlike("^[iIvVxXlLcCdDmM]+$") | (F.length(t) <= 3)
+    return (tokens < 5) & ~structured & bare
+
+
 # Full-width letters and digits, and what they stand for
 FULL_WIDTH = "０１２３４５６７８９ＡＢＣＤＥＦＧＨＩＪＫＬＭＮＯＰＱＲＳＴＵＶＷＸＹＺａｂｃｄｅｆｇｈｉｊｋｌｍｎｏｐｑｒｓｔｕｖｗｘｙｚ"
 ASCII_WIDTH = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import CALLOUTS, markdown_table, n_tokens, words
@@ -151,8 +151,6 @@ def labelled_rows(tables: DataFrame, headers: list[str], label: str) -> DataFram
     """A chunk for each row with a first cell: ``[label: id] header: value | …``;
     rows without one continue the row before."""
     rows = tables.select("table_id", F.posexplode("rows").alias("r", "row"))
-    from pyspark.sql import Window
-
     past = Window.partitionBy("table_id").orderBy("r").rowsBetween(Window.unboundedPreceding, 0)
     head = F.last(F.when(F.trim(F.get("row", 0)) != "", F.col("r")), ignorenulls=True).over(past)
     pairs = F.array_compact(F.array(*(F.when(F.get("row", i) != "", F.concat(F.lit(f"{h}: "), F.get("row", i))) for i, h in enumerate(headers) if i)))
@@ -188,8 +186,6 @@ def caption_confidence(kind: Column, conflated: Column) -> Column:
 def stitchable(tables: DataFrame) -> DataFrame:
     """Whether a table continues the one before: the next page, as many columns,
     that one low on its page (70 %) and this one high (30 %)."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("document_id").orderBy("block_order")
     before = {c: F.lag(c).over(w) for c in ("page", "n_columns", "y1")}
     ok = (F.col("page") == before["page"] + 1) & (F.col("n_columns") == before["n_columns"]) & (before["y1"] >= 0.7 * F.col("height")) & (F.col("y0") <= 0.3 * F.col("height"))
@@ -198,8 +194,6 @@ def stitchable(tables: DataFrame) -> DataFrame:
 
 def stitch(tables: DataFrame) -> DataFrame:
     """Continued tables as one: number of parts and all rows in order."""
-    from pyspark.sql import Window
-
     past = Window.partitionBy("document_id").orderBy("block_order").rowsBetween(Window.unboundedPreceding, 0)
     group = F.sum((~F.col("continues")).cast("int")).over(past)
     g = stitchable(tables).withColumn("g", group)
@@ -214,3 +208,26 @@ def fingerprint(a: Column, b: Column) -> Column:
     clash = F.size(F.filter(telling, lambda p: p["a"] != p["b"]))
     n = F.size(telling)
     return F.when(n == 0, "ambiguous").when(clash == 0, "merge").when(clash > n * 0.3, "separate").otherwise("ambiguous")
+
+
+def merge_continuation(lead: Column, headers: Column, rows: Column) -> Column:
+    """Rows (lists of cells) of a table and of its next page (headers, rows): the
+    next page's header goes if it repeats the lead's or only numbers its columns,
+    else it is a row; repeated headers among its rows go too."""
+    plain = lambda cells: F.transform(cells, lambda c: F.lower(F.trim(c)))
+    repeats = lambda cells: (F.size(lead["headers"]) > 0) & (plain(cells) == plain(lead["headers"]))
+    numbered = F.forall(headers, lambda c: F.trim(c).rlike("^([0-9]+|[Cc]ol(umn)?_?[0-9]+|)$"))
+    own = F.when(~numbered & ~repeats(headers), F.array(headers)).otherwise(F.filter(F.array(headers), lambda _: F.lit(False)))
+    return F.concat(lead["rows"], own, F.filter(rows, lambda r: ~repeats(r)))
+
+
+def reuse_furniture(figures: DataFrame) -> DataFrame:
+    """Figures in the top or bottom tenth of a page: those of one footprint
+    (place, width, height) in a document take the caption of the first."""
+    top, bottom = F.col("y0") < F.col("height") * 0.1, F.col("y1") > F.col("height") * 0.9
+    place = F.when(top, "header").when(bottom, "footer")
+    keyed = figures.withColumns({"place": place, "w": F.round(F.col("x1") - F.col("x0")), "h": F.round(F.col("y1") - F.col("y0"))})
+    w = Window.partitionBy("document_id", "place", "w", "h").orderBy("page", "block_order")
+    edge = F.col("place").isNotNull()
+    out = keyed.withColumns({"reused": edge & (F.row_number().over(w) > 1), "first": F.first("caption").over(w)})
+    return out.withColumn("caption", F.when(F.col("reused"), F.col("first")).otherwise(F.col("caption"))).drop("first", "w", "h")

@@ -148,3 +148,44 @@ def cited_indexes(answer):  # noqa: ANN001, ANN201
         return F.concat(spelled, F.transform(F.regexp_extract_all(c, F.lit("\\b(\\d+)\\b"), F.lit(1)), lambda n: n.cast("int")))
 
     return F.array_sort(F.array_distinct(F.flatten(F.transform(clean, numbers))))
+
+
+def page_texts(blocks: DataFrame) -> DataFrame:
+    """document_id, page, page_text: the blocks of each page in order."""
+    said = blocks.where(F.trim("text") != "")
+    return said.groupBy("document_id", "page").agg(F.expr("listagg(trim(text), '\\n\\n') within group (order by block_order)").alias("page_text"))
+
+
+def fallback_pages(hits: DataFrame, blocks: DataFrame, threshold: float, k: int = 2) -> DataFrame:
+    """Where a query's best score is under the threshold its first ``k`` hits
+    get the text of their page (kind page); all others stay (kind chunk)."""
+    weak = hits.groupBy("query_id").agg((F.max("score") < threshold).alias("weak"))
+    marked = hits.join(weak, "query_id").withColumn("open", F.col("weak") & (F.col("rank") <= k))
+    wanted = marked.where("open").select("document_id", "page").dropDuplicates()
+    pages = page_texts(blocks.join(wanted, ["document_id", "page"], "left_semi"))
+    out = marked.join(pages, ["document_id", "page"], "left")
+    grown = F.col("open") & F.col("page_text").isNotNull()
+    return out.select("query_id", "id", "rank", F.when(grown, F.col("page_text")).otherwise(F.col("text")).alias("text"), F.when(grown, "page").otherwise("chunk").alias("kind"))
+
+
+def force_expand(answers: DataFrame, hits: DataFrame, blocks: DataFrame, pages: int = 10) -> DataFrame:
+    """For answers that refuse: the pages of the query's hits, best first, each
+    once and at most ``pages`` of them, with their whole text. Sheets stay out."""
+    from ..functions.text import is_refusal
+
+    refused = answers.where(is_refusal(F.col("answer"))).select("query_id")
+    own = hits.join(refused, "query_id", "left_semi").where(~F.coalesce(F.lower("filename"), F.lit("")).rlike("\\.xls[xm]?$"))
+    first = own.groupBy("query_id", "document_id", "page").agg(F.min("rank").alias("rank"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "document_id", "page"))
+    some = first.withColumn("place", place.cast("long")).where(F.col("place") <= pages)
+    return some.join(page_texts(blocks.join(some.select("document_id", "page").dropDuplicates(), ["document_id", "page"], "left_semi")), ["document_id", "page"]).select("query_id", "document_id", "page", "place", "page_text")
+
+
+def multi_rerank(hits: DataFrame, questions: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """Hits of sub-questions (question, id, score): the best score of each text
+    stays, and all texts of a question are ranked once, by the question itself."""
+    best = hits.groupBy("question", "id").agg(F.max("score").alias("score"))
+    both = best.join(small(questions), "question").join(texts, "id")
+    scored = both.withColumn("rerank_score", F.round(overlap_score("query", "text"), 6))
+    final = F.row_number().over(Window.partitionBy("question").orderBy(F.desc("rerank_score"), F.desc("score"), "id"))
+    return scored.withColumn("final", final.cast("long")).where(F.col("final") <= k).select("question", "id", "score", "rerank_score", "final")

@@ -85,6 +85,3 @@ def fn_normalize_guard(spark, d):
     return table(spark, d, "documents").select("doc_id", G.normalise(odd).alias("plain"))
 
 
-@query("SELECT event_id, CASE WHEN value IS NULL THEN 'safe_reply' WHEN value > 200 THEN 'block' ELSE 'allow' END AS verdict FROM events")
-def gd_failmode(spark, d):
-    return table(spark, d, "events").select("event_id", F.coalesce(F.when(F.col("value") > 200, "block").when(F.col("value") <= 200, "allow"), F.lit("safe_reply")).alias("verdict"))

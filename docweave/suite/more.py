@@ -49,17 +49,6 @@ def flt_searchable_ext(spark, d):
     return named.where(F.regexp_extract("filename", "\\.([a-z]+)$", 1).isin("pdf", "docx", "pptx", "xlsx")).dropDuplicates()
 
 
-@query(f"WITH {BLOCKS}, {BOXES} SELECT b.document_id, b.block_order FROM blocks b JOIN boxes x USING (document_id, block_order) WHERE NOT (x.y0 <= 60 AND length(regexp_replace(trim(b.text), '\\s+', ' ', 'g')) < 80)")
-def flt_running_header(spark, d):
-    b = blocks(spark, d).join(boxes(spark, d).select("document_id", "block_order", "y0"), ["document_id", "block_order"])
-    return b.where(~((F.col("y0") <= 60) & (F.length(X.clean_spaces(F.col("text"))) < 80))).select("document_id", "block_order")
-
-
-@query("SELECT event_id FROM events WHERE event_type NOT IN ('error', 'signup')")
-def flt_furniture(spark, d):
-    return table(spark, d, "events").where(~F.col("event_type").isin("error", "signup")).select("event_id")
-
-
 @query(f"WITH {BLOCKS}, {BOXES} SELECT document_id, block_order FROM boxes WHERE x1 - x0 >= 60 AND y1 - y0 >= 50")
 def flt_small_figure(spark, d):
     return boxes(spark, d).where("x1 - x0 >= 60 and y1 - y0 >= 50").select("document_id", "block_order")
@@ -92,13 +81,6 @@ def fn_instruction_verb(spark, d):
     return table(spark, d, "documents").select("doc_id", G.has_instruction_verb(F.col("text")).alias("verb"))
 
 
-@query("SELECT DISTINCT user_id, CAST(('0x' || substr(sha256(CAST(user_id AS VARCHAR)), 63, 2))::INT % 4 AS BIGINT) AS low FROM events")
-def fn_bucket(spark, d):
-    # modulo 100 and modulo 4 agree on the last two hexadecimal digits
-    u = table(spark, d, "events").select("user_id").dropDuplicates()
-    return u.select("user_id", (G.rollout_bucket(F.col("user_id").cast("string")) % 4).cast("long").alias("low"))
-
-
 @query("SELECT doc_id, CASE WHEN regexp_matches(lower(text), '\\bthat\\b') THEN 'that' WHEN regexp_matches(lower(text), '\\bder\\b') THEN 'der' END AS entity FROM documents WHERE lang IN ('en', 'de')")
 def fn_entity(spark, d):
     known = [F.when(X.has_keyword(F.col("text"), [e]), F.lit(e)) for e in ("that", "der")]
@@ -122,12 +104,6 @@ def js_any_array(spark, d):
     return table(spark, d, "orders").join(ids, "o_orderkey", "left_semi").select("o_orderkey")
 
 
-@query("SELECT item_id, text FROM benchmark")
-def js_unwrap(spark, d):
-    wrapped = F.to_json(F.array(F.struct(F.col("text").alias("content"))))
-    return table(spark, d, "benchmark").select("item_id", F.get_json_object(wrapped, "$[0].content").alias("text"))
-
-
 @query("SELECT doc_id, CAST(CASE doc_id % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 3 END AS BIGINT) AS n_rows FROM documents")
 def ar_grid(spark, d):
     n = F.col("doc_id") % 3
@@ -138,13 +114,6 @@ def ar_grid(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(F.coalesce(grid, from_rows, from_text)).cast("long").alias("n_rows"))
 
 
-@query("SELECT user_id, event_id, round(0.6 / (80 + r)::DOUBLE, 9) AS score FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS r FROM events) WHERE r <= 10")
-def rt_rrf(spark, d):
-    x = W.top(table(spark, d, "events"), ["user_id"], [F.desc("value"), F.asc("event_id")], 10).select("user_id", "event_id", F.col("rank").alias("rx"))
-    y = x.where("false").select("user_id", "event_id", F.col("rx").alias("ry"))
-    return J.fuse(x, y, ["user_id", "event_id"], "rx", "ry", k=80).select("user_id", "event_id", F.round("score", 9).alias("score"))
-
-
 @query(f"WITH {BLOCKS} SELECT document_id, page, string_agg(CASE WHEN type = 'table' THEN 'Columns: ' || text ELSE text END, chr(10) || chr(10) ORDER BY block_order) AS page_text FROM blocks GROUP BY document_id, page")
 def rt_page_text(spark, d):
     said = F.when(F.col("type") == "table", F.concat(F.lit("Columns: "), "text")).otherwise(F.col("text"))
@@ -152,13 +121,6 @@ def rt_page_text(spark, d):
     return b.groupBy("document_id", "page").agg(F.expr("listagg(text, '\\n\\n') within group (order by block_order)").alias("page_text"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'none' WHEN doc_id % 3 = 0 THEN 'mention' WHEN doc_id % 2 = 0 THEN 'viewer' ELSE 'session' END AS scope FROM documents")
-def rt_scope5(spark, d):
-    i = F.col("doc_id")
-    scope = F.coalesce(F.when(i % 5 == 0, "none"), F.when(i % 3 == 0, "mention"), F.when(i % 2 == 0, "viewer"), F.lit("session"))
-    return table(spark, d, "documents").select("doc_id", scope.alias("scope"))
-
-
 @query("SELECT doc_id, doc_id % 6 IN (1, 2) AS refused FROM documents")
 def rt_block_sheet(spark, d):
     from ..sources.readers import WIDE_TYPES, file_type
@@ -213,13 +175,6 @@ def pl_table_route(spark, d):
     return blocks(spark, d).where("type <> 'heading'").select("document_id", "block_order", route.alias("source"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN 'repair' WHEN doc_id % 3 = 0 THEN 'trouble' WHEN doc_id % 2 = 0 THEN 'warning' ELSE 'groups' END AS strategy FROM documents")
-def ck_table_strategy(spark, d):
-    i = F.col("doc_id")
-    ways = [F.when(i % 6 == 0, "repair"), F.when(i % 3 == 0, "trouble"), F.when(i % 2 == 0, "warning")]
-    return table(spark, d, "documents").select("doc_id", F.coalesce(*ways, F.lit("groups")).alias("strategy"))
-
-
 @query("SELECT c_custkey, upper(c_name) AS name FROM customer WHERE c_acctbal > 0 AND c_nationkey IN (1, 2, 3)")
 def uf_tool(spark, d):
     # steps are functions of a DataFrame, kept by name and applied in order

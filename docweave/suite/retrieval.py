@@ -51,11 +51,6 @@ def topk_sparse(spark, d):
     return _sparse(spark, d)
 
 
-@query(f"WITH {_BM25} SELECT id, term, tf FROM p WHERE tf >= 20")
-def em_sparse(spark, d):
-    return R.postings(table(spark, d, "documents"), "doc_id", "text").where("tf >= 20").select("id", "term", "tf")
-
-
 @query()
 def em_sparse_weights(spark, d):
     index = R.postings(table(spark, d, "documents"), "doc_id", "text")
@@ -80,11 +75,6 @@ def rt_rerank(spark, d):
     return R.rerank(hits, 5).select("query_id", "id", "rerank_score")
 
 
-@query(f"WITH {_BM25} SELECT query_id // 4 AS question, id, max(score) AS score FROM sparse GROUP BY ALL")
-def rt_multi(spark, d):
-    return _sparse(spark, d).groupBy(F.floor(F.col("query_id") / 4).alias("question"), "id").agg(F.max("score").alias("score"))
-
-
 @query(f"WITH {BLOCKS} SELECT document_id, block_order, NOT (document_id % 2 = 0) OR type = 'table' OR length(text) // 4 < 120 AS thin FROM blocks")
 def flt_thin_chunk(spark, d):
     b = blocks(spark, d).withColumns({"tokens": F.floor(F.length("text") / 4), "summary": F.when(F.col("document_id") % 2 == 0, "s"), "kind": F.when(F.col("type") == "table", "table")})
@@ -111,13 +101,6 @@ def flt_payload(spark, d):
     return table(spark, d, "events").where(reduce(lambda a, b: a & b, tests)).select("event_id")
 
 
-@query(f"WITH {BLOCKS} SELECT document_id, block_order FROM blocks WHERE type IN ('text', 'heading', 'table', 'image_caption') AND length(trim(text)) > 3 AND NOT regexp_matches(trim(text), '^\\d+(-\\d+)?$')", name="flt_tiny_chunk")
-def flt_tiny_chunk(spark, d):
-    b = blocks(spark, d).where(F.col("type").isin("text", "heading", "table", "image_caption"))
-    t = F.trim("text")
-    return b.where((F.length(t) > 3) & ~t.rlike("^\\d+(-\\d+)?$")).select("document_id", "block_order")
-
-
 @query("SELECT doc_id, count(*) OVER () AS total FROM documents WHERE lang = 'en' AND lower(trim(source)) = 'src3'")
 def flt_doc_list(spark, d):
     docs = table(spark, d, "documents").where((F.col("lang") == "en") & (F.lower(F.trim("source")) == "src3"))
@@ -150,12 +133,6 @@ def fn_cited(spark, d):
     return table(spark, d, "documents").select("doc_id", F.array_join(F.transform(R.cited_indexes(a), lambda x: x.cast("string")), ",").alias("cited"))
 
 
-@query(f"WITH {_BM25}, best AS (SELECT query_id, max(score) AS top FROM sparse GROUP BY query_id) SELECT query_id, id, CASE WHEN top < 30 AND rank <= 3 THEN 'page' ELSE 'chunk' END AS kind FROM sparse JOIN best USING (query_id)")
-def rt_fallback_page(spark, d):
-    best = F.max("score").over(Window.partitionBy("query_id"))
-    return _sparse(spark, d).select("query_id", "id", F.when((best < 30) & (F.col("rank") <= 3), "page").otherwise("chunk").alias("kind"))
-
-
 @query(f"WITH {BLOCKS}, thin AS (SELECT DISTINCT document_id, page FROM blocks WHERE length(text) < 80), capped AS (SELECT * FROM (SELECT *, dense_rank() OVER (PARTITION BY document_id ORDER BY page) AS r FROM thin) WHERE r <= 5) SELECT document_id, page, string_agg(text, chr(10) || chr(10) ORDER BY block_order) AS page_text FROM blocks JOIN capped USING (document_id, page) GROUP BY document_id, page")
 def rt_thin_expand(spark, d):
     b = blocks(spark, d)

@@ -313,17 +313,6 @@ def fn_page_profile(spark, d):
     return p.select("document_id", "page", (F.col("a") / 524288.0).alias("covered"), (F.col("a") > 24000).alias("image_dominant"))
 
 
-@query("SELECT event_id, CASE WHEN value < 100 THEN 'text_default' ELSE CASE event_type WHEN 'view' THEN 'drawing_route' WHEN 'click' THEN 'image_route' ELSE 'text_default' END END AS route FROM events")
-def fn_route(spark, d):
-    routes = F.create_map(F.lit("view"), F.lit("drawing_route"), F.lit("click"), F.lit("image_route"))
-    return table(spark, d, "events").select("event_id", F.when(F.col("value") < 100, "text_default").otherwise(F.coalesce(routes[F.col("event_type")], F.lit("text_default"))).alias("route"))
-
-
-@query("SELECT item_id, left(text, 100) AS t, length(left(text, 100)) <= 100 AS ok FROM benchmark", name="fn_truncate_bytes")
-def fn_truncate_bytes(spark, d):
-    return table(spark, d, "benchmark").select("item_id", F.left("text", F.lit(100)).alias("t"), (F.length(F.left("text", F.lit(100))) <= 100).alias("ok"))
-
-
 @query("SELECT doc_id, 'Feed Rate Manual' AS title FROM documents")
 def prj_title(spark, d):
     return table(spark, d, "documents").select("doc_id", X.title_from_filename(F.concat(F.lit("20240115_0042-feed_rate-manual.pdf"), F.lit(""))).alias("title"))
