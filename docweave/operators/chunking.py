@@ -127,24 +127,25 @@ def section_chunks(blocks: DataFrame, size: int = 400, overlap: int = 60) -> Dat
 def row_groups(tables: DataFrame, headers: list[str], size: int) -> DataFrame:
     """Rows packed in order into parts whose text, header included, has at most
     ``size`` words; a single row that is longer is a part of its own. Greedy, so
-    a fold over the rows; the state is the part number and the words in it."""
+    a fold over the rows; its state is the words of the open part and the first
+    rows of the parts, and the parts are slices of the table where it stands."""
     head = F.array(*(F.lit(h) for h in headers))
     base = 2 * len(headers) + 1 + len(headers) + 1 + sum(len(h.split()) for h in headers)
     cost = lambda r: F.size(r) + 1 + F.reduce(F.transform(r, lambda c: F.size(words(c))), F.lit(0), lambda a, n: a + n)
-    start = F.struct(F.lit(1).alias("part"), F.lit(base).alias("used"), F.array().cast("array<int>").alias("parts"))
+    costs = F.transform("rows", lambda r, i: F.struct(cost(r).alias("n"), i.alias("i")))
+    start = F.struct(F.lit(base).alias("used"), F.array(F.lit(0)).alias("firsts"))
 
     def step(acc: Column, row: Column) -> Column:
-        fits = (acc["used"] + cost(row) <= size) | (acc["used"] == base)
-        part = F.when(fits, acc["part"]).otherwise(acc["part"] + 1)
-        used = F.when(fits, acc["used"] + cost(row)).otherwise(base + cost(row))
-        return F.struct(part.alias("part"), used.alias("used"), F.array_append(acc["parts"], part).alias("parts"))
-
-    folded = tables.select("table_id", "rows", F.reduce("rows", start, step)["parts"].alias("parts"))
-    rows = folded.select("table_id", F.posexplode(F.arrays_zip("rows", "parts")).alias("r", "x")).select("table_id", "r", "x.*")
-    grouped = rows.groupBy("table_id", F.col("parts").cast("long").alias("part")).agg(F.array_sort(F.collect_list(F.struct("r", F.col("rows").alias("row")))).alias("g"))
-    kept = F.transform("g", lambda x: x["row"])
-    span = F.concat((F.get("g", 0)["r"] + 1).cast("string"), F.lit("-"), (F.element_at("g", -1)["r"] + 1).cast("string"))
-    return grouped.select("table_id", "part", F.size("g").cast("long").alias("n_rows"), span.alias("row_range"), markdown_table(head, kept).alias("text"))
+        fits = (acc["used"] + row["n"] <= size) | (acc["used"] == base)
+        here = F.struct((acc["used"] + row["n"]).alias("used"), acc["firsts"].alias("firsts"))
+        return F.when(fits, here).otherwise(F.struct((base + row["n"]).alias("used"), F.array_append(acc["firsts"], row["i"]).alias("firsts")))
+
+    placed = tables.where(F.size("rows") > 0).select("table_id", "rows", F.reduce(costs, start, step)["firsts"].alias("firsts"))
+    parts = placed.select("table_id", "rows", "firsts", F.posexplode("firsts").alias("p", "first"))
+    after = F.coalesce(F.get("firsts", F.col("p") + 1), F.size("rows"))
+    cut = parts.select("table_id", (F.col("p") + 1).cast("long").alias("part"), "first", F.slice("rows", F.col("first") + 1, after - F.col("first")).alias("own"))
+    span = F.concat((F.col("first") + 1).cast("string"), F.lit("-"), (F.col("first") + F.size("own")).cast("string"))
+    return cut.select("table_id", "part", F.size("own").cast("long").alias("n_rows"), span.alias("row_range"), markdown_table(head, F.col("own")).alias("text"))
 
 
 def labelled_rows(tables: DataFrame, headers: list[str], label: str) -> DataFrame:

@@ -24,35 +24,45 @@ def dot(a: str, b: str):  # noqa: ANN201
 
 def dense_top(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """query_id, id, score, rank: the nearest vectors of each query. A stated set
-    of queries is held against all vectors in blocks: every Arrow batch of
-    vectors is one matrix product, of which only the best k per query go on."""
+    of queries is held against all vectors: every Arrow batch of vectors is a
+    matrix product with a block of queries (``BROADCAST_QUERIES`` of them at most,
+    by a hash of their ids), of which only the best k per query go on. Where there
+    are more queries the vectors are read once for each block."""
     import numpy as np
     import pyarrow as pa
 
-    rows = queries.select("query_id", "vector").limit(BROADCAST_QUERIES + 1).collect()
-    if len(rows) > BROADCAST_QUERIES:
-        raise ValueError("split the queries into blocks")
-    ids = np.array([r["query_id"] for r in rows], np.int64)
-    q = np.array([r["vector"] for r in rows], np.float64).reshape(len(rows), -1)
-    held = vectors.sparkSession.sparkContext.broadcast((ids, q))
-
-    def run(batches):
-        ids, q = held.value
-        for b in batches:
-            if not b.num_rows or not len(ids):
-                continue
-            v = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
-            own = b.column(0).to_numpy(zero_copy_only=False)
-            scores = q @ v.T
-            n = min(k, b.num_rows)
-            # ties at the border of the best n go by id, so all of them are kept
-            border = np.partition(scores, -n, axis=1)[:, -n]
-            row, col = np.nonzero(scores >= border[:, None])
-            yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(own[col]), pa.array(scores[row, col])], ["query_id", "id", "score"])
-
-    near = vectors.select("id", "vector").mapInArrow(run, "query_id long, id long, score double").withColumn("score", F.round("score", 9))
+    def near(block: DataFrame) -> DataFrame:
+        rows = block.toArrow()
+        ids = rows.column("query_id").to_numpy().astype(np.int64)
+        q = np.array(rows.column("vector").to_pylist(), np.float64).reshape(len(ids), -1)
+        held = vectors.sparkSession.sparkContext.broadcast((ids, q))
+
+        def run(batches):
+            ids, q = held.value
+            for b in batches:
+                if not b.num_rows or not len(ids):
+                    continue
+                v = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
+                own = b.column(0).to_numpy(zero_copy_only=False)
+                scores = q @ v.T
+                n = min(k, b.num_rows)
+                # ties at the border of the best n go by id, so all of them are kept
+                border = np.partition(scores, -n, axis=1)[:, -n]
+                row, col = np.nonzero(scores >= border[:, None])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(own[col]), pa.array(scores[row, col])], ["query_id", "id", "score"])
+
+        return vectors.select("id", "vector").mapInArrow(run, "query_id long, id long, score double")
+
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), "vector")
+    n = asked.count()
+    blocks = max(1, -(-n // BROADCAST_QUERIES))
+    part = F.pmod(F.xxhash64("query_id"), F.lit(2 * blocks if blocks > 1 else 1))
+    parts = [near(asked.where(part == i)) for i in range(2 * blocks if blocks > 1 else 1)]
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return near.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
+    return every.withColumn("score", F.round("score", 9)).withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
 
 
 def postings(chunks: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -78,15 +88,22 @@ def bm25_weights(queries: DataFrame, index: DataFrame, *, k1: float = 1.2, b: fl
     return passages.unionByName(wanted.select(F.lit("query").alias("side"), "id", "term", "tf", idf.alias("weight")))
 
 
-def bm25(queries: DataFrame, index: DataFrame, k: int, *, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """query_id, id, score, rank: the best texts of each query. Only postings of
-    the queries' terms are scored."""
-    texts = index.select("id", "n").dropDuplicates()
-    stats = texts.agg(F.count("*").alias("total"), F.avg("n").alias("mean"))
-    asked = small(queries.select("query_id", "term").dropDuplicates())
-    hit = index.join(asked, "term")
-    spread = index.join(F.broadcast(asked.select("term").dropDuplicates()), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    scored = hit.join(F.broadcast(spread), "term").crossJoin(F.broadcast(stats))
+def search(queries: DataFrame, chunks: DataFrame, id_col: str, text_col: str, k: int, *, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """query_id, id, score, rank: the best texts (by BM25) of each query (query_id,
+    term). A text's length comes from its own row; of its words only those that
+    some query has are shuffled, counted before by each task."""
+    w = words(F.lower(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), "[^\\p{L}\\p{N}]+", " ")))
+    listed = chunks.select(F.col(id_col).alias("id"), w.alias("w")).where(F.size("w") > 0)
+    stats = listed.agg(F.count("*").alias("total"), F.avg(F.size("w")).alias("mean"))
+    asked = queries.select("query_id", "term").dropDuplicates()
+    terms = asked.select("term").dropDuplicates()
+    few = terms.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
+    send = F.broadcast if few else lambda df: df
+    found = listed.select("id", F.size("w").cast("long").alias("n"), F.explode("w").alias("term")).join(send(terms), "term", "left_semi")
+    counted = found.groupBy("term", "id", "n").agg(F.count("*").alias("tf"))
+    spread = counted.groupBy("term").agg(F.count("*").alias("df"))
+    # there are no more of these than terms
+    scored = counted.join(send(spread), "term").join(small(asked), "term").crossJoin(F.broadcast(stats))
     idf = F.log(1 + (F.col("total") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     gain = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n") / F.col("mean")))
     total = scored.groupBy("query_id", "id").agg(F.round(F.sum(gain), 6).alias("score"))

@@ -54,26 +54,37 @@ def with_verbatim(subs: Column, question: Column, max_chars: int = 500) -> Colum
     return F.when(said | (F.length(question) > max_chars), subs).otherwise(F.array_append(subs, question))
 
 
-def merge_boxes(boxes: DataFrame, keys: list[str], least_iou: float = 0.3) -> DataFrame:
-    """Boxes of a page that overlap become one, until none do. A page has few
-    boxes; they are merged together in one Arrow group."""
+def merged_boxes(boxes: list[list[float]], least_iou: float = 0.3) -> list[list[float]]:
+    """In the given order each box takes in those after it that overlap what it
+    has grown to; this goes on until nothing changes."""
+
+    def overlap(a: list[float], b: list[float]) -> float:
+        inter = max(0, min(a[2], b[2]) - max(a[0], b[0])) * max(0, min(a[3], b[3]) - max(a[1], b[1]))
+        union = (a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - inter
+        return inter / union if union > 0 else 0.0
+
+    before = None
+    while before != len(boxes):
+        before, rest, boxes = len(boxes), boxes, []
+        while rest:
+            (box, *others), rest = rest, []
+            for other in others:
+                if overlap(box, other) > least_iou:
+                    box = [*map(min, box[:2], other[:2]), *map(max, box[2:], other[2:])]
+                else:
+                    rest.append(other)
+            boxes.append(box)
+    return boxes
+
+
+def merge_boxes(boxes: DataFrame, keys: list[str], order: str, least_iou: float = 0.3) -> DataFrame:
+    """Boxes of a page (in the order of ``order``) that overlap become one, until
+    none do. A page has few boxes; they are merged together in one Arrow group."""
     import pandas as pd
 
     def run(page: pd.DataFrame) -> pd.DataFrame:
-        rest = sorted(page[["x0", "y0", "x1", "y1"]].to_numpy().tolist())
-        changed = True
-        while changed:
-            changed = False
-            for i in range(len(rest)):
-                for j in range(len(rest) - 1, i, -1):
-                    a, b = rest[i], rest[j]
-                    inter = max(0, min(a[2], b[2]) - max(a[0], b[0])) * max(0, min(a[3], b[3]) - max(a[1], b[1]))
-                    union = (a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - inter
-                    if union > 0 and inter / union > least_iou:
-                        rest[i] = [min(a[0], b[0]), min(a[1], b[1]), max(a[2], b[2]), max(a[3], b[3])]
-                        del rest[j]
-                        changed = True
-        out = pd.DataFrame(sorted(rest), columns=["x0", "y0", "x1", "y1"]).astype("int64")
+        rest = merged_boxes(page.sort_values(order)[["x0", "y0", "x1", "y1"]].to_numpy().tolist(), least_iou)
+        out = pd.DataFrame(rest, columns=["x0", "y0", "x1", "y1"]).astype("int64")
         for k in reversed(keys):
             out.insert(0, k, page[k].iloc[0])
         return out

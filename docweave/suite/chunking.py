@@ -24,7 +24,12 @@ def ck_fold(spark, d):
     return C.section_chunks(blocks(spark, d), 100, 20)
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {TABLES}, r AS (SELECT table_id, unnest(rows) AS row, unnest(range(1, len(rows) + 1)) AS r FROM tables), n AS (SELECT *, len(row) + 1 + list_sum(list_transform(row, lambda c: len(string_split(c, ' '))))::BIGINT AS n FROM r),
+    f(table_id, r, part, used) AS (SELECT table_id, 0::BIGINT, 1::BIGINT, 18::BIGINT FROM tables
+      UNION ALL SELECT f.table_id, n.r, CASE WHEN used + n <= 60 OR used = 18 THEN part ELSE part + 1 END, CASE WHEN used + n <= 60 OR used = 18 THEN used + n ELSE 18 + n END FROM f JOIN n ON n.table_id = f.table_id AND n.r = f.r + 1)
+    SELECT table_id, part, count(*) AS n_rows, min(r) || '-' || max(r) AS row_range, '| part | qty | flag | date |' || chr(10) || '| --- | --- | --- | --- |' || chr(10) || string_agg('| ' || array_to_string(row, ' | ') || ' |', chr(10) ORDER BY r) AS text FROM f JOIN n USING (table_id, r) GROUP BY table_id, part"""
+)
 def ck_table_groups(spark, d):
     return C.row_groups(cell_tables(spark, d), ["part", "qty", "flag", "date"], 60)
 

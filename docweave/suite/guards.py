@@ -68,7 +68,17 @@ def gd_session(spark, d):
     return rolling_sum(e, "user_id", "ts", "score", 30).select("event_id", (F.col("rolling") >= 150).alias("blocked"))
 
 
-@query()
+def quota_sql(limit: int, minutes: int) -> str:
+    """A fold over each user's events: what is held of the window, and whether one more fits."""
+    return f"""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS us, CAST(floor(value) AS BIGINT) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events),
+    f(user_id, r, event_id, held, admitted) AS (SELECT DISTINCT user_id, 0::BIGINT, NULL::BIGINT, CAST([] AS STRUCT(us BIGINT, t BIGINT)[]), false FROM e
+      UNION ALL SELECT user_id, r, event_id, CASE WHEN ok THEN list_append(h, {{'us': us, 't': t}}) ELSE h END, ok FROM (
+        SELECT user_id, r, event_id, us, t, h, coalesce(list_sum(list_transform(h, lambda x: x.t)), 0) + t <= {limit} AS ok FROM (
+          SELECT f.user_id, e.r, e.event_id, e.us, e.t, list_filter(f.held, lambda x: e.us - x.us <= {minutes * 60_000_000}) AS h FROM f JOIN e ON e.user_id = f.user_id AND e.r = f.r + 1)))
+    SELECT user_id, event_id, admitted FROM f WHERE r > 0"""
+
+
+@query(quota_sql(400, 60 * 24))
 def gd_quota(spark, d):
     e = table(spark, d, "events").withColumn("tokens", F.floor("value"))
     return G.quota(e, "user_id", "ts", "tokens", "event_id", limit=400, minutes=60 * 24)

@@ -16,6 +16,7 @@ from ..operators import windows as W
 from ..registry import query, table
 from ..sources.fixtures import BLOCKS, BOXES, blocks, boxes
 from .aggregates import _EVIDENCE, evidence
+from .guards import quota_sql
 
 
 @query(f"WITH {BLOCKS} SELECT document_id, block_order FROM blocks WHERE type IN ('text', 'heading', 'table', 'image_caption')")
@@ -60,7 +61,7 @@ def prj_citation(spark, d):
     return blocks(spark, d).where("type = 'text'").select("document_id", "block_order", name.alias("filename"), "page", F.left("text", F.lit(80)).alias("snippet"))
 
 
-@query()
+@query(quota_sql(1000, 60 * 48))
 def win_quota(spark, d):
     e = table(spark, d, "events").withColumn("tokens", F.floor("value"))
     return G.quota(e, "user_id", "ts", "tokens", "event_id", limit=1000, minutes=60 * 48)
@@ -81,10 +82,10 @@ def fn_instruction_verb(spark, d):
     return table(spark, d, "documents").select("doc_id", G.has_instruction_verb(F.col("text")).alias("verb"))
 
 
-@query("SELECT doc_id, CASE WHEN regexp_matches(lower(text), '\\bthat\\b') THEN 'that' WHEN regexp_matches(lower(text), '\\bder\\b') THEN 'der' END AS entity FROM documents WHERE lang IN ('en', 'de')")
+@query("SELECT doc_id, CASE WHEN regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}_])that([^\\p{L}\\p{N}_]|$)') THEN 'that' WHEN regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}_])der([^\\p{L}\\p{N}_]|$)') THEN 'der' WHEN regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}_])que([^\\p{L}\\p{N}_]|$)') THEN 'que' END AS entity FROM documents")
 def fn_entity(spark, d):
-    known = [F.when(X.has_keyword(F.col("text"), [e]), F.lit(e)) for e in ("that", "der")]
-    return table(spark, d, "documents").where("lang in ('en', 'de')").select("doc_id", F.coalesce(*known).alias("entity"))
+    known = [F.when(X.has_keyword(F.col("text"), [e]), F.lit(e)) for e in ("that", "der", "que")]
+    return table(spark, d, "documents").select("doc_id", F.coalesce(*known).alias("entity"))
 
 
 @query("SELECT conv_id, turn, len(string_split(trim(text), ' ')) <= 2 AS ambiguous FROM conversations WHERE text <> ''")
@@ -92,10 +93,15 @@ def fn_broad(spark, d):
     return table(spark, d, "conversations").where("text <> ''").select("conv_id", "turn", (F.size(F.split(F.trim("text"), " ")) <= 2).alias("ambiguous"))
 
 
-@query("SELECT doc_id, doc_id % 2 = 0 AS steps FROM documents")
+@query(
+    """WITH t AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN regexp_replace(text, '\\n', chr(10) || '  Step 3 ') WHEN 1 THEN '(2) ' || text WHEN 2 THEN 'as in step 3 of ' || text ELSE text END AS t FROM documents)
+    SELECT doc_id, regexp_matches(t, '(?is)(^|\\n)\\s*(step\\s+\\d+|\\(?\\d+[.)])\\s+\\S') AS steps FROM t"""
+)
 def fn_step_markers(spark, d):
-    t = F.when(F.col("doc_id") % 2 == 0, F.lit("Intro\n  Step 3 remove it")).otherwise(F.lit("no such thing 3"))
-    return table(spark, d, "documents").select("doc_id", X.has_steps(t).alias("steps"))
+    n, t = F.col("doc_id") % 4, F.col("text")
+    line = F.concat_ws("\n  Step 3 ", F.substring_index(t, "\n", 1), F.when(F.contains(t, F.lit("\n")), F.substring(t, F.instr(t, "\n") + 1, F.length(t))))
+    said = F.when(n == 0, line).when(n == 1, F.concat(F.lit("(2) "), t)).when(n == 2, F.concat(F.lit("as in step 3 of "), t)).otherwise(t)
+    return table(spark, d, "documents").select("doc_id", X.has_steps(said).alias("steps"))
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 49)")
@@ -136,7 +142,12 @@ def gd_policy(spark, d):
     return A.policy(evidence(spark, d), "request").select("request", (F.col("verdict") == "block").alias("blocked"))
 
 
-@query()
+@query(
+    """WITH RECURSIVE e AS (SELECT user_id, event_id, CAST(floor(value) AS BIGINT) % 200 AS t, row_number() OVER (PARTITION BY user_id ORDER BY value * (CASE event_type WHEN 'view' THEN 0.9 WHEN 'click' THEN 0.7 ELSE 0.5 END)::DOUBLE DESC, event_id) AS r FROM events),
+    f(user_id, r, used, taken) AS (SELECT DISTINCT user_id, 0::BIGINT, 0::BIGINT, CAST([] AS BIGINT[]) FROM e
+      UNION ALL SELECT f.user_id, e.r, CASE WHEN used + t <= 1000 THEN used + t ELSE used END, CASE WHEN used + t <= 1000 THEN list_append(taken, e.event_id) ELSE taken END FROM f JOIN e ON e.user_id = f.user_id AND e.r = f.r + 1),
+    l AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY r DESC) AS k FROM f) SELECT user_id, used, taken, r - len(taken) AS dropped FROM l WHERE k = 1"""
+)
 def gd_budget(spark, d):
     e = J.trust(table(spark, d, "events"), "event_type", {"view": 0.9, "click": 0.7}, 0.5)
     e = e.withColumns({"worth": F.col("value") * F.col("trust"), "t": F.floor("value") % 200})
@@ -149,7 +160,7 @@ def st_session_risk(spark, d):
     return W.rolling_sum(e, "user_id", "ts", "score", 30, "risk").select("event_id", "risk")
 
 
-@query()
+@query(quota_sql(300, 60))
 def st_quota(spark, d):
     e = table(spark, d, "events").withColumn("tokens", F.floor("value"))
     return G.quota(e, "user_id", "ts", "tokens", "event_id", limit=300, minutes=60)

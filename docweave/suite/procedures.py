@@ -93,7 +93,15 @@ def pr_related_drawing(spark, d):
     return P.best_name(i, n, "item_id", "w", "c_custkey", "nw")
 
 
-@query()
+@query(
+    """WITH RECURSIVE e AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events),
+    f(user_id, r, state, moves) AS (SELECT DISTINCT user_id, 0::BIGINT, 'idle', 0::BIGINT FROM e
+      UNION ALL SELECT user_id, r, t, moves + CASE WHEN t <> state THEN 1 ELSE 0 END FROM (SELECT f.user_id, e.r, f.state, f.moves,
+        CASE WHEN (state, event_type) IN (('idle', 'view'), ('done', 'view')) THEN 'offer' WHEN (state, event_type) IN (('offer', 'click'), ('overview', 'click'), ('active', 'click'), ('paused', 'click')) THEN 'active'
+          WHEN (state, event_type) = ('offer', 'signup') THEN 'overview' WHEN (state, event_type) = ('active', 'error') THEN 'paused' WHEN (state, event_type) = ('active', 'purchase') THEN 'done' ELSE state END AS t
+        FROM f JOIN e ON e.user_id = f.user_id AND e.r = f.r + 1)),
+    l AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY r DESC) AS k FROM f) SELECT user_id, state, moves FROM l WHERE k = 1"""
+)
 def pr_state(spark, d):
     return P.run_states(table(spark, d, "events"), "user_id", ["ts", "event_id"], "event_type")
 

@@ -41,9 +41,8 @@ sparse AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORD
 
 
 def _sparse(spark, d, k=20):
-    index = R.postings(table(spark, d, "documents"), "doc_id", "text")
     asked = R.postings(table(spark, d, "benchmark"), "item_id", "text").select(F.col("id").alias("query_id"), "term")
-    return R.bm25(asked, index, k)
+    return R.search(asked, table(spark, d, "documents"), "doc_id", "text", k)
 
 
 @query(f"WITH {_BM25} SELECT query_id, id, score, rank FROM sparse")

@@ -39,9 +39,11 @@ def fn_collapse_repeat(spark, d):
     return docs.select("doc_id", F.regexp_replace(X.collapse_repeats(cell), "\\.{3}", ".......").alias("cell"), F.length("text").cast("long").alias("n"))
 
 
-@query("SELECT doc_id, 'AB12' AS code FROM documents")
+@query("SELECT doc_id, md5(text) AS text_md5 FROM documents")
 def fn_fullwidth(spark, d):
-    return table(spark, d, "documents").select("doc_id", X.half_width(F.lit("ＡＢ１２")).alias("code"))
+    # letters and digits written wide come back as they were
+    wide = F.translate("text", X.ASCII_WIDTH, X.FULL_WIDTH)
+    return table(spark, d, "documents").select("doc_id", F.md5(X.half_width(wide).cast("binary")).alias("text_md5"))
 
 
 @query(
@@ -64,7 +66,11 @@ def src_ppt_xml(spark, d):
     return table(spark, d, "pages").select("page_id", X.strip_tags(F.col("html")).alias("text"), F.lit(0.2).cast("double").alias("confidence"))
 
 
-@query()
+@query(
+    """WITH t AS (SELECT doc_id, regexp_extract_all(regexp_replace(text, '[\\x{80}-\\x{10FFFF}]', '_', 'g'), '\\b[A-Za-z0-9][A-Za-z0-9\\-*/.]*\\b') AS c FROM documents),
+    u AS (SELECT doc_id, list_transform(list_filter(c, lambda x: length(x) >= 3 AND regexp_matches(x, '[A-Za-z]') AND regexp_matches(x, '[0-9]')), lambda x: regexp_replace(upper(x), '^[.\\-]+|[.\\-]+$', '', 'g')) AS c FROM t)
+    SELECT doc_id, coalesce(array_to_string(list_sort(list_distinct(list_filter(c, lambda x: length(x) >= 3 AND NOT regexp_matches(replace(x, '.', ''), '^[0-9]+$')))), ','), '') AS codes FROM u"""
+)
 def fn_component_codes(spark, d):
     return table(spark, d, "documents").select("doc_id", F.array_join(X.component_codes(F.col("text")), ",").alias("codes"))
 
@@ -89,17 +95,20 @@ def fn_heading_level(spark, d):
     return b.select("document_id", "block_order", X.heading_level(title, box).alias("level"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN true ELSE false END AS callout, CASE WHEN doc_id % 2 = 0 THEN '**NOTE:** x' ELSE 'NOTE x' END AS formatted FROM documents")
+@query(
+    f"""WITH {BLOCKS}, t AS (SELECT document_id, block_order, CASE block_order % 5 WHEN 0 THEN '[ note ]' WHEN 1 THEN '**WARNING** ' || left(text, CAST(document_id % 3 AS BIGINT)) WHEN 2 THEN 'One Point ' || text ELSE text END AS t FROM blocks)
+    SELECT document_id, block_order, regexp_matches(t, '(?i)^[\\s<\\[(*]*(IMPORTANT|NOTE|ONE POINT|WARNING|CAUTION|DANGER)[\\s>\\])*]*$') AS callout FROM t"""
+)
 def fn_callout_heading(spark, d):
-    t = F.when(F.col("doc_id") % 2 == 0, F.lit("<note>")).otherwise(F.lit("a note"))
-    c = F.when(F.col("doc_id") % 2 == 0, F.lit("<NOTE> x")).otherwise(F.lit("NOTE x"))
-    return table(spark, d, "documents").select("doc_id", X.is_callout(t).alias("callout"), X.callout_format(c).alias("formatted"))
+    n, t = F.col("block_order") % 5, F.col("text")
+    said = F.when(n == 0, "[ note ]").when(n == 1, F.concat(F.lit("**WARNING** "), F.left(t, (F.col("document_id") % 3).cast("int")))).when(n == 2, F.concat(F.lit("One Point "), t)).otherwise(t)
+    return blocks(spark, d).select("document_id", "block_order", X.is_callout(said).alias("callout"))
 
 
-@query("SELECT doc_id, '- item' AS item FROM documents")
+@query(f"WITH {BLOCKS}, t AS (SELECT document_id, block_order, CASE WHEN block_order % 3 = 0 THEN ' - ' || text ELSE text END AS t FROM blocks) SELECT document_id, block_order, md5(CASE WHEN starts_with(trim(t), '-') THEN trim(t) ELSE '- ' || trim(t) END) AS item_md5 FROM t")
 def fn_list_marker(spark, d):
-    t = F.when(F.col("doc_id") % 2 == 0, F.lit("- item")).otherwise(F.lit(" item"))
-    return table(spark, d, "documents").select("doc_id", X.list_item(t, F.lit("-")).alias("item"))
+    t = F.when(F.col("block_order") % 3 == 0, F.concat(F.lit(" - "), "text")).otherwise(F.col("text"))
+    return blocks(spark, d).select("document_id", "block_order", F.md5(X.list_item(t, F.lit("-")).cast("binary")).alias("item_md5"))
 
 
 @query(
@@ -202,9 +211,9 @@ def fn_context_anchor(spark, d):
 _KEY = {"thing": ["that", "and"], "other": ["der", "die"], "rest": ["que", "la"]}
 
 
-@query("SELECT doc_id, regexp_matches(lower(text), '\\b(that|and)\\b') AS has_word, CASE WHEN regexp_matches(lower(text), '\\b(that|and)\\b') THEN 'thing' WHEN regexp_matches(lower(text), '\\b(der|die)\\b') THEN 'other' WHEN regexp_matches(lower(text), '\\b(que|la)\\b') THEN 'rest' END AS industry FROM documents WHERE lang IN ('en', 'de')", name="fn_industry")
+@query("SELECT doc_id, regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}_])(that|and)([^\\p{L}\\p{N}_]|$)') AS has_word, CASE WHEN regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}_])(that|and)([^\\p{L}\\p{N}_]|$)') THEN 'thing' WHEN regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}_])(der|die)([^\\p{L}\\p{N}_]|$)') THEN 'other' WHEN regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}_])(que|la)([^\\p{L}\\p{N}_]|$)') THEN 'rest' END AS industry FROM documents", name="fn_industry")
 def fn_industry(spark, d):
-    return table(spark, d, "documents").where("lang in ('en', 'de')").select("doc_id", X.has_keyword(F.col("text"), _KEY["thing"]).alias("has_word"), X.industry(F.col("text"), _KEY).alias("industry"))
+    return table(spark, d, "documents").select("doc_id", X.has_keyword(F.col("text"), _KEY["thing"]).alias("has_word"), X.industry(F.col("text"), _KEY).alias("industry"))
 
 
 @query("SELECT doc_id, contains(regexp_replace(regexp_replace(lower(text), '[^a-z0-9 ]+', ' ', 'g'), ' +', ' ', 'g'), 'of the') AS supported FROM documents")
@@ -313,14 +322,25 @@ def fn_page_profile(spark, d):
     return p.select("document_id", "page", (F.col("a") / 524288.0).alias("covered"), (F.col("a") > 24000).alias("image_dominant"))
 
 
-@query("SELECT doc_id, 'Feed Rate Manual' AS title FROM documents")
+@query(
+    """WITH n AS (SELECT doc_id, regexp_replace(regexp_replace(CASE WHEN doc_id % 2 = 0 THEN '20240115_' || (1000 + doc_id) || '-' ELSE '' END || source || '_' || lang || '--' || doc_id || '.pdf', '\\.[A-Za-z0-9]+$', ''), '^(?:[0-9]{4,8}[_-]+)+', '') AS n FROM documents)
+    SELECT doc_id, array_to_string(list_transform(string_split(trim(regexp_replace(n, '[_\\-]+', ' ', 'g')), ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS title FROM n"""
+)
 def prj_title(spark, d):
-    return table(spark, d, "documents").select("doc_id", X.title_from_filename(F.concat(F.lit("20240115_0042-feed_rate-manual.pdf"), F.lit(""))).alias("title"))
+    i = F.col("doc_id").cast("string")
+    dated = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("20240115_"), (F.col("doc_id") + 1000).cast("string"), F.lit("-"))).otherwise("")
+    name = F.concat(dated, "source", F.lit("_"), "lang", F.lit("--"), i, F.lit(".pdf"))
+    return table(spark, d, "documents").select("doc_id", X.title_from_filename(name).alias("title"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN CAST(12.5 AS DOUBLE) END AS wait FROM documents")
+@query(
+    """WITH t AS (SELECT doc_id, text || CASE doc_id % 3 WHEN 0 THEN ' Please retry in ' || (doc_id % 97) || '.5s.' WHEN 1 THEN ' Try again after ' || doc_id || ' seconds' ELSE '' END AS t FROM documents)
+    SELECT doc_id, TRY_CAST(regexp_extract(t, '(?i)(?:retry|try again)[^0-9]{0,20}([0-9]+(?:\\.[0-9]+)?)\\s*s', 1) AS DOUBLE) AS wait FROM t"""
+)
 def fn_retry_after(spark, d):
-    return table(spark, d, "documents").select("doc_id", X.retry_seconds(F.when(F.col("doc_id") % 2 == 0, "Please retry in 12.5s.")).alias("wait"))
+    i, n = F.col("doc_id"), F.col("doc_id") % 3
+    more = F.when(n == 0, F.concat(F.lit(" Please retry in "), (i % 97).cast("string"), F.lit(".5s."))).when(n == 1, F.concat(F.lit(" Try again after "), i.cast("string"), F.lit(" seconds"))).otherwise("")
+    return table(spark, d, "documents").select("doc_id", X.retry_seconds(F.concat("text", more)).alias("wait"))
 
 
 @query("SELECT doc_id, page AS paragraph, text FROM (SELECT doc_id, unnest(range(0, len(p))) AS page, unnest(p) AS text FROM (SELECT doc_id, string_split_regex(replace(text, chr(10), chr(10) || chr(10)), '\\n\\s*\\n') AS p FROM documents))")
@@ -330,7 +350,7 @@ def fn_paragraphs(spark, d):
 
 
 # ---------------------------------------------------------------- operators over every row's own text
-# the queries of the same names without _all hold only constants
+# as it stands, without the additions of the queries named without _all
 
 
 @query()

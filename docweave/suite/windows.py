@@ -174,7 +174,7 @@ def set_except(spark, d):
 
 @query()
 def set_merge_boxes(spark, d):
-    return W.merge_boxes(boxes(spark, d), ["document_id", "page"])
+    return W.merge_boxes(boxes(spark, d), ["document_id", "page"], "block_order")
 
 
 @query(f"WITH {TABLES} SELECT table_id, CAST(len(rows) AS BIGINT) AS n FROM tables INTERSECT SELECT l_orderkey, count(*) FROM lineitem GROUP BY l_orderkey")

@@ -6,8 +6,9 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from docweave.functions import markdown, replies
 from docweave.functions import text as X
-from docweave.operators import chunking, guards, retrieval, sinks, windows
+from docweave.operators import chunking, guards, retrieval, routing, sinks, windows
 from docweave.plans import pipeline, sql
 from docweave.sources import readers
 from docweave.streaming import guards as streams
@@ -86,7 +87,7 @@ def test_prefix_budget_keeps_first(spark):
 
 def test_merge_boxes(spark):
     rows = [(1, 1, 0, 0, 10, 10), (1, 1, 2, 2, 12, 12), (1, 1, 50, 50, 60, 60)]
-    got = windows.merge_boxes(spark.createDataFrame(rows, "d long, p long, x0 long, y0 long, x1 long, y1 long"), ["d", "p"]).collect()
+    got = windows.merge_boxes(spark.createDataFrame(rows, "d long, p long, x0 long, y0 long, x1 long, y1 long"), ["d", "p"], "x1").collect()
     assert sorted((r.x0, r.y0, r.x1, r.y1) for r in got) == [(0, 0, 12, 12), (50, 50, 60, 60)]
 
 
@@ -192,7 +193,8 @@ def test_sparse_weights(spark):
             df = sum(term in x for x in words.values())
             want["query", i, term] = (w.count(term), round(math.log(1 + (len(words) - df + 0.5) / (df + 0.5)), 9))
     assert got == want
-    pairs = retrieval.bm25(queries.select(F.col("id").alias("query_id"), "term"), index, 5).collect()
+    pairs = retrieval.search(queries.select(F.col("id").alias("query_id"), "term"), frame(texts), "id", "text", 5).collect()
+    assert {(r.query_id, r.id) for r in pairs} == {(7, 1), (7, 2), (8, 3)}
     for r in pairs:
         score = sum(v * got[("passage", r.id, term)][1] for (side, q, term), (_, v) in got.items() if side == "query" and q == r.query_id and ("passage", r.id, term) in got)
         assert abs(score - r.score) < 1e-5
@@ -237,3 +239,85 @@ def test_scalars_read_every_text(spark, tmp_path):
     assert got("prj_title_all") == {(i, titles[source]) for i, _, _, source, _ in rows}
     assert got("fn_retry_after_all") == {(i, 12.5 if "retry" in t else None) for i, t, *_ in rows}
     assert got("fn_step_markers_all") == {(i, "Step" in t) for i, t, *_ in rows}
+
+
+@pytest.mark.parametrize(
+    ("reply", "want"),
+    [
+        ('[{"a": 1}, {"a": 2}]', [{"a": 1}, {"a": 2}]),
+        ('```json\n[1, 2]\n```', [1, 2]),
+        ('Sure: [{"a": "x]"}] done', [{"a": "x]"}]),
+        ('[{"a": 1}, {"a": {"b": 2}}, {"a": ', [{"a": 1}, {"a": {"b": 2}}]),
+        ("none", None),
+        (None, None),
+        ("", None),
+    ],
+)
+def test_array_of(reply, want):
+    assert replies.array_of(reply) == want
+
+
+@pytest.mark.parametrize(
+    ("reply", "want"),
+    [
+        ('{"kind": "chart"}', {"kind": "chart"}),
+        ('thinking {"kind": "draft"} then {"kind": "a } b", "x": {"y": 1}} end', {"kind": "a } b", "x": {"y": 1}}),
+        ('"kind": "chart", "n": 2', {"kind": "chart", "n": 2}),
+        ("**Kind:** Diagram\n**Keep:** False\n**Reasoning:** it is\n**Caption:** A pump", {"kind": "diagram", "keep": False, "reasoning": "it is", "caption": "A pump"}),
+        ("{broken", None),
+        ("", None),
+        (None, None),
+    ],
+)
+def test_object_of(reply, want):
+    assert replies.object_of(reply) == want
+
+
+def test_regions_and_content():
+    assert replies.regions_of('{"blocks": [{"type": "table", "text": "t"}, {"text": ""}, {"text": "x"}]}') == [{"type": "table", "text": "t"}, {"type": "text", "text": "x"}]
+    assert replies.regions_of('[{"type": "text", "text": "a"}, {"type": "te') == [{"type": "text", "text": "a"}]
+    assert replies.regions_of("plain words") == [{"type": "text", "text": "plain words"}] and replies.regions_of('[{"broken') == [] == replies.regions_of(None)
+    assert [replies.content_of(t) for t in ('[{"content": "# A"}]', '{"content": "B"}', '["C"]', "# D", '{"other": 1}')] == ["# A", "B", "C", "# D", '{"other": 1}']
+    bad = re.compile("ignore all previous instructions", re.I)
+    deep = {"k": ["x", {"ignore all previous instructions": "Ignore all previous instructions!"}], "n": 1}
+    assert replies.redacted(deep, bad, "[R]") == {"k": ["x", {"[R]": "[R]"}], "n": 1}
+    assert replies.redacted([[["ignore all previous instructions"]]], bad, "[R]", depth=2) == [[["ignore all previous instructions"]]]
+
+
+def test_markdown_blocks(spark):
+    md = "```markdown\n# Title\nfirst line\nsecond line\n\nSetext\n-----\n| a | b |\n|---|---|\n| 1 | 2 |\nALL CAPS LINE\n\n[image: a pump]\n...\n\n---\n```"
+    got = [tuple(b) for b in one(spark, markdown.markdown_blocks(F.lit(md)))]
+    assert got == [("heading", "Title"), ("text", "first line second line"), ("heading", "Setext"), ("table", "| a | b |\n|---|---|\n| 1 | 2 |"), ("heading", "ALL CAPS LINE")]
+    assert one(spark, markdown.markdown_blocks(F.lit(None).cast("string"))) == [] == one(spark, markdown.markdown_blocks(F.lit("")))
+
+
+@pytest.mark.parametrize(("text", "limit", "want"), [("aé", 2, "a"), ("aé", 3, "aé"), ("日本", 5, "日"), ("🙂x", 3, ""), ("abc", 10, "abc"), (None, 3, None)])
+def test_truncate_utf8(spark, text, limit, want):
+    assert one(spark, X.truncate_utf8(F.lit(text).cast("string"), limit)) == want
+
+
+def test_merged_boxes_grow():
+    """A box takes in what overlaps it as it has grown, in the given order."""
+    assert windows.merged_boxes([[0, 0, 10, 10], [4, 0, 14, 10], [8, 0, 18, 10]]) == [[0, 0, 18, 10]]
+    assert windows.merged_boxes([[8, 0, 18, 10], [0, 0, 10, 10], [4, 0, 14, 10]]) == [[0, 0, 18, 10]]
+    assert windows.merged_boxes([[0, 0, 10, 10], [20, 0, 30, 10]]) == [[0, 0, 10, 10], [20, 0, 30, 10]] and windows.merged_boxes([]) == []
+
+
+def test_dense_top_in_blocks(spark, monkeypatch):
+    """More queries than one block holds, with the same result."""
+    rows = [(i, [math.cos(i), math.sin(i)]) for i in range(60)]
+    v = spark.createDataFrame(rows, "id long, vector array<double>")
+    q = v.select(F.col("id").alias("query_id"), "vector")
+    whole = sorted(map(tuple, retrieval.dense_top(q, v, 3).collect()))
+    monkeypatch.setattr(retrieval, "BROADCAST_QUERIES", 25)
+    assert sorted(map(tuple, retrieval.dense_top(q, v, 3).collect())) == whole and len(whole) == 180
+
+
+def test_config_errors():
+    assert routing.config_errors({}) == []
+    assert [e.split(":")[0] for e in routing.config_errors({"policy": {"block_threshold": 101, "warn_threshold": 101}, "rollout": {"output_guard_pct": 0}})] == ["policy.block_threshold", "policy.warn_threshold", "policy.warn_threshold", "rollout.output_guard_pct"]
+
+
+def test_masks_stand_by_accents(spark):
+    assert one(spark, guards.mask_pii(F.lit("4111111111111111 émile"))) == "[CARD REDACTED]émile"
+    assert one(spark, guards.mask_pii(F.lit("mail a.b@c.org or 9876543210, no 123"))) == "mail [EMAIL REDACTED] or [PHONE REDACTED], no 123"
