@@ -3,6 +3,6 @@
 from __future__ import annotations
 
 from .registry import ORACLE_SQL, QUERIES
-from .suite import aggregates, chunking, guards, joins, more, procedures, retrieval, routes, salvage, scalars, sinks, sources, sqlsurface, streams, windows
+from .suite import aggregates, chunking, guards, joins, more, procedures, replies, retrieval, routes, salvage, scalars, sinks, sources, sqlsurface, streams, windows
 
-__all__ = ["ORACLE_SQL", "QUERIES", "aggregates", "chunking", "guards", "joins", "more", "procedures", "retrieval", "routes", "salvage", "scalars", "sinks", "sources", "sqlsurface", "streams", "windows"]
+__all__ = ["ORACLE_SQL", "QUERIES", "aggregates", "chunking", "guards", "joins", "more", "procedures", "replies", "retrieval", "routes", "salvage", "scalars", "sinks", "sources", "sqlsurface", "streams", "windows"]

@@ -147,3 +147,49 @@ def scan_json(pattern: str, mask: str = "[CONTENT REDACTED: injection detected]"
         return text.map(lambda t: t if (x := _loads(t or "")) is None else json.dumps(redacted(x, bad, mask, depth), ensure_ascii=False))
 
     return scan
+
+
+def classification(reply, known: list[str]):  # noqa: ANN001, ANN201
+    """(doc_type, confidence, source) of a reply: its JSON, else what its prose
+    names (with a confidence it states, in per cent or not), else the default."""
+    from .text import coerce_type
+
+    body = F.regexp_extract(F.coalesce(reply, F.lit("")), "(?s)\\{.*\\}", 0)
+    parsed = F.from_json(F.nullif(body, F.lit("")), "document_type string, confidence double, _corrupt_record string")
+    clean = parsed["_corrupt_record"].isNull() & parsed["document_type"].isNotNull()
+    named = coerce_type(reply, known)
+    stated = F.regexp_extract(F.coalesce(reply, F.lit("")), "(?i)confidence[^0-9]*([0-9]+(?:\\.[0-9]+)?)", 1).try_cast("double")
+    share = F.when(stated > 1, stated / 100).otherwise(stated)
+    told = lambda kind, sure, source: F.struct(kind.alias("doc_type"), sure.alias("confidence"), F.lit(source).alias("source"))
+    return (
+        F.when(clean, told(coerce_type(parsed["document_type"], known), F.coalesce(parsed["confidence"], F.lit(0.0)), "json"))
+        .when(~named.isin("report", "unknown") & named.isin(known), told(named, F.coalesce(share, F.lit(0.85)), "prose"))
+        .otherwise(told(F.lit("report"), F.lit(0.3), "default"))
+    )
+
+
+def caption(reply):  # noqa: ANN001, ANN201
+    """(text, kind, confidence, failed) of a captioning reply: its description with
+    its entities behind; the reply itself where it holds no JSON."""
+    found = json_object(reply)
+    get = lambda k: F.get_json_object(found, f"$.{k}")
+    said = F.coalesce(F.nullif(F.trim(get("description")), F.lit("")), F.trim(get("caption")), F.lit(""))
+    entities = F.from_json(get("entities"), "array<string>")
+    text = F.when(F.size(entities) > 0, F.concat(said, F.lit("\n\nEntities: "), F.array_join(entities, ", "))).otherwise(said)
+    failed = found.isNull()
+    return F.struct(
+        F.when(failed, F.trim(F.coalesce(reply, F.lit("")))).otherwise(text).alias("text"),
+        F.when(failed, "other").otherwise(F.coalesce(get("type"), get("kind"), F.lit("other"))).alias("kind"),
+        F.when(failed, 0.0).otherwise(F.coalesce(get("confidence").try_cast("double"), F.lit(0.95))).alias("confidence"),
+        failed.alias("failed"),
+    )
+
+
+def planned(reply, question, most: int = 4):  # noqa: ANN001, ANN201
+    """The sub-questions of a planner's reply (an array of strings), at most
+    ``most``, the question itself among them; only it where the reply has none."""
+    from ..operators.windows import with_verbatim
+
+    subs = F.transform(F.filter(json_array(reply), lambda x: x.startswith('"')), lambda x: F.from_json(F.concat(F.lit('{"q":'), x, F.lit("}")), "q string")["q"])
+    some = F.slice(F.coalesce(subs, F.array().cast("array<string>")), 1, most - 1)
+    return with_verbatim(some, question)

@@ -32,7 +32,7 @@ def validate(statement: str) -> str:
         raise ValueError("the statement is empty")
     if ";" in text:
         raise ValueError("only one statement is allowed")
-    if not text.startswith(PREFIXES):
+    if not text.lstrip("( \t\n").startswith(PREFIXES):
         raise ValueError("only statements that read are allowed")
     words = set(re.findall(r"[a-z_]+", text))
     if found := words & set(FORBIDDEN):
@@ -65,3 +65,41 @@ def result(df: DataFrame) -> dict:
 
     rows = [json.loads(r) for r in df.toJSON().collect()]
     return {"columns": df.columns, "rows": rows, "row_count": len(rows)}
+
+
+def run_within(spark: SparkSession, statement: str, seconds: float = 15.0, limit: int = 200) -> dict:
+    """:func:`result` of a checked statement, cancelled after ``seconds``."""
+    import threading
+    import uuid
+
+    sc, group = spark.sparkContext, f"read-{uuid.uuid4().hex}"
+    late = threading.Event()
+
+    def stop() -> None:
+        late.set()
+        sc.cancelJobGroup(group)
+
+    timer = threading.Timer(seconds, stop)
+    sc.setJobGroup(group, "read-only statement", interruptOnCancel=True)
+    timer.start()
+    try:
+        return result(run_readonly(spark, statement, limit))
+    except Exception as e:
+        if late.is_set():
+            raise TimeoutError(f"the statement took more than {seconds} seconds") from e
+        raise
+    finally:
+        timer.cancel()
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        sc.setLocalProperty("spark.job.interruptOnCancel", None)
+
+
+def shown(df: DataFrame, order: list[str], rows: int = 20, chars: int = 4000) -> DataFrame:
+    """One row: n_rows, n_columns and the first rows as text, cut to ``chars``."""
+    from pyspark.sql import functions as F
+
+    line = F.concat_ws(" | ", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns))
+    first = df.orderBy(*order).limit(rows).select(F.struct(*order).alias("o"), line.alias("line"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "line"))), lambda x: x["line"]), "\n")
+    cut = F.when(F.length("text") > chars, F.concat(F.left("text", F.lit(chars)), F.lit(f"\n...[truncated: exceeded {chars} chars]"))).otherwise(F.col("text"))
+    return first.agg(text.alias("text")).crossJoin(df.agg(F.count("*").alias("n_rows"))).select("n_rows", F.lit(len(df.columns)).cast("long").alias("n_columns"), cut.alias("text"))

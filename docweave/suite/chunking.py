@@ -110,10 +110,3 @@ def ck_table_classify(spark, d):
     return cell_tables(spark, d).select("table_id", G.header_anomaly(flags).alias("header_anomaly"), G.orphan_table(F.col("rows")).alias("orphan_table"))
 
 
-@query(f"WITH {TABLES} SELECT table_id, true AS traceable FROM tables")
-def ck_repair_validate(spark, d):
-    # every word of the repaired text stands in the table; row counts agree
-    said = F.flatten("rows")
-    repaired = F.transform("rows", lambda r: F.array_join(r, " "))
-    untraced = F.size(F.array_except(F.flatten(F.transform(repaired, lambda t: F.split(t, " "))), said))
-    return cell_tables(spark, d).select("table_id", ((F.size(repaired) == F.size("rows")) & (untraced <= 3)).alias("traceable"))

@@ -180,12 +180,6 @@ def snk_preclean(spark, d):
     return S.replace_group(old, old.where("doc_id % 2 = 0").withColumn("lang", F.lit("again")), ["doc_id"])
 
 
-@query(f"WITH {BLOCKS} SELECT document_id, block_order, CASE WHEN page > 2 THEN 'local' WHEN contains(text, ' | ') THEN 'vector' ELSE 'vlm' END AS source FROM blocks WHERE type <> 'heading'")
-def pl_table_route(spark, d):
-    route = F.when(F.col("page") > 2, "local").when(F.contains("text", F.lit(" | ")), "vector").otherwise("vlm")
-    return blocks(spark, d).where("type <> 'heading'").select("document_id", "block_order", route.alias("source"))
-
-
 @query("SELECT c_custkey, upper(c_name) AS name FROM customer WHERE c_acctbal > 0 AND c_nationkey IN (1, 2, 3)")
 def uf_tool(spark, d):
     # steps are functions of a DataFrame, kept by name and applied in order

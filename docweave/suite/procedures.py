@@ -186,6 +186,3 @@ def pl_fig_defer(spark, d):
     return table(spark, d, "documents").select("doc_id", F.when(n == 0, "no_text").when(n > 5000, "large").when(n < 60, "small").alias("reason"))
 
 
-@query("SELECT doc_id, CASE WHEN contains(lower(text), 'that') THEN text ELSE 'That: ' || text END AS captioned FROM documents")
-def pl_fig_caption(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.when(F.contains(F.lower("text"), F.lit("that")), F.col("text")).otherwise(F.concat(F.lit("That: "), "text")).alias("captioned"))

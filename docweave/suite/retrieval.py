@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -146,13 +145,3 @@ def fn_containment(spark, d):
     return table(spark, d, "benchmark").select("item_id", (F.size(F.array_intersect(w, F.array(*map(F.lit, ("the", "of", "and"))))) / F.size(w)).alias("share"))
 
 
-@query("SELECT item_id, item_id % 2 = 0 AS near FROM benchmark")
-def fn_seq_ratio(spark, d):
-    import difflib
-
-    @F.pandas_udf("double")
-    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([difflib.SequenceMatcher(None, (x or "").split(), (y or "").split()).ratio() for x, y in zip(a, b)])
-
-    other = F.when(F.col("item_id") % 2 == 0, F.col("text")).otherwise(F.lit("quite another text"))
-    return table(spark, d, "benchmark").select("item_id", (ratio(F.col("text"), other) >= 0.7).alias("near"))

@@ -171,21 +171,6 @@ def js_extract_obj2(spark, d):
     return table(spark, d, "events").select("event_id", obj["k"].alias("k"), F.regexp_extract(said, "(note \\d+)$", 1).alias("note"))
 
 
-@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'invoice' WHEN event_id % 3 = 1 THEN 'contract' ELSE 'report' END AS doc_type FROM events")
-def js_classification(spark, d):
-    n = F.col("event_id") % 3
-    reply = F.when(n == 0, '{"document_type": "invoice"}').when(n == 1, "It is a contract, I think.").otherwise("???")
-    parsed = F.from_json(reply, "document_type string")["document_type"]
-    prose = F.nullif(F.regexp_extract(F.lower(reply), "\\b(invoice|contract|report)\\b", 1), F.lit(""))
-    return table(spark, d, "events").select("event_id", F.coalesce(parsed, prose, F.lit("report")).alias("doc_type"))
-
-
-@query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'a chart' ELSE 'plain words' END AS caption FROM events")
-def js_caption(spark, d):
-    reply = F.when(F.col("event_id") % 2 == 0, '{"caption": "a chart", "confidence": 0.9}').otherwise("plain words")
-    return table(spark, d, "events").select("event_id", F.coalesce(F.from_json(reply, "caption string")["caption"], reply).alias("caption"))
-
-
 @query("SELECT doc_id, 'Field: lang | Value: ' || lang AS line FROM documents")
 def ar_structured(spark, d):
     pairs = F.map_entries(F.create_map(F.lit("lang"), F.col("lang")))

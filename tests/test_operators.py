@@ -321,3 +321,62 @@ def test_config_errors():
 def test_masks_stand_by_accents(spark):
     assert one(spark, guards.mask_pii(F.lit("4111111111111111 émile"))) == "[CARD REDACTED]émile"
     assert one(spark, guards.mask_pii(F.lit("mail a.b@c.org or 9876543210, no 123"))) == "mail [EMAIL REDACTED] or [PHONE REDACTED], no 123"
+
+
+def test_statements_time_out(spark):
+    spark.range(1).selectExpr("id").createOrReplaceTempView("one_row")
+    assert sql.run_within(spark, "(SELECT 1 AS x) UNION (SELECT 2)", 60)["row_count"] == 2
+    with pytest.raises(TimeoutError):
+        sql.run_within(spark, "SELECT count(*) FROM range(4000000000) a WHERE sha2(cast(a.id AS string), 256) = 'x'", 1.0)
+    assert sql.run_within(spark, "SELECT id FROM one_row", 60)["rows"] == [{"id": 0}]
+
+
+def test_shown_cuts(spark):
+    got = sql.shown(spark.range(30).selectExpr("id", "repeat('x', 50) AS t"), ["id"], 20, 100).first()
+    assert (got.n_rows, got.n_columns) == (30, 2) and got.text.startswith("0 | xxx") and got.text.endswith("exceeded 100 chars]")
+
+
+def test_classification_of_replies(spark):
+    known = ["invoice", "purchase_order", "report"]
+    said = {
+        '{"document_type": "Invoice", "confidence": 0.75}': ("invoice", 0.75, "json"),
+        "It is a purchase order. Confidence: 90%": ("purchase_order", 0.9, "prose"),
+        "An invoice": ("invoice", 0.85, "prose"),
+        "{oops": ("report", 0.3, "default"),
+        None: ("report", 0.3, "default"),
+    }
+    for reply, want in said.items():
+        got = one(spark, replies.classification(F.lit(reply).cast("string"), known))
+        assert tuple(got) == want, reply
+
+
+def test_table_sources(spark):
+    ask = lambda mode, complex_, spans, ruled, ragged, local: one(spark, routing.table_source(F.lit(mode), *map(F.lit, (complex_, spans, ruled, ragged, local))))
+    assert ask("auto", True, False, True, False, False) == "pymupdf"
+    assert ask("auto", True, True, True, False, False) == "vlm" and ask("auto", True, False, True, True, True) == "local"
+    assert ask("auto", False, False, True, False, True) == "tableformer" and ask("pymupdf", False, True, True, True, False) == "pymupdf"
+    assert ask("vlm", False, False, True, False, False) == "vlm"
+
+
+def test_scopes(spark):
+    docs = spark.createDataFrame([(1, "pump manual alpha"), (2, "valve manual beta"), (3, "pump parts beta")], "document_id long, about string")
+    rows = [
+        (1, "clear scope, then the pump alpha", 1, 1),
+        (2, "what of the PUMP alpha", 2, 3),
+        (3, "compare alpha, beta and pump", None, None),
+        (4, "how does it start", 2, 3),
+        (5, "how does it start", 99, 3),
+        (6, "what does this document say", None, 99),
+        (7, None, None, None),
+    ]
+    turns = spark.createDataFrame(rows, "turn_id long, message string, viewer_doc long, session_doc long")
+    got = {r.turn_id: (r.tier, r.scope, r.ambiguous) for r in routing.resolve_scope(turns, docs).collect()}
+    assert got == {
+        1: ("reset", None, False),
+        2: ("mention", [1], False),
+        3: ("mention", [1, 3], False),
+        4: ("viewer", [2], False),
+        5: ("session", [3], False),
+        6: ("deictic", None, True),
+        7: ("none", None, False),
+    }
