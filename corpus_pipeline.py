@@ -14,6 +14,11 @@ from docweave.llm._scratch import cut
 ORACLE_SQL = None
 
 
+def _counted(out: DataFrame, docs: DataFrame) -> DataFrame:
+    """``out`` with the columns of ``docs``, and n_chars of its texts."""
+    return out.select(*(F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that a rule rejects go."""
     return quality.keep_good(docs)
@@ -31,16 +36,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
 
 
-def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Contaminated documents go; others stay as they are."""
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str, *, cut_spans: bool = False) -> DataFrame:
+    """Contaminated documents go; others stay as they are. With ``cut_spans``
+    no document goes: contaminated ones lose the benchmark's passages instead
+    (a text that was nothing else becomes empty), and n_chars follows."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontaminate.keep_clean(docs, benchmark)
+    if not cut_spans:
+        return decontaminate.keep_clean(docs, benchmark)
+    return _counted(decontaminate.remove_spans(docs, benchmark), docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are masked in the text; n_chars follows it."""
-    out = secrets.redact(docs)
-    return out.select(*(F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
+    return _counted(secrets.redact(docs), docs)
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
