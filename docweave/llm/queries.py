@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, decontaminate, licenses, near_dedup, pii, quality, secrets, sharding, token_counts, token_files
+from .oracles import ORACLE_SQL as ORACLE_SQL
 
 #: for tests and examples only: a real run takes its key from its own secret store
 EXAMPLE_KEY = "example-key"
@@ -76,5 +77,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_sharding,
     )
 }
-
-ORACLE_SQL: dict[str, str] = {}

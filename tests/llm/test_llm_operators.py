@@ -114,6 +114,35 @@ def test_near_duplicates_large_group(spark):
     assert all(r.component_id == find(r.doc_id) for r in got)
 
 
+def test_near_duplicates_at_the_threshold(spark):
+    """Sets of over three sketches: pairs just above the threshold are links, just below not."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(9))
+    rows = []
+    for pair in range(120):
+        common, k = [word() for _ in range(602)], 52 if pair % 2 else 53  # 600 / 704 and 600 / 706
+        rows += [(2 * pair + side, " ".join(common + [word() for _ in range(k)])) for side in (0, 1)]
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=3, num=85).collect()}
+    assert got == {i: i - 1 if i % 4 == 3 else i for i in range(240)}
+
+
+def test_near_duplicates_empty(empty):
+    assert near_dedup.near_duplicates(empty).collect() == []
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_query_equals_sql(name, spark, sf_dir):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    got, want = queries.QUERIES[name](spark, sf_dir), con.sql(queries.ORACLE_SQL[name])
+    order = sorted(got.columns)
+    assert order == sorted(want.columns)
+    assert sorted(got.select(order).collect()) == sorted(want.project(", ".join(order)).fetchall())
+
+
 BYTE = public_tokenizers.path("byte_bpe_50k.json")
 ODD = ["a <|endoftext|> b", "x  <|endoftext|>", "日本 'S it's\r\n  ok ", " x \t y", "\n\n a\n", "é é  z", "don't  WON'T", "\x85 \xa0x", "a" * 5000]
 

@@ -1,6 +1,9 @@
 """The pipeline's stages one after the other, against what each must do."""
 
+import random
+
 import corpus_pipeline
+import pytest
 from docweave.llm import queries
 
 
@@ -20,3 +23,65 @@ def test_stages(spark, sf_dir):
 
 def test_registered():
     assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 11)]
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, v long, rep long, comp string, row string"
+
+
+def prose(rng, n):
+    return " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 9))) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def odd(spark, tmp_path_factory):
+    """Documents with nulls, repeated ids and rows, copies, an empty and a very
+    long text, and columns whose names the operators use themselves."""
+    rng = random.Random(3)
+    item, base = prose(rng, 40), prose(rng, 200)
+    texts = [(1, base), (2, base + " end"), (3, item + " " + prose(rng, 10)), (4, prose(rng, 900) + " " + item), (5, prose(rng, 60) + " token=Zp3kQ9vT1xWm7LrB"), (None, None), (6, None), (7, ""), (None, prose(rng, 50)), (8, prose(rng, 30000)), (9, prose(rng, 70)), (9, prose(rng, 70)), (10, "short")]
+    rows = [(i, t, "en", "s", len(t) if t else None, 1, 2, "c", "r") for i, t in [*texts, texts[4], texts[0]]]
+    folder = str(tmp_path_factory.mktemp("odd"))
+    spark.createDataFrame([(1, item), (None, base), (2, None)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    docs = spark.createDataFrame(rows, SCHEMA)
+    docs.write.parquet(f"{folder}/documents.parquet")
+    return folder, spark.read.parquet(f"{folder}/documents.parquet"), {"item": item, "base": base}
+
+
+def test_stages_on_odd_rows(spark, odd):
+    """Each stage on the same odd rows, with its own columns and rows kept."""
+    folder, docs, _ = odd
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, folder)
+        assert got.columns == docs.columns, name
+        kept = [r.doc_id for r in got.collect()]
+        if name == "quality rules":  # too short, empty or null ones go
+            assert sorted(i for i in kept if i) == [1, 1, 2, 3, 4, 5, 5, 8, 9, 9] and kept.count(None) == 1
+        elif name == "near-duplicates":  # copies, near copies and rows of one id
+            assert sorted(i for i in kept if i) == [1, 3, 4, 5, 6, 7, 8, 9, 10] and kept.count(None) == 2
+        elif name == "decontamination":
+            assert 3 not in kept and len(kept) == docs.count() - 1
+        else:
+            texts = {r.doc_id: r for r in got.collect()}
+            assert len(kept) == docs.count() and texts[5].text.endswith("[SECRET]") and texts[5].n_chars == len(texts[5].text) and texts[6].n_chars is None
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, folder)
+    assert last.count() == docs.count()
+
+
+def test_cut_spans(spark, odd):
+    folder, docs, held = odd
+    got = corpus_pipeline.decontamination(spark, docs, folder, cut_spans=True)
+    texts = {r.doc_id: r for r in got.collect()}
+    assert got.columns == docs.columns and got.count() == docs.count()
+    assert held["item"] not in texts[3].text and texts[3].n_chars == len(texts[3].text) and held["item"] in texts[4].text
+
+
+def test_stages_on_no_rows(spark, odd):
+    folder, docs, _ = odd
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.where("false"), folder).collect() == []
+
+
+def test_run_on_odd_rows(spark, odd):
+    folder, docs, _ = odd
+    got = corpus_pipeline.run(spark, folder).collect()
+    assert sorted(r.doc_id or 0 for r in got) == [0, 1, 4, 5, 8, 9]
