@@ -193,3 +193,26 @@ def planned(reply, question, most: int = 4):  # noqa: ANN001, ANN201
     subs = F.transform(F.filter(json_array(reply), lambda x: x.startswith('"')), lambda x: F.from_json(F.concat(F.lit('{"q":'), x, F.lit("}")), "q string")["q"])
     some = F.slice(F.coalesce(subs, F.array().cast("array<string>")), 1, most - 1)
     return with_verbatim(some, question)
+
+
+# Characters of a tool's output that a conversation keeps
+KEPT_CHARS = {"list_documents": 15000, "get_page_context": 25000}
+
+
+def compacted(tool, content, default: int = 2000):  # noqa: ANN001, ANN201
+    """A tool's output for a conversation: an answer (always of a search, of others
+    when they are long) with a line for each citation, else a cut text."""
+    limit = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in KEPT_CHARS.items() for x in kv)), tool), F.lit(default))
+    found = F.from_json(content, "answer string, citations array<struct<filename:string,page:long,document_id:string>>")
+    place = lambda c: F.coalesce(F.concat(F.lit(" (page "), c["page"].cast("string"), F.lit(")")), F.lit(""))
+    owner = lambda c: F.coalesce(F.concat(F.lit(" [id: "), c["document_id"], F.lit("]")), F.lit(""))
+    cited = F.transform(found["citations"], lambda c, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] = "), F.coalesce(c["filename"], F.lit("unknown")), place(c), owner(c)))
+    said = F.concat_ws("\n", found["answer"], F.array_join(F.when(F.size(cited) > 0, cited), "\n"))
+    short = (F.length(content) <= limit) & (tool != "search_documents")
+    return F.when(short, content).when(found["answer"].isNotNull(), said).otherwise(F.substring(content, F.lit(1), limit))
+
+
+def aligned(inputs, results):  # noqa: ANN001, ANN201
+    """(input, result) by position; inputs that a short reply didn't reach have
+    no result, and results beyond the inputs are left out."""
+    return F.transform(inputs, lambda x, i: F.struct(x.alias("input"), F.get(results, i).alias("result")))

@@ -279,6 +279,18 @@ def parse_markdown(text: Column) -> Column:
     return F.filter(cut, lambda r: ~F.forall(r, lambda c: c.rlike("^[-: ]+$")))
 
 
+def grid_of(grid: Column, headers: Column, rows: Column, text: Column) -> Column:
+    """Cells of a table, cleaned: of its grid, else of headers and rows, else of
+    the rows alone, else of the pipe rows of its text; an empty array if none has any."""
+    some = lambda a: F.when(F.size(a) > 0, a)
+    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: x.startswith("|") & x.endswith("|") & ~x.rlike("^\\|[\\s:|-]+\\|$"))
+    cut = F.transform(lines, lambda x: F.split(F.substring(x, F.lit(2), F.length(x) - 2), "\\|"))
+    with_head = F.when(F.size(headers) > 0, F.concat(F.array(headers), some(rows)))
+    raw = F.coalesce(some(grid), with_head, some(rows), some(cut), F.array().cast("array<array<string>>"))
+    clean = F.transform(raw, lambda r: F.transform(r, lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), "\\s+", " "))))
+    return F.filter(clean, lambda r: F.exists(r, lambda c: c != ""))
+
+
 # ---------------------------------------------------------------- questions and answers
 
 

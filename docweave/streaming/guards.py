@@ -72,10 +72,11 @@ def write_batches(stream: DataFrame, sink: Callable[[DataFrame, int], None], che
 
 
 def two_sinks(all_path: str, security_path: str, kinds: tuple[str, ...]) -> Callable[[DataFrame, int], None]:
-    """All events to one folder, the security ones also to another."""
+    """All events to one folder, the security ones also to another. Each batch has
+    a part of its own that a repeated attempt replaces, so none is written twice."""
 
-    def sink(batch: DataFrame, _: int) -> None:
-        batch.write.mode("append").parquet(all_path)
-        batch.where(F.col("event_type").isin(*kinds)).write.mode("append").parquet(security_path)
+    def sink(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{all_path}/batch={n}")
+        batch.where(F.col("event_type").isin(*kinds)).write.mode("overwrite").parquet(f"{security_path}/batch={n}")
 
     return sink

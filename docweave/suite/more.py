@@ -110,16 +110,6 @@ def js_any_array(spark, d):
     return table(spark, d, "orders").join(ids, "o_orderkey", "left_semi").select("o_orderkey")
 
 
-@query("SELECT doc_id, CAST(CASE doc_id % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 3 END AS BIGINT) AS n_rows FROM documents")
-def ar_grid(spark, d):
-    n = F.col("doc_id") % 3
-    row = F.array(F.lit("a"), F.lit("b"))
-    grid = F.when(n == 0, F.array(row, row))
-    from_rows = F.when(n == 1, F.array(row))
-    from_text = X.parse_markdown(F.lit("| h | i |\n| --- | --- |\n| a | b |\n| c | d |"))
-    return table(spark, d, "documents").select("doc_id", F.size(F.coalesce(grid, from_rows, from_text)).cast("long").alias("n_rows"))
-
-
 @query(f"WITH {BLOCKS} SELECT document_id, page, string_agg(CASE WHEN type = 'table' THEN 'Columns: ' || text ELSE text END, chr(10) || chr(10) ORDER BY block_order) AS page_text FROM blocks GROUP BY document_id, page")
 def rt_page_text(spark, d):
     said = F.when(F.col("type") == "table", F.concat(F.lit("Columns: "), "text")).otherwise(F.col("text"))

@@ -195,3 +195,58 @@ def ag_tools(spark, d):
     calls = [("list_documents", {"lang": "fr"}), ("find_orders", {"customer": 7})]
     made = (_TOOLS[name][2](spark, d, **args).select(F.lit(name).alias("tool"), "id") for name, args in calls)
     return reduce(lambda a, b: a.unionByName(b), made)
+
+
+@query(
+    f"""WITH {_WORDS}, k AS (SELECT doc_id, doc_id % 5 AS k, w FROM w WHERE len(w) >= 4)
+    SELECT doc_id, CASE k WHEN 0 THEN w[1] || ',' || w[2] || ';' || w[3] || ',' || w[4] WHEN 1 THEN 'h,i;' || w[1] || ',' || w[2] WHEN 2 THEN w[3] || ',' || w[4] WHEN 3 THEN w[1] || ',' || w[2] || ';' || w[3] || ',' || w[4] ELSE '' END AS grid FROM k"""
+)
+def ar_grid(spark, d):
+    w = lambda i: F.element_at("w", i)
+    k = F.col("doc_id") % 5
+    two = F.array(F.array(F.concat(F.lit(" "), w(1)), w(2)), F.array(w(3), F.concat(w(4), F.lit("\n"))))
+    grid = F.when(k == 0, two)
+    headers = F.when(k <= 1, F.array(F.lit("h"), F.lit("i")))
+    rows = F.when(k <= 1, F.array(F.array(w(1), w(2)))).when(k == 2, F.array(F.array(w(3), w(4))))
+    text = F.when(k == 4, "no table | here").otherwise(F.concat(F.lit("| "), w(1), F.lit(" | "), w(2), F.lit(" |\n|---|---|\nwords\n| "), w(3), F.lit(" | "), w(4), F.lit(" |")))
+    cells = X.grid_of(grid, headers, rows, text)
+    told = _words(spark, d).where("size(w) >= 4")
+    return told.select("doc_id", F.array_join(F.transform(cells, lambda r: F.array_join(r, ",")), ";").alias("grid"))
+
+
+@query(
+    """WITH k AS (SELECT doc_id, ['search_documents', 'list_documents', 'get_page_context', 'read_sheet'][doc_id % 4 + 1] AS tool, text FROM documents)
+    SELECT doc_id, md5(CASE tool WHEN 'search_documents' THEN text || chr(10) || '[1] = a.pdf (page ' || doc_id || ') [id: d' || doc_id || ']' || chr(10) || '[2] = unknown' WHEN 'list_documents' THEN left(text, 15000) WHEN 'get_page_context' THEN left(text, 25000) ELSE left(text, 2000) END) AS kept_md5 FROM k"""
+)
+def js_compact(spark, d):
+    i = F.col("doc_id")
+    tool = F.get(F.array(*map(F.lit, ("search_documents", "list_documents", "get_page_context", "read_sheet"))), (i % 4).cast("int"))
+    cited = F.array(
+        F.struct(F.lit("a.pdf").alias("filename"), i.alias("page"), F.concat(F.lit("d"), i.cast("string")).alias("document_id")),
+        F.struct(F.lit(None).cast("string").alias("filename"), F.lit(None).cast("long").alias("page"), F.lit(None).cast("string").alias("document_id")),
+    )
+    content = F.when(i % 4 == 0, F.to_json(F.struct(F.col("text").alias("answer"), cited.alias("citations"), F.repeat(F.lit("x"), 3000).alias("debug")))).otherwise(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", F.md5(R.compacted(tool, content).cast("binary")).alias("kept_md5"))
+
+
+@query("SELECT doc_id, CASE WHEN row_number() OVER (PARTITION BY doc_id // 10 ORDER BY doc_id) <= 10 - doc_id // 10 % 4 THEN upper(source) END AS result FROM documents")
+def js_align(spark, d):
+    # batches of ten; the reply of some batches is up to three results short, or longer than the batch
+    g = table(spark, d, "documents").groupBy(F.floor(F.col("doc_id") / 10).alias("batch")).agg(F.array_sort(F.collect_list(F.struct("doc_id", "source"))).alias("b"))
+    results = F.slice(F.concat(F.transform("b", lambda x: F.upper(x["source"])), F.array_repeat(F.lit("beyond"), 3)), F.lit(1), (10 - F.col("batch") % 4).cast("int"))
+    return g.select(F.explode(R.aligned(F.transform("b", lambda x: x["doc_id"]), results)).alias("p")).select(F.col("p.input").alias("doc_id"), F.when(F.col("p.result") != "beyond", F.col("p.result")).alias("result"))
+
+
+@query("SELECT * FROM (VALUES ('db.url', 'pg://host/x'), ('db.user', '${UNSET_NAME}'), ('limit', '20')) t(setting, value)")
+def src_config(spark, d):
+    from ..sources.readers import load_config
+
+    held = load_config('{"db": {"url": "pg://${DB_HOST}/x", "user": "${UNSET_NAME}"}, "limit": 20}', {"DB_HOST": "host"})
+    flat = [(f"{k}.{n}", v[n]) for k, v in held.items() if isinstance(v, dict) for n in v] + [(k, str(v)) for k, v in held.items() if not isinstance(v, dict)]
+    return spark.createDataFrame(flat, "setting string, value string")
+
+
+@query("SELECT * FROM (VALUES ('list_documents', 'Documents of a language', 'lang:string'), ('find_orders', 'Orders of a customer', 'customer:long')) t(tool, description, arguments)")
+def uf_agent_tool(spark, d):
+    told = [(name, about, ",".join(f"{k}:{v}" for k, v in args.items())) for name, (about, args, _) in _TOOLS.items()]
+    return spark.createDataFrame(told, "tool string, description string, arguments string")

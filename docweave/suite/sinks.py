@@ -183,7 +183,3 @@ def ar_text_plus_table(spark, d):
     return table(spark, d, "documents").select("doc_id", F.when(F.contains(t, F.lit("rows")), t).otherwise(F.concat(t, F.lit("\nrows"))).alias("text"))
 
 
-@query("SELECT doc_id, left(text, 2000) AS text FROM documents")
-def js_compact(spark, d):
-    heavy = F.struct("doc_id", "text", F.repeat(F.lit("x"), 50).alias("vector"))
-    return table(spark, d, "documents").select(heavy.dropFields("vector").alias("s")).select("s.doc_id", F.left("s.text", F.lit(2000)).alias("text"))

@@ -323,6 +323,14 @@ def test_masks_stand_by_accents(spark):
     assert one(spark, guards.mask_pii(F.lit("mail a.b@c.org or 9876543210, no 123"))) == "mail [EMAIL REDACTED] or [PHONE REDACTED], no 123"
 
 
+def test_two_sinks_repeat_a_batch(spark, tmp_path):
+    sink = streams.two_sinks(f"{tmp_path}/all", f"{tmp_path}/sec", ("error",))
+    batch = spark.createDataFrame([(1, "error"), (2, "view")], "event_id long, event_type string")
+    for n in (0, 0, 1):
+        sink(batch, n)
+    assert spark.read.parquet(f"{tmp_path}/all").count() == 4 and spark.read.parquet(f"{tmp_path}/sec").count() == 2
+
+
 def test_statements_time_out(spark):
     spark.range(1).selectExpr("id").createOrReplaceTempView("one_row")
     assert sql.run_within(spark, "(SELECT 1 AS x) UNION (SELECT 2)", 60)["row_count"] == 2
