@@ -8,7 +8,10 @@ digests of known licences, normalised the same way. So a match is a whole
 licence (or notice), never a likeness.
 
 Null and empty texts match nothing. A document with the same licence more than
-once has one row for it and each kind of unit.
+once has one row for it and each kind of unit; rows of one id count as one
+document, those without an id as one too. Other columns, whatever their names,
+are not read. Very long texts are cut into units like others and read whole; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -205,18 +208,21 @@ def known_licenses(spark: SparkSession, texts: dict[str, list[str]] | None = Non
     return form.select("license", F.sha2(F.col("form").cast("binary"), 256).alias("digest"), longest.alias("anchor")).distinct()
 
 
-#: anchors up to which texts without any of them are left out before all else
+#: anchors up to which each is looked for by itself; more are looked up word by word
 ANCHORS = 64
 
 
-def _may_match(text: Column, lookup: DataFrame) -> Column:
-    """Whether a text has an anchor of some known one; true where one has none."""
+def _may_match(text: Column, lookup: DataFrame, at_most: int) -> Column:
+    """Whether a text has an anchor of some known one; true where one has none,
+    and where there are more than ``at_most``, too many to hold in a plan."""
     if "anchor" not in lookup.columns:
         return F.lit(True)
-    anchors = [r["anchor"] for r in lookup.select("anchor").distinct().limit(ANCHORS + 1).collect()]
-    if len(anchors) > ANCHORS or None in anchors:
+    anchors = [r["anchor"] for r in lookup.select("anchor").distinct().limit(at_most + 1).collect()]
+    if len(anchors) > at_most or None in anchors:
         return F.lit(True)
     low = F.lower(text)
+    if len(anchors) > ANCHORS:
+        return F.exists(F.split(low, "[^\\p{L}\\p{N}]+"), lambda w: w.isin(anchors))
     return reduce(lambda x, y: x | y, (F.contains(low, F.lit(a)) for a in anchors), F.lit(False))
 
 
@@ -242,8 +248,8 @@ def scan(docs: DataFrame, *, known: DataFrame | None = None, id_col: str = "doc_
         ),
     )
     parts = docs.select(F.col(id_col).alias("doc_id"), text_col if text_col == "text" else F.col(text_col).alias("text"))
-    likely = _may_match(text, lookup)
-    parts = parts.where(text.isNotNull() & likely).select("doc_id", F.explode(units).alias("u")).where(_may_match(F.col("u.part"), lookup))
+    likely = _may_match(text, lookup, BROADCAST_ROWS)
+    parts = parts.where(text.isNotNull() & likely).select("doc_id", F.explode(units).alias("u")).where(_may_match(F.col("u.part"), lookup, BROADCAST_ROWS))
     digests = parts.select("doc_id", "u.unit", F.sha2(canonical(F.col("u.part")).cast("binary"), 256).alias("digest"))
     by_digest = lookup.select("digest", "license")
     found = digests.join(F.broadcast(by_digest) if bounded else by_digest, "digest")

@@ -21,7 +21,9 @@
 
 Nulls: a null text is an empty text; an empty set links with nothing. Rows
 with one id count as one document. A row with a null id may belong to a group
-but never names it, and isn't kept.
+but never names it, and isn't kept. Repeated rows are copies of each other; ties
+go to the smallest id. Other columns are not read; very long texts are read whole,
+and an empty table gives no rows.
 """
 
 from __future__ import annotations

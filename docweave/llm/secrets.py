@@ -14,7 +14,10 @@ logistic map of its score) and give the threshold: the highest that still finds
 ``min_recall`` of the true ones of either kind. Training is
 deterministic; its size is a parameter and doesn't depend on the table.
 
-Null texts count as empty. Offsets are in code points.
+Null texts count as empty. Offsets are in code points. One row comes out for
+every row: null and repeated ids and repeated rows stay as they are, other columns
+are not read by ``find_secrets`` and pass through ``redact``. Very long texts and
+runs are read whole; spans that start alike are told in the order of their kinds.
 """
 
 from __future__ import annotations

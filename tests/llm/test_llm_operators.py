@@ -259,6 +259,21 @@ def test_licenses_published(spark):
     assert kept == 0
 
 
+def test_licenses_odd_rows(spark, docs, empty):
+    """Null ids, repeated rows, long texts and clashing columns; a catalogue of
+    more anchors than are looked for one by one finds the same."""
+    isc = licenses.KNOWN["ISC"][0]
+    long = "word " * 20000 + "\nReleased under the MIT Licence!\n" + "word " * 20000
+    rows = [(i, t, 7, "d", "r", "m", 1, 2, "u", "s") for i, t in ((None, isc), (None, isc), (1, long), (2, isc), (2, isc), (3, "no licence"))]
+    texts = docs.union(spark.createDataFrame(rows, SCHEMA))
+    got = {(r.doc_id, r.license, r.unit, r.n_units) for r in licenses.scan(texts).collect()}
+    assert got == {(None, "ISC", "text", 2), (1, "MIT notice", "line", 1), (2, "ISC", "text", 2)}
+    many = {f"L{i}": [f"this text of {chr(97 + i % 26) * 5}{chr(97 + i // 26) * 9} is a licence"] for i in range(150)} | {"ISC": licenses.KNOWN["ISC"]}
+    wide = licenses.scan(texts, known=licenses.known_licenses(spark, many)).collect()
+    assert {(r.doc_id, r.license, r.unit, r.n_units) for r in wide} == {g for g in got if g[1] == "ISC"}
+    assert licenses.scan(empty).collect() == []
+
+
 def base_metrics(text):
     text = text or ""
     w = WORD.findall(text)
