@@ -29,12 +29,19 @@ def context_peak(calls: DataFrame) -> DataFrame:
 
 
 def keyword_frequency(docs: DataFrame, id_col: str, text_col: str, stop: tuple[str, ...], top: int = 8, pattern: str = "[a-z]{4,}") -> DataFrame:
-    """The ``top`` words of each text by count, ties by first place."""
+    """The ``top`` words of each text by count, ties by first place. A text's words
+    are counted within its row, as runs of its sorted words: nothing is shuffled."""
+    once = lambda v, f: F.element_at(F.transform(F.array(v), f), 1)
     found = F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(pattern), F.lit(0))
-    one = docs.select(id_col, F.posexplode(found).alias("place", "word")).where(~F.col("word").isin(*stop))
-    counted = one.groupBy(id_col, "word").agg(F.count("*").alias("n"), F.min("place").cast("long").alias("first"))
-    rank = F.row_number().over(Window.partitionBy(id_col).orderBy(F.desc("n"), "first"))
-    return counted.withColumn("rank", rank.cast("long")).where(F.col("rank") <= top)
+    placed = F.filter(F.transform(found, lambda w, i: F.struct(w.alias("word"), i.alias("place"))), lambda x: ~x["word"].isin(*stop))
+
+    def runs(s: Column) -> Column:
+        heads = F.filter(F.transform(s, lambda x, j: F.struct(x["word"].alias("word"), x["place"].alias("place"), j.alias("j"))), lambda x: F.coalesce(F.get(s, x["j"] - 1)["word"] != x["word"], F.lit(True)))
+        counted = lambda h: F.transform(h, lambda x, k: F.struct((x["j"] - F.coalesce(F.get(h, k + 1)["j"], F.size(s))).alias("m"), x["place"].alias("first"), x["word"].alias("word")))
+        return F.slice(F.array_sort(once(heads, counted)), 1, top)
+
+    best = docs.select(id_col, F.posexplode(once(F.array_sort(placed), runs)).alias("r", "x"))
+    return best.select(id_col, "x.word", (-F.col("x.m")).cast("long").alias("n"), F.col("x.first").cast("long").alias("first"), (F.col("r") + 1).cast("long").alias("rank"))
 
 
 def column_types(tables: DataFrame) -> DataFrame:

@@ -88,11 +88,6 @@ def fn_entity(spark, d):
     return table(spark, d, "documents").select("doc_id", F.coalesce(*known).alias("entity"))
 
 
-@query("SELECT conv_id, turn, len(string_split(trim(text), ' ')) <= 2 AS ambiguous FROM conversations WHERE text <> ''")
-def fn_broad(spark, d):
-    return table(spark, d, "conversations").where("text <> ''").select("conv_id", "turn", (F.size(F.split(F.trim("text"), " ")) <= 2).alias("ambiguous"))
-
-
 @query(
     """WITH t AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN regexp_replace(text, '\\n', chr(10) || '  Step 3 ') WHEN 1 THEN '(2) ' || text WHEN 2 THEN 'as in step 3 of ' || text ELSE text END AS t FROM documents)
     SELECT doc_id, regexp_matches(t, '(?is)(^|\\n)\\s*(step\\s+\\d+|\\(?\\d+[.)])\\s+\\S') AS steps FROM t"""

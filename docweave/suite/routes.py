@@ -287,3 +287,45 @@ def pl_vision_prompt(spark, d):
     kind = F.when(F.col("document_id") % 2 == 0, "manual").otherwise("report")
     prompt = F.concat(F.lit("Describe the figure of this "), kind, F.lit(". The page says: "), F.left("said", F.lit(1200)))
     return said.select("document_id", "page", F.md5(prompt.cast("binary")).alias("prompt_md5"))
+
+
+# ---------------------------------------------------------------- sessions
+
+_ENTITIES = {"Reranker": ["rerank", "reranker"], "Chunker": ["chunker", "chunking"]}
+_ASKED = """q AS (SELECT conv_id AS session, turn, TIMESTAMP '2024-01-01' + to_seconds(turn * (conv_id % 9) * 120) AS ts, CASE (turn * 3 + conv_id) % 8 WHEN 0 THEN 'tell of the reranker ' || left(text, 9) WHEN 1 THEN 'its speed' WHEN 2 THEN 'Model Name' WHEN 3 THEN 'list its parts' WHEN 4 THEN 'and then' WHEN 5 THEN 'compare it' WHEN 6 THEN 'Chunking now' ELSE left(text, 40) END AS text FROM conversations),
+n AS (SELECT *, lower(text) AS low, CASE WHEN regexp_matches(lower(text), '\\b(rerank|reranker)\\b') THEN 'Reranker' WHEN regexp_matches(lower(text), '\\b(chunker|chunking)\\b') THEN 'Chunker' END AS entity FROM q),
+c AS (SELECT *, last_value(CASE WHEN entity IS NOT NULL THEN {'e': entity, 'turn': turn, 'ts': ts} END IGNORE NULLS) OVER (PARTITION BY session ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS held FROM n),
+v AS (SELECT *, coalesce(turn - held.turn <= 3 AND epoch_us(ts) - epoch_us(held.ts) <= 900000000, false) AS valid, regexp_matches(low, '\\bcompare\\b|\\blist\\b|\\bshow all\\b|\\bwhat models\\b|\\ball models\\b|\\bsummarize\\b') AS broad,
+  regexp_matches(trim(low), '^\\s*model\\s*name\\s*$|^\\s*model\\s*$|^\\s*its\\s+model\\b|^\\s*what\\s+is\\s+its?\\b|^\\s*its\\s+version\\b|^\\s*its\\s+speed\\b') OR (len(list_filter(regexp_split_to_array(trim(low), '\\s+'), lambda x: x <> '')) <= 2 AND entity IS NULL) AS follow_up FROM c)"""
+
+
+def _asked(spark, d):
+    n, t = (F.col("turn") * 3 + F.col("conv_id")) % 8, F.col("text")
+    said = (
+        F.when(n == 0, F.concat(F.lit("tell of the reranker "), F.left(t, F.lit(9))))
+        .when(n == 1, "its speed")
+        .when(n == 2, "Model Name")
+        .when(n == 3, "list its parts")
+        .when(n == 4, "and then")
+        .when(n == 5, "compare it")
+        .when(n == 6, "Chunking now")
+        .otherwise(F.left(t, F.lit(40)))
+    )
+    ts = F.timestamp_micros(F.lit(1704067200000000) + F.col("turn") * (F.col("conv_id") % 9) * 120000000)
+    return table(spark, d, "conversations").select(F.col("conv_id").alias("session"), "turn", ts.alias("ts"), said.alias("text"))
+
+
+@query(f"WITH {_ASKED} SELECT session, turn, broad, follow_up FROM v")
+def fn_broad(spark, d):
+    t = F.col("text")
+    return _asked(spark, d).select("session", "turn", O.is_broad_question(t).alias("broad"), O.is_follow_up(t, _ENTITIES).alias("follow_up"))
+
+
+@query(f"WITH {_ASKED} SELECT session, turn, entity, entity IS NULL AND NOT broad AND follow_up AND valid AS rewritten, CASE WHEN entity IS NULL AND NOT broad AND follow_up AND valid THEN held.e || ' ' || text ELSE text END AS asked FROM v")
+def rt_context(spark, d):
+    return O.carry_entities(_asked(spark, d), _ENTITIES).select("session", "turn", "entity", "rewritten", "asked")
+
+
+@query(f"WITH {_ASKED} SELECT session, turn, valid FROM v")
+def st_context_ttl(spark, d):
+    return O.carry_entities(_asked(spark, d), _ENTITIES).select("session", "turn", "valid")

@@ -43,12 +43,3 @@ def st_dedup(spark, d):
 def st_cancel(spark, d):
     gone = table(spark, d, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("user_id"))
     return table(spark, d, "events").join(gone, "user_id", "left_anti").select("user_id", "event_id")
-
-
-@query("SELECT conv_id, turn, CASE WHEN turn - last_value(CASE WHEN role = 'system' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) <= 3 THEN true ELSE false END AS context_valid FROM conversations")
-def st_context_ttl(spark, d):
-    from pyspark.sql import Window
-
-    past = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    set_at = F.last(F.when(F.col("role") == "system", F.col("turn")), ignorenulls=True).over(past)
-    return table(spark, d, "conversations").select("conv_id", "turn", F.coalesce(F.col("turn") - set_at <= 3, F.lit(False)).alias("context_valid"))

@@ -388,3 +388,11 @@ def test_scopes(spark):
         6: ("deictic", None, True),
         7: ("none", None, False),
     }
+
+
+def test_entities_carry_for_three_turns_or_fifteen_minutes(spark):
+    rows = [(1, 0, 0, "tell me of the pump"), (1, 1, 60, "its speed"), (1, 2, 90, "list its parts"), (1, 3, 961, "its model"), (1, 4, 962, "its version"), (2, 0, 0, "its speed"), (3, 0, 0, "the pump"), (3, 3, 900, "and it"), (3, 4, 901, "the valve"), (3, 5, 902, None)]
+    turns = spark.createDataFrame(rows, "session long, turn long, s long, text string").withColumn("ts", F.timestamp_seconds("s"))
+    got = {(r.session, r.turn): (r.asked, r.rewritten) for r in routing.carry_entities(turns, {"Pump": ["pump"], "Valve": ["valve"]}).collect()}
+    assert got[1, 1] == ("Pump its speed", True) and got[1, 2] == ("list its parts", False) and got[1, 3] == ("its model", False) == (got[1, 4][0].replace("version", "model"), got[1, 4][1])
+    assert got[2, 0] == ("its speed", False) and got[3, 3] == ("Pump and it", True) and got[3, 5] == (None, True)
