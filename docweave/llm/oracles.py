@@ -41,4 +41,24 @@ t AS (SELECT doc_id, list_sort(list(DISTINCT item)) AS items FROM h GROUP BY doc
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, CAST(coalesce(len(items), 0) AS BIGINT) AS n_items, sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)"""
 
-ORACLE_SQL = {"op1_near_dedup": OP1, "op4_quality_rules": OP4, "op9_decontamination": OP9}
+# all phrases of up to three words with their counts; every cut of a candidate looked up
+OP12 = f"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\\x0A-\\x0D]')) AS p FROM documents),
+w AS (SELECT lang, regexp_extract_all(p, '[^\\x20\\x09]+') AS w FROM p),
+g AS (SELECT lang, k, unnest(CASE WHEN len(w) >= k THEN list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' ')) ELSE [] END) AS phrase FROM w, (VALUES (1), (2), (3)) t(k)),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL),
+t AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS s FROM f WHERE k > 1 AND f >= 10),
+x AS (SELECT c.*, cut, array_to_string(s[1:cut], ' ') AS lp, array_to_string(s[cut + 1:k], ' ') AS rp FROM c, (VALUES (1), (2)) v(cut) WHERE cut < k),
+y AS (SELECT x.*, fl.f AS l, fr.f AS r, CAST((CAST(1000000 AS HUGEINT) * a * a) // (CAST(fl.f AS HUGEINT) * fr.f) AS BIGINT) AS score FROM x JOIN f fl ON fl.lang = x.lang AND fl.phrase = x.lp JOIN f fr ON fr.lang = x.lang AND fr.phrase = x.rp),
+z AS (SELECT * FROM y QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+i AS (SELECT lang, phrase, max(a) AS longer FROM (SELECT lang, a, unnest([array_to_string(s[1:2], ' '), array_to_string(s[2:3], ' ')]) AS phrase FROM c WHERE k = 3) GROUP BY ALL),
+o AS (SELECT z.lang, row_number() OVER (PARTITION BY z.lang ORDER BY score DESC, a DESC, z.phrase) AS rank, z.phrase, a, l, r, score FROM z LEFT JOIN i ON i.lang = z.lang AND i.phrase = z.phrase WHERE longer IS NULL OR 100 * longer < 50 * a)
+SELECT o.lang, rank, phrase, a, l, r, n, score FROM o JOIN t USING (lang) WHERE rank <= 2000"""
+
+# every query against every row, told apart by place
+OP13 = """WITH v AS (SELECT row_number() OVER () AS place, vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.place, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.place <> c.place WHERE q.vec_id % 20 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY place ORDER BY score DESC, vec_id NULLS LAST) AS INTEGER) AS rank, vec_id, score FROM s QUALIFY rank <= 20"""
+
+ORACLE_SQL = {"op1_near_dedup": OP1, "op4_quality_rules": OP4, "op9_decontamination": OP9, "op12_collocations": OP12, "op13_top_k": OP13}
