@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, collocations, decontaminate, inner_products, licenses, near_dedup, pii, quality, secrets, sharding, token_counts, token_files
+from . import bpe, collocations, conversation_repair, decontaminate, inner_products, licenses, near_dedup, pii, quality, secrets, sharding, token_counts, token_files
 from .oracles import ORACLE_SQL as ORACLE_SQL
 
 #: for tests and examples only: a real run takes its key from its own secret store
@@ -62,6 +62,11 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "n_tokens")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = _table(spark, sf_dir, "conversations")
+    return conversation_repair.repair(conversation_repair.damage(conversations), conversations)
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(_table(spark, sf_dir, "documents"))
 
@@ -83,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_pii,
         op9_decontamination,
         op10_sharding,
+        op11_conversation_repair,
         op12_collocations,
         op13_top_k,
     )
