@@ -21,8 +21,8 @@ under a reserved host.
 - an address's four octets are one number below 2**32, permuted in halves of
   16 bits.
 
-Null texts stay null and empty ones empty. Each kind is replaced in text that the
-kinds before left. One row comes out for every row: null and repeated ids and
+Null texts stay null and empty ones empty. Values are found in the text as it came:
+none is found twice, and no pseudonym is taken for a value. One row comes out for every row: null and repeated ids and
 repeated rows stay as they are (equal texts get equal pseudonyms); other columns
 are not read. Very long texts are read whole; an empty table gives an empty one.
 """
@@ -30,6 +30,7 @@ are not read. Very long texts are read whole; an empty table gives an empty one.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -67,24 +68,28 @@ _PHONES = (
     f"{_CODE}[0-9]{{2,3}}(?:{_S}[0-9]{{2}}){{3,4}}",
     f"{_CODE}[0-9]{{4}}{_S}[0-9]{{4}}",
 )
+#: stands for a found value of each kind while others are looked for; those that a
+#: text has itself are set aside first, under the last one
+_MARKS = [chr(0xFDD0 + i) for i in range(7)]
+_M = f"{_MARKS[0]}-{_MARKS[-1]}"
 _NATIONAL = (
     "(?:1[ .-])?(?:\\([0-9]{3}\\)[ ]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}",
     # with the zero of a long-distance call; not the groups of a longer number
-    f"(?<![0-9][ -])\\(?0(?:[0-9](?:{_S}[0-9]{{2}}){{4}}|[0-9]{{2,4}}\\)?[ /-][0-9]{{6,8}}|[0-9]{{1,4}}\\)?{_S}[0-9]{{3,4}}{_S}[0-9]{{3,4}})(?![ -][0-9]{{4}}(?![0-9]))",
+    f"(?<![0-9{_M}][ -])\\(?0(?:[0-9](?:{_S}[0-9]{{2}}){{4}}|[0-9]{{2,4}}\\)?[ /-][0-9]{{6,8}}|[0-9]{{1,4}}\\)?{_S}[0-9]{{3,4}}{_S}[0-9]{{3,4}})(?![ -][0-9]{{4}}(?![0-9]))",
 )
 
 #: patterns in Java's syntax; a value stands free of letters, digits and dots beside it
 PATTERNS = {
     "email": "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)*\\.[A-Za-z]{2,}",
-    "card": f"(?<![0-9A-Za-z])(?:{_FOURS}(?![0-9A-Za-z]|\\1[0-9]{{3}}(?![0-9A-Za-z]))|[0-9]{{4}}([ -])[0-9]{{4}}\\2[0-9]{{4}}\\2[0-9]{{4}}\\2[0-9]{{3}}|[0-9]{{4}}([ -])[0-9]{{6}}\\3[0-9]{{4,5}}|(?<!\\+)[0-9]{{13,19}})(?![0-9A-Za-z])",
-    "ssn": "(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
-    "phone": f"(?:(?:{'|'.join(_PHONES)})(?![0-9])|(?<![0-9A-Za-z+]|[0-9][.-])(?:{'|'.join(_NATIONAL)})(?![0-9A-Za-z]|[.-][0-9]))",
-    "ip": "(?<![0-9A-Za-z.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?![0-9A-Za-z]|\\.[0-9])",
+    "card": f"(?<![0-9A-Za-z{_M}])(?:{_FOURS}(?![0-9A-Za-z{_M}]|\\1[0-9]{{3}}(?![0-9A-Za-z{_M}]))|[0-9]{{4}}([ -])[0-9]{{4}}\\2[0-9]{{4}}\\2[0-9]{{4}}\\2[0-9]{{3}}|[0-9]{{4}}([ -])[0-9]{{6}}\\3[0-9]{{4,5}}|(?<!\\+)[0-9]{{13,19}})(?![0-9A-Za-z{_M}])",
+    "ssn": f"(?<![0-9A-Za-z{_M}-])[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}(?![0-9A-Za-z{_M}-])",
+    "phone": f"(?:(?:{'|'.join(_PHONES)})(?![0-9])|(?<![0-9A-Za-z{_M}+]|[0-9{_M}][.-])(?:{'|'.join(_NATIONAL)})(?![0-9A-Za-z{_M}]|[.-][0-9]))",
+    "ip": f"(?<![0-9A-Za-z{_M}.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\\.){{3}}(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?![0-9A-Za-z{_M}]|\\.[0-9])",
     "date": (
-        f"(?:(?<![0-9A-Za-z-]){_ISO}(?![0-9A-Za-z-])"
-        "|(?<![0-9A-Za-z]|[0-9][./-])(?:[0-9]{1,2}([/.-])[0-9]{1,2}\\1[12][0-9]{3}|[12][0-9]{3}([/.])[0-9]{1,2}\\2[0-9]{1,2})(?![0-9A-Za-z]|[./-][0-9])"
-        f"|(?<!\\p{{L}}){_MONTH}\\.?[ ][0-9]{{1,2}}(?i:st|nd|rd|th)?,?[ ][12][0-9]{{3}}(?![0-9A-Za-z])"
-        f"|(?<![0-9A-Za-z])[0-9]{{1,2}}(?:(?i:st|nd|rd|th|er)|\\.)?[ ](?:(?i:of|de)[ ])?{_MONTH}\\.?,?(?:[ ](?i:de|del))?[ ][12][0-9]{{3}}(?![0-9A-Za-z]))"
+        f"(?:(?<![0-9A-Za-z{_M}-]){_ISO}(?![0-9A-Za-z{_M}-])"
+        f"|(?<![0-9A-Za-z{_M}]|[0-9{_M}][./-])(?:[0-9]{{1,2}}([/.-])[0-9]{{1,2}}\\1[12][0-9]{{3}}|[12][0-9]{{3}}([/.])[0-9]{{1,2}}\\2[0-9]{{1,2}})(?![0-9A-Za-z{_M}]|[./-][0-9])"
+        f"|(?<!\\p{{L}}){_MONTH}\\.?[ ][0-9]{{1,2}}(?i:st|nd|rd|th)?,?[ ][12][0-9]{{3}}(?![0-9A-Za-z{_M}])"
+        f"|(?<![0-9A-Za-z{_M}])[0-9]{{1,2}}(?:(?i:st|nd|rd|th|er)|\\.)?[ ](?:(?i:of|de)[ ])?{_MONTH}\\.?,?(?:[ ](?i:de|del))?[ ][12][0-9]{{3}}(?![0-9A-Za-z{_M}]))"
     ),
 }
 KINDS = tuple(PATTERNS)
@@ -280,18 +285,14 @@ def _hint(kind: str, text: Column) -> Column:
     return text.rlike({"card": "[0-9]{4}", "ssn": "[0-9]-[0-9]", "ip": "[0-9]\\.[0-9]", "date": "[12][0-9]{3}"}[kind])
 
 
-def _count(kind: str, text: Column) -> Column:
-    if kind not in _CHECKS:
-        return F.regexp_count(text, F.lit(PATTERNS[kind]))
-    return F.size(F.filter(F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0)), _CHECKS[kind]))
+def _count(kind: str, found: Column) -> Column:
+    return F.size(F.filter(found, _CHECKS[kind]) if kind in _CHECKS else found).cast("long")
 
 
-def _replaced(text: Column, kind: str, key: Column, undo: bool) -> Column:
-    pattern = PATTERNS[kind]
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    masked = F.transform(found, lambda v: _MASKS[kind](v, key, undo))
-    gaps = F.split(text, pattern, -1)
-    return F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(masked, i), F.lit("")))), "")
+def _put_back(text: Column, mark: str, values: Column) -> Column:
+    """``text`` with the values, in order, in place of a mark."""
+    gaps = F.split(text, mark, -1)
+    return F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(values, i), F.lit("")))), "")
 
 
 def _secret(docs: DataFrame, key: str) -> Column:
@@ -301,12 +302,28 @@ def _secret(docs: DataFrame, key: str) -> Column:
 
 
 def pseudonymise(docs: DataFrame, *, key: str, kinds: tuple[str, ...] = KINDS, id_col: str = "doc_id", text_col: str = "text", undo: bool = False) -> DataFrame:
-    """doc_id, n_found (values by all kinds), n_<kind> ..., text (with pseudonyms)."""
+    """doc_id, n_found (values by all kinds), n_<kind> ..., text (with pseudonyms).
+
+    All values are found in the text as it came, kinds in the order of ``KINDS``;
+    what one kind has taken no later one sees, and all pseudonyms are written at
+    the end. A number in a card's grouping that fails the check stays as it is.
+    """
     out = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), _secret(docs, key).alias("key"))
-    for kind in kinds:
-        hit = F.when(_hint(kind, F.col("text")), _count(kind, F.col("text")))
-        out = out.withColumn(f"n_{kind}", F.coalesce(hit, F.lit(0)).cast("long"))
+    asked = [k for k in KINDS if k in kinds]
+    none = F.array().cast("array<string>")
+    steps = [("own", f"[{_M}]", _MARKS[-1]), *((k, PATTERNS[k], m) for k, m in zip(KINDS, _MARKS) if k in asked)]
+    for kind, pattern, mark in steps:
+        text = F.col("text")
+        hint = text.rlike(pattern) if kind == "own" else _hint(kind, text)
+        out = out.withColumn(f"f_{kind}", F.when(hint, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none))
+        out = out.withColumn("text", F.when(F.size(f"f_{kind}") > 0, F.regexp_replace(text, pattern, mark)).otherwise(text))
+    masks = {k: partial(m, key=F.col("key"), undo=undo) for k, m in _MASKS.items()}
+    for kind, _, mark in steps[1:] + steps[:1]:
+        found = F.col(f"f_{kind}")
+        mask = masks.get(kind)
+        values = F.transform(found, lambda v: mask(v)) if mask else found  # noqa: B023
         # texts without a value pass as they are; the masks are only made for the others
-        out = out.withColumn("text", F.when(F.col(f"n_{kind}") > 0, _replaced(F.col("text"), kind, F.col("key"), undo)).otherwise(F.col("text")))
-    total = sum((F.col(f"n_{k}") for k in kinds), F.lit(0).cast("long"))
-    return out.select("doc_id", total.alias("n_found"), *(f"n_{k}" for k in kinds), "text")
+        out = out.withColumn("text", F.when(F.size(found) > 0, _put_back(F.col("text"), mark, values)).otherwise(F.col("text")))
+    counts = {k: _count(k, F.col(f"f_{k}")) if k in asked else F.lit(0).cast("long") for k in kinds}
+    total = sum(counts.values(), F.lit(0).cast("long"))
+    return out.select("doc_id", total.alias("n_found"), *(counts[k].alias(f"n_{k}") for k in kinds), "text")

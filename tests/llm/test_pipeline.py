@@ -22,7 +22,7 @@ def test_stages(spark, sf_dir):
 
 
 def test_registered():
-    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 14)]
 
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, v long, rep long, comp string, row string"
