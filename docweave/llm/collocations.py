@@ -9,8 +9,8 @@ words belongs to the chunk in which it starts before the closing trigger (a
 text's last chunk has none), so runs in an overlap count once.
 
 Counting goes from short to long. First every word is counted by a 64-bit hash;
-then runs of two whose words both reach the least count; then, as texts, the runs
-that can still reach it. Counts by hash may be too large where hashes meet, never
+then runs of two whose words both reach the least count, then runs of three of such
+pairs; then, as texts, the runs that can still reach it. Counts by hash may be too large where hashes meet, never
 too small, so they only leave out what can't reach the least count; every result
 comes from exact counts by text. What passes is a table of bits in the shared
 folder, at most ``2**MOST_BITS``; a full table lets more pass and loses nothing.
@@ -200,7 +200,7 @@ _held: dict[str, np.ndarray] = {}
 def _bits(table: Bits) -> np.ndarray:
     """A worker reads a table once."""
     if table.folder not in _held:
-        while len(_held) >= 2:
+        while len(_held) >= 3:
             del _held[next(iter(_held))]
         _held[table.folder] = table.read()
     return _held[table.folder]
@@ -241,26 +241,31 @@ def phrase_counts(docs: DataFrame, *, least: int = 10, text_col: str = "text", l
     totals = one.groupBy("lang").agg(F.sum("f").alias("n"))
     bits1 = _Told(Bits(one, least))
 
-    def pairs(batches):
-        for b in _blocks(batches, "chunk"):
-            t = _Chunks(b)
-            at = _passing(t, 2, _bits(bits1))
-            code, _, f = _summed(t.codes(at, 2, t.lang), t.weights(at))
-            yield pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), pa.array(f, pa.int64())], ["code", "f"])
+    def runs(n: int, below: _Told) -> DataFrame:
+        """Hashes of runs of n words that reach the least count."""
+
+        def count(batches):
+            for b in _blocks(batches, "chunk"):
+                t = _Chunks(b)
+                at = _passing(t, n, _bits(below))
+                code, _, f = _summed(t.codes(at, n, t.lang), t.weights(at))
+                yield pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), pa.array(f, pa.int64())], ["code", "f"])
+
+        return cut(chunks.mapInArrow(count, "code long, f long").groupBy("code").agg(F.sum("f").alias("f")).where(F.col("f") >= least), f"runs{n}")
 
-    two = cut(chunks.mapInArrow(pairs, "code long, f long").groupBy("code").agg(F.sum("f").alias("f")).where(F.col("f") >= least), "pairs")
+    two = runs(2, bits1)
     bits2 = _Told(Bits(two, least))
+    three = runs(3, bits2)
+    bits3 = _Told(Bits(three, least))
 
     def phrases(batches):
         for b in _blocks(batches, "chunk"):
             t = _Chunks(b)
-            w1, w2 = _bits(bits1), _bits(bits2)
-            for n in (1, 2, 3):
-                at = _passing(t, n, w2) if n == 3 else t.starts(n)
+            for n, bits in ((1, bits1), (2, bits2), (3, bits3)):
+                at = t.starts(n)
                 code = t.codes(at, n, t.lang)
-                if n < 3:
-                    passes = Bits.has((w1, w2)[n - 1], code)
-                    at, code = at[passes], code[passes]
+                passes = Bits.has(_bits(bits), code)
+                at, code = at[passes], code[passes]
                 _, place, f = _summed(code, t.weights(at))
                 at = at[place]
                 parts = [[t.raw[s:e] for s, e in zip(t.start[at + k].tolist(), t.end[at + k].tolist())] for k in range(n)]
@@ -269,7 +274,7 @@ def phrase_counts(docs: DataFrame, *, least: int = 10, text_col: str = "text", l
 
     counted = chunks.mapInArrow(phrases, "lang string, k int, phrase string, f long").groupBy("lang", "k", "phrase").agg(F.sum("f").alias("f"))
     out = cut(counted.where(F.col("f") >= least), "phrases")
-    release(chunks, two)
+    release(chunks, two, three)
     return out, totals
 
 
