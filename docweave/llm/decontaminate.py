@@ -62,21 +62,41 @@ class Automaton:
             for c in seq:
                 last = self._extend(last, c)
         self.window = window
+        self.cut = self._cuts()
         #: items that have a window of full size at a state
         self.full: dict[int, list[str]] = {}
-        #: (length, item) of shorter items that end at a state
-        self.short: dict[int, list[tuple[int, str]]] = {}
+        #: (longest, items) of shorter items that end at a state
+        self.short: dict[int, tuple[int, list[str]]] = {}
         for item, seq in sequences:
             state = 0
             for i, c in enumerate(seq):
                 state = self.next[state][c]
                 if i + 1 >= window:
-                    state = self._cut(state)
-                    found = self.full.setdefault(state, [])
+                    found = self.full.setdefault(self.cut[state], [])
                     if not found or found[-1] != item:
                         found.append(item)
             if 0 < len(seq) < window:
-                self.short.setdefault(state, []).append((len(seq), item))
+                self.short.setdefault(state, (len(seq), []))[1].append(item)
+        self.above = self._shorts()
+
+    def _by_length(self) -> list[int]:
+        return sorted(range(1, len(self.length)), key=self.length.__getitem__)
+
+    def _cuts(self) -> list[int]:
+        """For each state that of the last ``window`` words of a run that ends in it."""
+        cut = list(range(len(self.link)))
+        for state in self._by_length():
+            if self.length[self.link[state]] >= self.window:
+                cut[state] = cut[self.link[state]]
+        return cut
+
+    def _shorts(self) -> list[int]:
+        """For each state the nearest above it at which a shorter item ends, or 0."""
+        above = [0] * len(self.link)
+        for state in self._by_length() if self.short else ():
+            up = self.link[state]
+            above[state] = up if up in self.short else above[up]
+        return above
 
     def _extend(self, last: int, c: int) -> int:
         nxt, link, length = self.next, self.link, self.length
@@ -108,18 +128,14 @@ class Automaton:
             p = link[p]
         return new
 
-    def _cut(self, state: int) -> int:
-        """The state of the last ``window`` words of a run that ends in ``state``."""
-        while self.length[self.link[state]] >= self.window:
-            state = self.link[state]
-        return state
-
     def walk(self, seq: list[int]) -> tuple[list[tuple[int, int]], set[str]]:
-        """Spans of hit words (maximal, in order) and items with windows here."""
+        """Spans of hit words (maximal, in order) and items with windows here.
+        A word takes a constant time on average, however often words repeat."""
         nxt, link, length = self.next, self.link, self.length
         state, run = 0, 0
         spans: list[tuple[int, int]] = []
         items: set[str] = set()
+        told: set[int] = set()
 
         def hit(s: int, e: int) -> None:
             while spans and spans[-1][1] >= s:
@@ -133,18 +149,22 @@ class Automaton:
             if c in nxt[state]:
                 state, run = nxt[state][c], run + 1
             if run >= self.window:
-                at = self._cut(state)
+                at = self.cut[state]
                 if at in self.full:
                     hit(i - self.window, i)
-                    items.update(self.full[at])
+                    if at not in told:
+                        told.add(at)
+                        items.update(self.full[at])
             if self.short:
-                at = state
-                while at > 0:
-                    for size, item in self.short.get(at, ()):
-                        if size <= run:
-                            hit(i - size, i)
-                            items.add(item)
-                    at = link[at]
+                # items that end at a state have one length: they are the same words
+                own = self.short.get(state)
+                at = state if own and own[0] <= run else self.above[state]
+                if at:
+                    hit(i - self.short[at][0], i)
+                while at and -at not in told:  # those further up are told already
+                    told.add(-at)
+                    items.update(self.short[at][1])
+                    at = self.above[at]
         return spans, items
 
 

@@ -662,3 +662,32 @@ def test_sharding_query_and_null_ids(spark, tmp_path):
     for shard in range(40):
         slots = sorted(r.slot for r in got if r.shard == shard)
         assert slots == list(range(len(slots)))
+
+
+def test_automaton_takes_a_constant_time_for_a_word():
+    """Equal words on both sides: a walk of 50,000 in well under a second or two."""
+    import time
+
+    words = np.full(50_000, 7, np.uint64)
+    for size in (50_000, 5):
+        matcher = decontaminate.Matcher(["a", "b"], [words[:size], words[:3]], 13)
+        began = time.perf_counter()
+        spans, items = matcher.walk(words)
+        assert time.perf_counter() - began < 2 and spans == [(0, 50_000)] and items == {"a", "b"}
+
+
+def test_automaton_equals_plain_windows():
+    rng = random.Random(12)
+    for _ in range(300):
+        seqs = [(str(k), [rng.randrange(3) for _ in range(rng.randrange(1, 12))]) for k in range(rng.randrange(1, 7))]
+        window = rng.randrange(2, 6)
+        text = [rng.randrange(3) for _ in range(40)]
+        spans, items = decontaminate.Automaton(seqs, window).walk(text)
+        hit, found = set(), set()
+        for k, v in seqs:
+            size = min(window, len(v))
+            wins = {tuple(v[i : i + size]) for i in range(len(v) - size + 1)}
+            at = {j for i in range(len(text) - size + 1) if tuple(text[i : i + size]) in wins for j in range(i, i + size)}
+            hit |= at
+            found |= {k} if at else set()
+        assert {j for s, e in spans for j in range(s, e)} == hit and items == found
