@@ -59,36 +59,12 @@ def src_toc(spark, d):
     return S.toc(blocks(spark, d))
 
 
-@query(f"WITH {TABLES} SELECT table_id, rows[1][1] AS first_header, CAST(len(rows) - 1 AS BIGINT) AS n_rows, 'S!A1:D' || len(rows) AS cell_range FROM tables")
-def src_excel(spark, d):
-    t = cell_tables(spark, d).withColumn("sheet", F.lit("S"))
-    spaced = F.concat(F.array(F.array(*(F.lit("") for _ in range(5)))), F.transform("rows", lambda r: F.concat(r, F.array(F.lit("")))))
-    return S.table_blocks(t.withColumn("rows", spaced), "table_id", "sheet", "rows").select("table_id", F.get("headers", 0).alias("first_header"), F.size("rows").cast("long").alias("n_rows"), "cell_range")
-
-
 @query(f"WITH {TABLES} SELECT table_id, CAST(least(len(rows), 3) AS BIGINT) AS n_rows, ['column_0', 'column_1', 'column_2', 'column_3'] AS headers FROM tables")
 def src_excel_fallback(spark, d):
     heads = F.transform(F.sequence(F.lit(0), F.size(F.get("rows", 0)) - 1), lambda i: F.concat(F.lit("column_"), i.cast("string")))
     return cell_tables(spark, d).select("table_id", F.size(F.slice("rows", 1, 3)).cast("long").alias("n_rows"), heads.alias("headers"))
 
 
-@query(f"WITH {TABLES}, r AS (SELECT table_id, unnest(rows) AS row, unnest(range(0, len(rows))) AS r FROM tables) SELECT table_id, r, 'B' || (r + 1) || ': ' || row[1] || '*' || row[2] AS formula FROM r WHERE row[3] = 'R'")
-def src_excel_formula(spark, d):
-    cells = cell_tables(spark, d).select("table_id", F.posexplode("rows").alias("r", "row")).where(F.get("row", 2) == "R")
-    return cells.select("table_id", F.col("r").cast("long").alias("r"), F.concat(F.lit("B"), (F.col("r") + 1).cast("string"), F.lit(": "), F.get("row", 0), F.lit("*"), F.get("row", 1)).alias("formula"))
-
-
-@query("SELECT l_returnflag, CAST(coalesce(sum(l_quantity) FILTER (WHERE l_linestatus = 'F'), 0) AS BIGINT) AS f, CAST(coalesce(sum(l_quantity) FILTER (WHERE l_linestatus = 'O'), 0) AS BIGINT) AS o FROM lineitem GROUP BY l_returnflag")
-def src_excel_pivot(spark, d):
-    p = table(spark, d, "lineitem").groupBy("l_returnflag").pivot("l_linestatus", ["F", "O"]).agg(F.sum("l_quantity").cast("long"))
-    return p.select("l_returnflag", F.coalesce("F", F.lit(0)).cast("long").alias("f"), F.coalesce("O", F.lit(0)).cast("long").alias("o"))
-
-
-@query("SELECT page_id, regexp_extract(html, '<h1[^>]*>([^<]*)</h1>', 1) AS heading, CAST(len(regexp_extract_all(html, '<p[^>]*>')) AS BIGINT) AS paragraphs FROM pages")
-def src_word(spark, d):
-    return table(spark, d, "pages").select("page_id", F.regexp_extract("html", "<h1[^>]*>([^<]*)</h1>", 1).alias("heading"), F.regexp_count("html", F.lit("<p[^>]*>")).cast("long").alias("paragraphs"))
-
-
 @query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_totalprice > 100000 ORDER BY o_orderkey LIMIT 200")
 def src_sql(spark, d):
     from ..plans.sql import run_readonly
