@@ -139,25 +139,6 @@ def gd_budget(spark, d):
     return W.pack_greedy(e, ["user_id"], [F.desc("worth"), F.asc("event_id")], "t", 1000, "event_id")
 
 
-@query("SELECT event_id, CAST(sum(CAST(floor(value) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 30 MINUTES PRECEDING AND CURRENT ROW) AS BIGINT) AS risk FROM events")
-def st_session_risk(spark, d):
-    e = table(spark, d, "events").withColumn("score", F.floor("value"))
-    return W.rolling_sum(e, "user_id", "ts", "score", 30, "risk").select("event_id", "risk")
-
-
-@query(quota_sql(300, 60))
-def st_quota(spark, d):
-    e = table(spark, d, "events").withColumn("tokens", F.floor("value"))
-    return G.quota(e, "user_id", "ts", "tokens", "event_id", limit=300, minutes=60)
-
-
-@query("SELECT (r - 1) // 50 AS batch, count(*) AS n, min(event_id) AS first FROM (SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS r, event_type FROM events) GROUP BY event_type, (r - 1) // 50", name="st_log_batch")
-def st_log_batch(spark, d):
-    r = F.row_number().over(Window.partitionBy("event_type").orderBy("event_id"))
-    e = table(spark, d, "events").select("event_id", "event_type", F.floor((r - 1) / 50).alias("batch"))
-    return e.groupBy("event_type", "batch").agg(F.count("*").alias("n"), F.min("event_id").alias("first")).drop("event_type")
-
-
 @query("SELECT doc_id, lang FROM documents WHERE doc_id % 2 = 1 UNION ALL SELECT doc_id, 'again' FROM documents WHERE doc_id % 2 = 0")
 def snk_preclean(spark, d):
     # writing again replaces what was, so nothing has to be cleared before
