@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from .intervals import holding
 
 
 def hydrate(hits: DataFrame, rows: DataFrame, on: Column) -> DataFrame:
@@ -97,9 +98,10 @@ def section_ranges(headings: DataFrame, open_pages: int = 10) -> DataFrame:
 
 
 def in_section(blocks: DataFrame, sections: DataFrame) -> DataFrame:
-    """The first section whose pages hold the block."""
-    hit = blocks.join(sections, "document_id").where(F.col("page").between(F.col("page_start"), F.col("page_end")))
-    return hit.groupBy("document_id", "block_order").agg(F.min("section").alias("section"))
+    """The first section whose pages hold the block, without a product of a
+    document's blocks and sections."""
+    found = holding(blocks.select("document_id", "block_order", "page"), sections, "document_id", "page", "page_start", "page_end", F.col("section"))
+    return found.select("document_id", "block_order", F.col("first").alias("section"))
 
 
 def carry(blocks: DataFrame, value: Column, name: str) -> DataFrame:

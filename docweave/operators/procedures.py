@@ -92,3 +92,38 @@ def run_states(events: DataFrame, key: str, order: list[str], event: str, transi
         return F.struct(to.alias("state"), (acc["moves"] + (to != acc["state"]).cast("long")).alias("moves"))
 
     return listed.select(key, F.reduce("l", begin, step).alias("p")).select(key, "p.state", "p.moves")
+
+
+#: a number that opens a step: (3), 3., Step 3:, [3]
+NUMBERED = "^\\s*(?:\\(([0-9]+)\\)|([0-9]+)\\.|(?i:step)\\s+([0-9]+)[:.]?|\\[([0-9]+)\\])"
+
+
+def steps_by_page(blocks: DataFrame, extracted: DataFrame, *, start: str | None = None, empty: int = 2, least_chars: int = 20) -> DataFrame:
+    """document_id, place, page, number, instruction: steps read page by page.
+
+    ``extracted`` has (document_id, page, block_order, instruction), from a model
+    or from rules. Pages of fewer than ``least_chars`` characters are passed over;
+    with ``start``, a column of ``blocks``, so are those before it. Reading stops
+    after ``empty`` pages in a row without a step, once one was found. A number
+    that came before is left out; where any step has a number they are ordered by
+    it, those without one last, and else stay in reading order.
+    """
+    chars = F.sum(F.length(F.trim("text"))).alias("chars")
+    pages = blocks.where(F.length(F.trim("text")) > 0)
+    pages = (pages.where(F.col("page") >= F.col(start)) if start else pages).groupBy("document_id", "page").agg(chars).where(F.col("chars") >= least_chars)
+    found = extracted.groupBy("document_id", "page").agg(F.count("*").alias("steps"))
+    read = pages.join(found, ["document_id", "page"], "left").withColumn("steps", F.coalesce("steps", F.lit(0)))
+    order = Window.partitionBy("document_id").orderBy("page")
+    # an island of empty pages: those since the last page with a step
+    island = F.sum((F.col("steps") > 0).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    marked = read.withColumn("island", island)
+    place = F.row_number().over(Window.partitionBy("document_id", "island").orderBy("page"))
+    ends = marked.withColumn("place", place).where((F.col("island") > 0) & (F.col("steps") == 0) & (F.col("place") == empty + 1))
+    stop = ends.groupBy("document_id").agg(F.min("page").alias("stop"))
+    kept = read.where("steps > 0").join(stop, "document_id", "left").where("stop is null or page < stop").select("document_id", "page")
+    number = F.coalesce(*(F.nullif(F.regexp_extract("instruction", NUMBERED, k), F.lit("")) for k in (1, 2, 3, 4))).try_cast("long")
+    steps_ = extracted.join(kept, ["document_id", "page"]).select("document_id", "page", "block_order", "instruction", number.alias("number"))
+    again = F.row_number().over(Window.partitionBy("document_id", "number").orderBy("page", "block_order"))
+    once = steps_.withColumn("again", again).where("number is null or again = 1")
+    final = F.row_number().over(Window.partitionBy("document_id").orderBy(F.asc_nulls_last("number"), "page", "block_order"))
+    return once.select("document_id", final.cast("long").alias("place"), "page", "number", "instruction")

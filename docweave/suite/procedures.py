@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import procedures as P
+from ..operators.intervals import counts_within
 from ..plans import pipeline as L
 from ..registry import query, table
 from ..sources.fixtures import BLOCKS, blocks
@@ -29,9 +30,9 @@ def pr_scan_sections(spark, d):
 def pr_fast_sections(spark, d):
     m = manual(spark, d)
     s = P.sections(m).select("document_id", F.col("block_order").alias("section"), F.col("page").alias("lo"), "page_end")
-    st = P.steps(m).select("document_id", "page", "block_order")
-    both = s.join(st, "document_id", "left").groupBy("document_id", "section")
-    return both.agg(F.count_if(F.col("page").between(F.col("lo"), F.col("page_end"))).alias("steps"))
+    st = P.steps(m).select("document_id", "page")
+    counted = counts_within(st, s, "document_id", "page", "lo", "page_end", "steps")
+    return counted.select("document_id", "section", "steps")
 
 
 @query(f"WITH {BLOCKS}, {_MANUAL} SELECT document_id, block_order, CAST(block_order % 5 AS BIGINT) AS step, 'Remove part ' || block_order AS instruction FROM m WHERE block_order % 5 <> 0")
