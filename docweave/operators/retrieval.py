@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import words
+from ..sources.shared import shared_folder, spread
 from .joins import fuse
 
 #: rows of the query side up to which it is sent to every executor
@@ -88,27 +89,113 @@ def bm25_weights(queries: DataFrame, index: DataFrame, *, k1: float = 1.2, b: fl
     return passages.unionByName(wanted.select(F.lit("query").alias("side"), "id", "term", "tf", idf.alias("weight")))
 
 
+#: (query, term) pairs that are scored in one pass over the texts' postings
+QUERY_TERMS = 8_000
+
+
+def _terms_of(chunks: DataFrame, id_col: str, text_col: str, terms) -> DataFrame:  # noqa: ANN001
+    """id, n, codes, tf: for each text with words its length, and of the asked
+    terms those it has, by their place in ``terms``. Texts are split once."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    held = chunks.sparkSession.sparkContext.broadcast(terms)
+
+    def run(batches):
+        terms = held.value
+        for b in batches:
+            lists = b.column(1)
+            n = lists.value_lengths().to_numpy()
+            code = pc.index_in(lists.flatten(), value_set=terms).fill_null(-1).to_numpy()
+            row = np.repeat(np.arange(len(n)), n)
+            key, tf = np.unique((row * (len(terms) + 1) + code)[code >= 0], return_counts=True)
+            ends = np.searchsorted(key, np.arange(len(n) + 1) * (len(terms) + 1))
+            listed = lambda x: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x, pa.int32()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), listed(key % (len(terms) + 1)), listed(tf)], ["id", "n", "codes", "tf"])
+
+    w = words(F.lower(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), "[^\\p{L}\\p{N}]+", " ")))
+    split = spread(chunks.select(F.col(id_col).cast("long").alias("id"), F.col(text_col))).select("id", w.alias("w")).where(F.size("w") > 0)
+    return split.mapInArrow(run, "id long, n long, codes array<int>, tf array<int>")
+
+
 def search(queries: DataFrame, chunks: DataFrame, id_col: str, text_col: str, k: int, *, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """query_id, id, score, rank: the best texts (by BM25) of each query (query_id,
-    term). A text's length comes from its own row; of its words only those that
-    some query has are shuffled, counted before by each task."""
-    w = words(F.lower(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), "[^\\p{L}\\p{N}]+", " ")))
-    listed = chunks.select(F.col(id_col).alias("id"), w.alias("w")).where(F.size("w") > 0)
-    stats = listed.agg(F.count("*").alias("total"), F.avg(F.size("w")).alias("mean"))
-    asked = queries.select("query_id", "term").dropDuplicates()
-    terms = asked.select("term").dropDuplicates()
-    few = terms.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
-    send = F.broadcast if few else lambda df: df
-    found = listed.select("id", F.size("w").cast("long").alias("n"), F.explode("w").alias("term")).join(send(terms), "term", "left_semi")
-    counted = found.groupBy("term", "id", "n").agg(F.count("*").alias("tf"))
-    spread = counted.groupBy("term").agg(F.count("*").alias("df"))
-    # there are no more of these than terms
-    scored = counted.join(send(spread), "term").join(small(asked), "term").crossJoin(F.broadcast(stats))
-    idf = F.log(1 + (F.col("total") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    gain = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n") / F.col("mean")))
-    total = scored.groupBy("query_id", "id").agg(F.round(F.sum(gain), 6).alias("score"))
+    term).
+
+    The queries are a stated set, held against all texts in blocks. Texts are split
+    once, into a written table of the asked terms that each has. For a block of
+    queries a batch of texts is a matrix of saturated frequencies, times one of
+    weights; only the best ``k`` of a batch and ties with them leave the task, so no
+    pair of a query and a text that is merely like it in some word is ever shuffled.
+    """
+    import math
+
+    import numpy as np
+    import pyarrow as pa
+
+    spark = chunks.sparkSession
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), "term").where("term is not null").dropDuplicates().toArrow()
+    terms = asked.column("term").combine_chunks().unique() if asked.num_rows else pa.array([], pa.string())
+    path = shared_folder(spark, "postings")
+    _terms_of(chunks, id_col, text_col, terms).write.parquet(path)
+    table = spark.read.parquet(path)
+    stats = table.agg(F.count("*").alias("total"), F.avg("n").alias("mean")).first()
+    df = np.zeros(len(terms))
+    for r in table.select(F.explode("codes").alias("code")).groupBy("code").count().collect():  # no more rows than asked terms
+        df[r["code"]] = r["count"]
+    total, mean = stats["total"], stats["mean"] or 1.0
+    idf = np.array([math.log(1 + (total - d + 0.5) / (d + 0.5)) for d in df])
+    code = asked.column("term").combine_chunks().dictionary_encode().indices.to_numpy() if asked.num_rows else np.zeros(0, int)
+    query = asked.column("query_id").to_numpy() if asked.num_rows else np.zeros(0, int)
+    order = np.argsort(query, kind="stable")
+    code, query = code[order], query[order]
+    ids, first = np.unique(query, return_index=True)
+
+    def scored(own, at, weights) -> DataFrame:  # noqa: ANN001
+        """The best texts of the queries ``own``, whose terms are ``at``."""
+        held = spark.sparkContext.broadcast((own, at, weights))
+
+        def run(batches):
+            own, at, weights = held.value
+            place = np.full(len(idf) + 1, -1)
+            place[at] = np.arange(len(at))
+            step = max(1, (1 << 22) // max(1, len(at)))
+            for big in batches:
+                for s in range(0, big.num_rows, step):
+                    b_ = big.slice(s, step)
+                    texts, n = b_.column(0).to_numpy(zero_copy_only=False), b_.column(1).to_numpy()
+                    row = np.repeat(np.arange(len(n)), b_.column(2).value_lengths().to_numpy())
+                    col, tf = place[b_.column(2).flatten().to_numpy()], b_.column(3).flatten().to_numpy()
+                    on = col >= 0
+                    gains = np.zeros((len(n), len(at)))
+                    gains[row[on], col[on]] = (tf * (k1 + 1) / (tf + k1 * (1 - b + b * n[row] / mean)))[on]
+                    raw = (gains @ weights).T  # above 0 where any term is shared
+                    score = np.round(raw, 6)
+                    m = min(k, len(n))
+                    border = np.partition(score, -m, axis=1)[:, -m]
+                    q, t = np.nonzero((score >= border[:, None]) & (raw > 0))
+                    yield pa.RecordBatch.from_arrays([pa.array(own[q]), pa.array(texts[t]), pa.array(score[q, t])], ["query_id", "id", "score"])
+
+        return table.mapInArrow(run, "query_id long, id long, score double")
+
+    blocks: list[DataFrame] = []
+    begin = 0
+    bounds = [*first[1:].tolist(), len(query)]
+    for i, end in enumerate(bounds):
+        last = i + 1 == len(bounds)
+        if last or bounds[i + 1] - first[begin] > QUERY_TERMS:
+            part = slice(first[begin], end)
+            at, col = np.unique(code[part], return_inverse=True)
+            weights = np.zeros((len(at), i + 1 - begin))
+            weights[col, np.searchsorted(ids[begin : i + 1], query[part])] = idf[code[part]]
+            blocks.append(scored(ids[begin : i + 1], at, weights))
+            begin = i + 1
+    every = blocks[0] if blocks else spark.createDataFrame([], "query_id long, id long, score double")
+    for more in blocks[1:]:
+        every = every.unionByName(more)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return total.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
+    return every.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
 
 
 def hybrid(dense: DataFrame, sparse: DataFrame, k: int, candidates: int) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Folders that the driver and all executors share."""
+"""Folders that the driver and all executors share, and rows dealt to all cores."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 import pyarrow.fs as pafs
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 
@@ -36,3 +36,10 @@ def write_file(folder: str, name: str, content: bytes) -> str:
         out.write(content)
     fs.move(part, f"{base}/{name}")
     return f"{folder}/{name}"
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of a table in fewer partitions than there are cores, dealt to all of
+    them; a larger table stays as it is read."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
