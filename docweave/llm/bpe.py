@@ -184,11 +184,15 @@ class Merger:
         return [self._merge(w) if bad or p is None else p for w, p, bad in zip(words, proposed, failed.tolist())]
 
 
+#: bytes that a worker keeps of chunks, and as many of words, between texts
+CACHE_BYTES = 48 << 20
+
+
 class Tokenizer:
     """Ids and decoded text as the tokenizers library gives them, for BPE files
     that normalise by NFC, white space and lower case and split by a pattern."""
 
-    def __init__(self, path: str, cache_chunks: int = 1 << 19, cache_words: int = 1 << 18):
+    def __init__(self, path: str, cache_bytes: int = CACHE_BYTES):
         from tokenizers import Tokenizer as Library
 
         with open(path, encoding="utf-8") as f:
@@ -213,7 +217,7 @@ class Tokenizer:
         self._word_text: dict[str, str] = {}
         self._ids: dict[str, bytes] = {}
         self._text: dict[str, str] = {}
-        self._size = (cache_chunks, cache_words)
+        self._most, self._held = cache_bytes, {"words": 0, "chunks": 0}
 
     def _rare_words(self, text: str) -> list[str]:
         """Words of a text of any characters, by the library's own parts."""
@@ -230,6 +234,7 @@ class Tokenizer:
         for w, ids in zip(new, self.merger.encode([w if w.isascii() and w.isalnum() else "".join(map(turn, w.encode())) for w in new])):
             self._word_ids[w] = struct.pack(f"<{len(ids)}I", *ids)
             self._word_text[w] = " ".join([tokens[i] for i in ids])
+            self._held["words"] += self._cost(w, self._word_ids, self._word_text)
 
     def _learn(self, chunks: set[str]) -> None:
         split = {c: self._words(c) for c in chunks}
@@ -238,20 +243,32 @@ class Tokenizer:
         for c, words in split.items():
             self._ids[c] = b"".join(map(ids, words))
             self._text[c] = " ".join(map(text, words))
+            self._held["chunks"] += self._cost(c, self._ids, self._text)
 
     @staticmethod
-    def _trim(size: int, *caches: dict) -> None:
-        """Entries that came late go: frequent words are met early."""
-        if len(caches[0]) > size:
-            for key in list(caches[0])[size // 2 :]:
-                for c in caches:
-                    del c[key]
+    def _cost(key: str, ids: dict[str, bytes], text: dict[str, str]) -> int:
+        """About the bytes of an entry: three objects in two tables."""
+        return 350 + 2 * len(key) + len(ids[key]) + 2 * len(text[key])
+
+    def _trim(self, kind: str, ids: dict[str, bytes], text: dict[str, str]) -> None:
+        """Over the bound, entries that came late go until half of it is left:
+        frequent words are met early."""
+        if self._held[kind] <= self._most:
+            return
+        kept = 0
+        for key in list(ids):
+            cost = self._cost(key, ids, text)
+            if kept + cost > self._most // 2:
+                del ids[key], text[key]
+            else:
+                kept += cost
+        self._held[kind] = kept
 
     def encode(self, texts: list[str | None]) -> Iterator[tuple[bytes, str]]:
         """For each text (none: empty) its ids as unsigned 32-bit integers, and
         the decoded text; unknown words of all the texts are learnt at once."""
-        self._trim(self._size[0], self._ids, self._text)
-        self._trim(self._size[1], self._word_ids, self._word_text)
+        self._trim("chunks", self._ids, self._text)
+        self._trim("words", self._word_ids, self._word_text)
         # plain texts as chunks; others as a list of words and special ids
         plain: list[list[str] | None] = []
         other: dict[int, list[str | int]] = {}
