@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+
+from .folds import fold
 from pyspark.sql.types import StringType
 
 from .aggregates import BLOCK_AT, WARN_AT
@@ -147,27 +151,23 @@ def scan_chunks(chunks: DataFrame, text_col: str = "text", mask: str = "[CONTENT
 
 def quota(requests: DataFrame, key: str, ts: str, tokens: str, item: str, limit: int, minutes: int) -> DataFrame:
     """Which requests fit into the rolling quota of their session. A refused
-    one uses nothing, so it is a fold over a session's requests in order; a
-    session's rows are sorted and streamed, never all its state."""
-    import pandas as pd
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_us", item])
-        held: list[tuple[int, int]] = []
-        used, first, admitted = 0, 0, []
-        for us, t in zip(pdf["_us"].tolist(), pdf[tokens].tolist()):
-            while first < len(held) and us - held[first][0] > minutes * 60_000_000:
-                used -= held[first][1]
-                first += 1
-            ok = used + t <= limit
-            if ok:
-                held.append((us, t))
-                used += t
-            admitted.append(ok)
-        return pd.DataFrame({key: pdf[key], item: pdf[item], "admitted": admitted})
-
-    timed = requests.select(key, item, tokens, F.unix_micros(F.col(ts).cast("timestamp")).alias("_us"))
-    return timed.groupBy(key).applyInPandas(run, f"{key} long, {item} long, admitted boolean")
+    one uses nothing, so it is a fold over a session's requests in order: they
+    stream through a task, and only those still in the window are held."""
+
+    def step(state: dict, row: tuple) -> list[tuple]:
+        name, us, size = row
+        held = state["held"]
+        while held and us - held[0][0] > minutes * 60_000_000:
+            state["used"] -= held.popleft()[1]
+        ok = state["used"] + size <= limit
+        if ok:
+            held.append((us, size))
+            state["used"] += size
+        return [(name, ok)]
+
+    kind = requests.schema[item].dataType.simpleString()
+    timed = requests.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp"))).withColumn("_tokens", F.col(tokens).cast("long"))
+    return fold(timed, [key], ["_us", item], [item, "_us", "_tokens"], lambda: {"held": deque(), "used": 0}, step, f"`{item}` {kind}, admitted boolean")
 
 
 def ambiguity(hits: DataFrame, key: str, score: str, entity: str, order: str, delta: float = 0.12, first: int = 5) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .folds import fold
+
 STEP = "^\\s*(?:\\(?([0-9]{1,3})[.)])\\s+\\S"
 SECTION = "^\\s*([0-9]+\\.[0-9]+)\\s+([A-Za-z0-9 ()/,:.-]{3,80})"
 # Verbs that open a step
@@ -81,17 +83,17 @@ TRANSITIONS = {
 
 
 def run_states(events: DataFrame, key: str, order: list[str], event: str, transitions: dict[tuple[str, str], str] | None = None, start: str = "idle") -> DataFrame:
-    """The state after all events of each session, and how many changed it. A
-    fold over a session's ordered events; unknown events leave the state."""
-    table = F.create_map(*(F.lit(x) for (s, e), t in (transitions or TRANSITIONS).items() for x in (f"{s}|{e}", t)))
-    listed = events.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(event).alias("_e")))).alias("l"))
-    begin = F.struct(F.lit(start).alias("state"), F.lit(0).cast("long").alias("moves"))
+    """The state after all events of each session, and how many changed it;
+    unknown events leave the state. A session's events stream through its task."""
+    table = transitions or TRANSITIONS
 
-    def step(acc: Column, x: Column) -> Column:
-        to = F.coalesce(F.try_element_at(table, F.concat_ws("|", acc["state"], x["_e"])), acc["state"])
-        return F.struct(to.alias("state"), (acc["moves"] + (to != acc["state"]).cast("long")).alias("moves"))
+    def step(held: dict, row: tuple) -> tuple:
+        to = table.get((held["state"], row[0]), held["state"])
+        held["moves"] += to != held["state"]
+        held["state"] = to
+        return ()
 
-    return listed.select(key, F.reduce("l", begin, step).alias("p")).select(key, "p.state", "p.moves")
+    return fold(events, [key], order, [event], lambda: {"state": start, "moves": 0}, step, "state string, moves long", lambda h: [(h["state"], h["moves"])])
 
 
 #: a number that opens a step: (3), 3., Step 3:, [3]

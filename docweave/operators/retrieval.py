@@ -181,7 +181,7 @@ def search(queries: DataFrame, chunks: DataFrame, id_col: str, text_col: str, k:
 
     blocks: list[DataFrame] = []
     begin = 0
-    bounds = [*first[1:].tolist(), len(query)]
+    bounds = [*first[1:].tolist(), len(query)] if len(query) else []
     for i, end in enumerate(bounds):
         last = i + 1 == len(bounds)
         if last or bounds[i + 1] - first[begin] > QUERY_TERMS:

@@ -1,33 +1,69 @@
 """Sinks: upserts, replacements, deletions and logs of tables in Parquet.
 
-A table here is a folder of Parquet. Changes are new versions of a DataFrame
-(the merge of what was and what comes); ``publish`` swaps a folder's content in
-one rename, so readers see the old or the new version and a job that dies in
-the middle leaves the old one.
+A published table is a folder of versions and one small file that names the one in
+force. ``publish`` writes a whole version and then replaces that file in one rename:
+readers see the old or the new version at every moment, and a job that dies leaves
+the old one. A version that was in force stays for readers that have opened it, until
+the next but one is published.
 """
 
 from __future__ import annotations
 
+import time
 import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+_POINTER = "CURRENT"
+
+
+def _store(spark: SparkSession, path: str):  # noqa: ANN202
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    return jvm, root, jvm.org.apache.hadoop.fs.FileContext.getFileContext(root.getFileSystem(conf).makeQualified(root).toUri(), conf), root.getFileSystem(conf)
+
+
+def current(spark: SparkSession, path: str) -> str | None:
+    """The folder of the version in force, or None before the first."""
+    jvm, root, _, fs = _store(spark, path)
+    pointer = jvm.org.apache.hadoop.fs.Path(root, _POINTER)
+    if not fs.exists(pointer):
+        return None
+    with_name = jvm.org.apache.commons.io.IOUtils.toString(fs.open(pointer), "UTF-8").strip()
+    return f"{path.rstrip('/')}/{with_name}"
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """The published rows."""
+    found = current(spark, path)
+    if found is None:
+        raise FileNotFoundError(f"no version of {path} is published")
+    return spark.read.parquet(found)
+
 
 def publish(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    """Write beside the folder, then rename in its place."""
+    """Write a version, then let the pointer name it."""
     spark = df.sparkSession
-    fresh = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}"
+    before = current(spark, path)
+    version = f"v-{time.time_ns():020d}-{uuid.uuid4().hex}"
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
-    writer.parquet(fresh)
-    jvm = spark.sparkContext._jvm
-    target, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(fresh)
-    old = jvm.org.apache.hadoop.fs.Path(fresh.replace(".new-", ".old-"))
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(target):
-        fs.rename(target, old)
-    fs.rename(new, target)
-    fs.delete(old, True)
+    writer.parquet(f"{path.rstrip('/')}/{version}")
+    jvm, root, context, fs = _store(spark, path)
+    fresh = jvm.org.apache.hadoop.fs.Path(root, f".{_POINTER}-{uuid.uuid4().hex}")
+    out = fs.create(fresh, True)
+    out.write(bytearray(version.encode()))
+    out.close()
+    rename = jvm.org.apache.hadoop.fs.Options.Rename
+    options = spark.sparkContext._gateway.new_array(rename, 1)
+    options[0] = rename.OVERWRITE
+    context.rename(fresh, jvm.org.apache.hadoop.fs.Path(root, _POINTER), options)
+    kept = {version, (before or "").rpartition("/")[2]}
+    for status in fs.listStatus(root):
+        name = status.getPath().getName()
+        if name.startswith("v-") and name not in kept and name < version:
+            fs.delete(status.getPath(), True)
 
 
 def latest(rows: DataFrame, keys: list[str], version: str) -> DataFrame:

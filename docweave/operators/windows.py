@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .folds import fold
+
 
 def ranked(rows: DataFrame, by: list[str], order: list[Column], name: str = "rank") -> DataFrame:
     return rows.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long"))
@@ -31,15 +33,21 @@ def pack_prefix(rows: DataFrame, by: list[str], order: list[Column], tokens: str
 
 
 def pack_greedy(rows: DataFrame, by: list[str], order: list[Column], tokens: str, budget: int, item: str) -> DataFrame:
-    """Best first, each that still fits; those that don't are passed over. The
-    fold runs over the ordered (item, tokens) pairs of one group, a short list."""
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-    listed = rows.withColumn("_rank", rank).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_rank", F.col(item).alias("item"), F.col(tokens).cast("long").alias("tokens")))).alias("list"))
-    none = F.filter(F.transform("list", lambda x: x["item"]), lambda _: F.lit(False))
-    start = F.struct(F.lit(0).cast("long").alias("used"), none.alias("taken"))
-    step = lambda acc, x: F.when(acc["used"] + x["tokens"] <= budget, F.struct((acc["used"] + x["tokens"]).alias("used"), F.array_append(acc["taken"], x["item"]).alias("taken"))).otherwise(acc)
-    folded = listed.select(*by, F.reduce("list", start, step).alias("p"), F.size("list").alias("n"))
-    return folded.select(*by, F.col("p.used").alias("used"), F.col("p.taken").alias("taken"), (F.col("n") - F.size("p.taken")).cast("long").alias("dropped"))
+    """Best first, each that still fits; those that don't are passed over. A group
+    streams through its task; what is held of it is what was taken."""
+
+    def step(state: dict, row: tuple) -> tuple:
+        name, size = row
+        if state["used"] + size <= budget:
+            state["used"] += size
+            state["taken"].append(name)
+        else:
+            state["dropped"] += 1
+        return ()
+
+    kind = rows.schema[item].dataType.simpleString()
+    sized = rows.withColumn("_tokens", F.col(tokens).cast("long"))
+    return fold(sized, by, order, [item, "_tokens"], lambda: {"used": 0, "taken": [], "dropped": 0}, step, f"used long, taken array<{kind}>, dropped long", lambda s: [(s["used"], s["taken"], s["dropped"])])
 
 
 def first_of(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

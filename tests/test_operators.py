@@ -134,9 +134,17 @@ def test_plan_gates(spark):
 
 def test_publish_swaps(spark, tmp_path):
     path = f"file://{tmp_path}/t"
+    assert sinks.current(spark, path) is None
     sinks.publish(spark.range(3).toDF("id"), path)
-    sinks.publish(sinks.upsert(spark.read.parquet(path), spark.createDataFrame([(2,), (9,)], "id long"), ["id"]), path)
-    assert sorted(r.id for r in spark.read.parquet(path).collect()) == [0, 1, 2, 9]
+    held = sinks.read_table(spark, path)
+    sinks.publish(sinks.upsert(held, spark.createDataFrame([(2,), (9,)], "id long"), ["id"]), path)
+    assert sorted(r.id for r in sinks.read_table(spark, path).collect()) == [0, 1, 2, 9]
+    assert sorted(r.id for r in held.collect()) == [0, 1, 2]  # who has opened the old version still reads it
+    with pytest.raises(Exception, match="no luck"):
+        sinks.publish(spark.range(1).select(F.raise_error(F.lit("no luck")).cast("string").alias("id")), path)
+    assert sorted(r.id for r in sinks.read_table(spark, path).collect()) == [0, 1, 2, 9]
+    sinks.publish(spark.range(1).toDF("id"), path)
+    assert sinks.read_table(spark, path).count() == 1 and sum(p.name.startswith("v-") for p in (tmp_path / "t").iterdir()) <= 3
 
 
 def test_broken_file_is_a_row(spark, tmp_path):
