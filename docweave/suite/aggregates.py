@@ -75,16 +75,18 @@ def agg_keyword_freq(spark, d):
 
 
 @query(
-    """WITH w AS (SELECT DISTINCT doc_id, lower(text) AS t, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS word FROM documents WHERE length(text) < 600),
+    """WITH w AS (SELECT DISTINCT doc_id, lower(text) AS t, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS word FROM documents),
     c AS (SELECT doc_id, word, CAST((length(t) - length(replace(t, word, ''))) / length(word) AS BIGINT) AS n FROM w)
     SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, word) AS rank FROM c) WHERE rank <= 8"""
 )
 def agg_keyword_cad(spark, d):
+    # counted within the row: a text is never copied beside each of its words
     low = F.lower("text")
-    one = table(spark, d, "documents").where("length(text) < 600").select("doc_id", low.alias("t"), F.explode(F.array_distinct(F.regexp_extract_all(low, F.lit("[a-z]{3,}"), F.lit(0)))).alias("word"))
-    n = ((F.length("t") - F.length(F.replace("t", "word"))) / F.length("word")).cast("long")
-    counted = one.select("doc_id", "word", n.alias("n"))
-    return counted.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n"), "word")).cast("long")).where("rank <= 8")
+    found = F.array_distinct(F.regexp_extract_all(low, F.lit("[a-z]{3,}"), F.lit(0)))
+    one = table(spark, d, "documents").select("doc_id", low.alias("t"), found.alias("w"))
+    counted = F.transform("w", lambda w: F.struct((-((F.length("t") - F.length(F.replace(F.col("t"), w))) / F.length(w)).cast("long")).alias("m"), w.alias("word")))
+    best = one.select("doc_id", F.posexplode(F.slice(F.array_sort(counted), 1, 8)).alias("r", "x"))
+    return best.select("doc_id", "x.word", (-F.col("x.m")).alias("n"), (F.col("r") + 1).cast("long").alias("rank"))
 
 
 @query(f"WITH {BLOCKS} SELECT document_id, string_agg(text, chr(10) ORDER BY block_order) AS head FROM blocks WHERE page = 1 GROUP BY document_id")

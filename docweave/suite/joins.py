@@ -78,13 +78,16 @@ def jn_scope_resolve(spark, d):
 
 
 @query(
-    f"""WITH {BLOCKS}, {BOXES}, o AS (SELECT a.document_id, a.block_order AS first, b.block_order AS second,
+    f"""WITH {BLOCKS}, {BOXES}, twice AS (SELECT document_id, page, block_order, x0, y0, x1, y1 FROM boxes UNION ALL SELECT document_id, page, block_order + 10000, x0 + block_order % 40, y0 + 5, x1 + block_order % 40, y1 + 5 FROM boxes), o AS (SELECT a.document_id, a.block_order AS first, b.block_order AS second,
       greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) AS inter, (a.x1 - a.x0) * (a.y1 - a.y0) AS sa, (b.x1 - b.x0) * (b.y1 - b.y0) AS sb
-      FROM boxes a JOIN boxes b ON a.document_id = b.document_id AND a.page = b.page AND a.block_order < b.block_order)
+      FROM twice a JOIN twice b ON a.document_id = b.document_id AND a.page = b.page AND a.block_order < b.block_order)
     SELECT document_id, first, second FROM o WHERE inter > 0.3 * (sa + sb - inter) OR inter > 0.8 * sb"""
 )
 def jn_iou_dedup(spark, d):
-    b = boxes(spark, d)
+    # what two detectors found on a page: the second one's boxes lie a little aside
+    b = boxes(spark, d).select("document_id", "page", "block_order", "x0", "y0", "x1", "y1")
+    aside = F.col("block_order") % 40
+    b = b.unionByName(b.select("document_id", "page", (F.col("block_order") + 10000).alias("block_order"), (F.col("x0") + aside).alias("x0"), (F.col("y0") + 5).alias("y0"), (F.col("x1") + aside).alias("x1"), (F.col("y1") + 5).alias("y1")))
     return J.overlapping(b, b, ["document_id", "page"], 0.3, 0.8).where("block_order < other_order").select("document_id", F.col("block_order").alias("first"), F.col("other_order").alias("second"))
 
 

@@ -14,7 +14,7 @@ from ..operators import joins as J
 from ..operators import sinks as S
 from ..operators import windows as W
 from ..registry import query, table
-from ..sources.fixtures import BLOCKS, BOXES, blocks, boxes
+from ..sources.fixtures import BLOCKS, BOXES, SAID, blocks, boxes, said
 from .aggregates import _EVIDENCE, evidence
 from .guards import quota_sql
 
@@ -77,9 +77,9 @@ def fn_match_keywords(spark, d):
     return table(spark, d, "documents").select("doc_id", X.has_keyword(F.col("text"), ["Licensed", "License"]).alias("hit"))
 
 
-@query(f"SELECT doc_id, regexp_matches(text, '(?i){G.VERBS}') AS verb FROM documents")
+@query(f"WITH {SAID} SELECT conv_id, turn, regexp_matches(text, '(?i){G.VERBS}') AS verb FROM said")
 def fn_instruction_verb(spark, d):
-    return table(spark, d, "documents").select("doc_id", G.has_instruction_verb(F.col("text")).alias("verb"))
+    return said(spark, d).select("conv_id", "turn", G.has_instruction_verb(F.col("text")).alias("verb"))
 
 
 @query("SELECT doc_id, CASE WHEN regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}_])that([^\\p{L}\\p{N}_]|$)') THEN 'that' WHEN regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}_])der([^\\p{L}\\p{N}_]|$)') THEN 'der' WHEN regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}_])que([^\\p{L}\\p{N}_]|$)') THEN 'que' END AS entity FROM documents")

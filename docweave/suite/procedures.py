@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import enrichment as E
 from ..operators import procedures as P
 from ..operators.intervals import counts_within
 from ..plans import pipeline as L
@@ -87,11 +88,12 @@ def pr_select(spark, d):
     return P.selection(q.join(s, "g"), "q").select("q", "section", "score")
 
 
-@query("WITH i AS (SELECT DISTINCT item_id, unnest(string_split(lower(text), ' ')) AS w FROM benchmark), n AS (SELECT DISTINCT c_custkey, unnest(string_split(lower(c_mktsegment), ' ')) AS w FROM customer), h AS (SELECT item_id, c_custkey, count(*) AS common FROM i JOIN n USING (w) GROUP BY ALL) SELECT item_id, c_custkey, common FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY common DESC, c_custkey) AS r FROM h) WHERE r = 1")
+@query("WITH i AS (SELECT DISTINCT item_id, unnest(string_split(lower(text), ' ')) AS w FROM benchmark), n AS (SELECT DISTINCT page_id, unnest(string_split(lower(regexp_extract(html, '<h1[^>]*>([^<]*)</h1>', 1)), ' ')) AS w FROM pages), h AS (SELECT item_id, page_id, count(*) AS common FROM i JOIN n USING (w) GROUP BY ALL) SELECT item_id, page_id, common FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY common DESC, page_id) AS r FROM h) WHERE r = 1")
 def pr_related_drawing(spark, d):
     i = table(spark, d, "benchmark").select("item_id", F.split(F.lower("text"), " ").alias("w"))
-    n = table(spark, d, "customer").select("c_custkey", F.split(F.lower("c_mktsegment"), " ").alias("nw"))
-    return P.best_name(i, n, "item_id", "w", "c_custkey", "nw")
+    # pages stand for drawings, their headings for the titles
+    n = table(spark, d, "pages").select("page_id", F.split(F.lower(F.regexp_extract("html", "<h1[^>]*>([^<]*)</h1>", 1)), " ").alias("nw"))
+    return P.best_name(i, n, "item_id", "w", "page_id", "nw")
 
 
 @query(
@@ -163,10 +165,33 @@ def pl_rescue(spark, d):
     return L.within_budget(r, ["document_id"], "page", "vlm", 2, "local").select("document_id", "page", "route")
 
 
-@query("SELECT doc_id, coalesce(source, 'unknown') AS industry, left(text, 20) AS summary, CASE WHEN doc_id % 2 = 0 THEN 'kept' ELSE 'heuristic' END AS doc_type FROM documents")
+_TAGS = f"""{BLOCKS}, c AS (SELECT document_id, block_order, text, type, max(CASE WHEN type = 'heading' THEN block_order END) OVER (PARTITION BY document_id ORDER BY block_order ROWS UNBOUNDED PRECEDING) AS h FROM blocks),
+  k AS (SELECT c.document_id, c.block_order, c.text, s.text AS section, CASE WHEN c.block_order % 3 = 0 THEN 'manual' END AS doc_type, source FROM c LEFT JOIN blocks s ON s.document_id = c.document_id AND s.block_order = h JOIN documents ON doc_id = c.document_id WHERE c.type = 'text'),
+  w AS (SELECT document_id, block_order, unnest(regexp_extract_all(lower(text), '[a-z]{{4,}}')) AS word, unnest(range(0, len(regexp_extract_all(lower(text), '[a-z]{{4,}}')))) AS place FROM k),
+  n AS (SELECT document_id, block_order, word, count(*) AS n, min(place) AS first FROM w WHERE word NOT IN ('that', 'with') GROUP BY ALL),
+  t AS (SELECT document_id, block_order, string_agg(word, ',' ORDER BY n DESC, first) AS keywords FROM (SELECT *, row_number() OVER (PARTITION BY document_id, block_order ORDER BY n DESC, first) AS r FROM n) WHERE r <= 5 GROUP BY ALL),
+  e AS (SELECT document_id, block_order, coalesce(source, 'unknown') AS industry, coalesce(doc_type, CASE WHEN regexp_matches(lower(text), '\\b(step|install|press)\\b') THEN 'procedure' ELSE 'reference' END) AS doc_type, section, keywords,
+    CASE WHEN length(trim(text)) < 80 THEN NULL ELSE nullif(trim(regexp_extract(text, '^[^.!?]*[.!?]')), '') END AS summary, length(trim(text)) < 80 AS short FROM k LEFT JOIN t USING (document_id, block_order))"""
+
+
+def _tagged(spark, d):
+    """Text blocks as chunks with some tags of their own, enriched by rules."""
+    b = blocks(spark, d)
+    past = Window.partitionBy("document_id").orderBy("block_order").rowsBetween(Window.unboundedPreceding, 0)
+    named = b.withColumn("section", F.last(F.when(F.col("type") == "heading", F.col("text")), ignorenulls=True).over(past)).where("type = 'text'")
+    chunks = named.join(table(spark, d, "documents").select(F.col("doc_id").alias("document_id"), F.col("source").alias("industry")), "document_id")
+    kind = F.when(F.col("text").rlike("(?i)\\b(step|install|press)\\b"), "procedure").otherwise("reference")
+    return E.tags(chunks.withColumn("doc_type", F.when(F.col("block_order") % 3 == 0, "manual")), ["document_id", "block_order"], "text", defaults={"industry": F.lit("unknown"), "doc_type": kind, "section": F.lit(None).cast("string")}, stop=("that", "with"))
+
+
+@query(f"WITH {_TAGS} SELECT document_id, block_order, industry, doc_type, section, keywords, summary, CASE WHEN short THEN 'short' WHEN summary IS NULL THEN 'failed' ELSE 'done' END AS outcome FROM e")
 def en_tags(spark, d):
-    docs = table(spark, d, "documents").withColumn("doc_type", F.when(F.col("doc_id") % 2 == 0, "kept"))
-    return docs.select("doc_id", F.coalesce("source", F.lit("unknown")).alias("industry"), F.left("text", F.lit(20)).alias("summary"), F.coalesce("doc_type", F.lit("heuristic")).alias("doc_type"))
+    return _tagged(spark, d).select("document_id", "block_order", "industry", "doc_type", "section", F.array_join("keywords", ",").alias("keywords"), "summary", "outcome")
+
+
+@query(f"WITH {_TAGS} SELECT document_id, count(*) AS chunks, count(*) FILTER (WHERE short) AS short, count(*) FILTER (WHERE NOT short AND summary IS NULL) AS failed FROM e GROUP BY document_id", name="en_tags_counts")
+def en_tags_counts(spark, d):
+    return E.outcomes(_tagged(spark, d), ["document_id"])
 
 
 @query()

@@ -34,11 +34,11 @@ def flt_running_header(spark, d):
 
 
 @query(
-    f"""WITH {BLOCKS}, c AS (SELECT document_id, block_order, unnest(w) AS t, unnest(range(0, len(w))) AS i, type = 'table' AS structured FROM (SELECT *, string_split(CASE WHEN block_order % 4 = 0 THEN block_order || '-' || document_id || ' xiv ' || text ELSE text END, ' ') AS w FROM blocks WHERE block_order < 6))
+    f"""WITH {BLOCKS}, c AS (SELECT document_id, block_order, unnest(w) AS t, unnest(range(0, len(w))) AS i, type = 'table' AS structured FROM (SELECT *, string_split(CASE WHEN block_order % 4 = 0 THEN block_order || '-' || document_id || ' xiv ' || text ELSE text END, ' ') AS w FROM blocks))
     SELECT document_id, block_order, CAST(i AS INTEGER) AS i, t FROM c WHERE structured OR NOT (regexp_matches(trim(t), '^[0-9]+(-[0-9]+)?$') OR regexp_matches(trim(t), '^[iIvVxXlLcCdDmM]+$') OR length(trim(t)) <= 3)"""
 )
 def flt_tiny_chunk(spark, d):
-    b = blocks(spark, d).where("block_order < 6")  # words as chunks, with some numbers and numerals among them
+    b = blocks(spark, d)  # words as chunks, with some numbers and numerals among them
     said = F.when(F.col("block_order") % 4 == 0, F.concat(F.col("block_order").cast("string"), F.lit("-"), F.col("document_id").cast("string"), F.lit(" xiv "), F.col("text"))).otherwise(F.col("text"))
     c = b.select("document_id", "block_order", F.posexplode(F.split(said, " ")).alias("i", "t"), (F.col("type") == "table").alias("structured"))
     return c.where(~X.is_tiny(F.col("t"), F.lit(1), F.col("structured"))).select("document_id", "block_order", "i", "t")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import text as X
 from ..registry import query, table
-from ..sources.fixtures import BLOCKS, BOXES, TABLES, blocks, boxes, cell_tables
+from ..sources.fixtures import BLOCKS, BOXES, SAID, TABLES, blocks, boxes, cell_tables, said
 
 
 @query("SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS BIGINT) AS n_tokens FROM documents")
@@ -247,15 +247,15 @@ def fn_l2_normalize(spark, d):
     return table(spark, d, "embeddings").select("vec_id", F.round(F.reduce(v, F.lit(0.0), lambda a, x: a + x * x), 6).alias("norm"))
 
 
-@query("SELECT conv_id, turn, regexp_matches(lower(text), 'not found in|i don''t know|no information') AS refusal FROM conversations")
+@query(f"WITH {SAID} SELECT conv_id, turn, regexp_matches(lower(text), 'not found in|i don''t know|no information') AS refusal FROM said")
 def fn_refusal(spark, d):
-    return table(spark, d, "conversations").select("conv_id", "turn", X.is_refusal(F.col("text")).alias("refusal"))
+    return said(spark, d).select("conv_id", "turn", X.is_refusal(F.col("text")).alias("refusal"))
 
 
-@query("SELECT conv_id, turn, trim(regexp_replace(lower(text), '[^a-z ]', '', 'g')) IN ('hi', 'hello', 'hey', 'good morning', 'good afternoon', 'good evening', 'thanks', 'thank you') AS greeting, regexp_matches(text, '(?i)\\b(list all|all the|every|overview|summar(y|ise|ize)|compare|everything)\\b') AS broad, regexp_matches(text, '(?is)(^|\\n)\\s*(step\\s+\\d+|\\(?\\d+[.)])\\s+\\S') AS steps FROM conversations", name="fn_greeting")
+@query("WITH " + SAID + " SELECT conv_id, turn, trim(regexp_replace(lower(text), '[^a-z ]', '', 'g')) IN ('hi', 'hello', 'hey', 'good morning', 'good afternoon', 'good evening', 'thanks', 'thank you') AS greeting, regexp_matches(text, '(?i)\\b(list all|all the|every|overview|summar(y|ise|ize)|compare|everything)\\b') AS broad, regexp_matches(text, '(?is)(^|\\n)\\s*(step\\s+\\d+|\\(?\\d+[.)])\\s+\\S') AS steps FROM said", name="fn_greeting")
 def fn_greeting(spark, d):
     t = F.col("text")
-    return table(spark, d, "conversations").select("conv_id", "turn", X.is_greeting(t).alias("greeting"), X.is_broad(t).alias("broad"), X.has_steps(t).alias("steps"))
+    return said(spark, d).select("conv_id", "turn", X.is_greeting(t).alias("greeting"), X.is_broad(t).alias("broad"), X.has_steps(t).alias("steps"))
 
 
 @query("SELECT p_partkey, CASE WHEN n <= 26 THEN chr(CAST(64 + n AS INT)) WHEN n <= 702 THEN chr(CAST(65 + ((n - 1) // 26 - 1) % 26 AS INT)) || chr(CAST(65 + (n - 1) % 26 AS INT)) ELSE chr(CAST(65 + (((n - 1) // 26 - 1) // 26 - 1) % 26 AS INT)) || chr(CAST(65 + ((n - 1) // 26 - 1) % 26 AS INT)) || chr(CAST(65 + (n - 1) % 26 AS INT)) END AS letters FROM (SELECT p_partkey, p_partkey % 18000 + 1 AS n FROM part)")
