@@ -90,10 +90,13 @@ def title_from_filename(name: Column) -> Column:
 # ---------------------------------------------------------------- codes and headings
 
 
+# Fixed value: what stands in a text as a component code (letters and digits together)
+CODE_TOKEN = "\\b(?=[A-Za-z0-9][A-Za-z0-9\\-*/.]{2,}\\b)(?=[A-Za-z0-9\\-*/.]*[A-Za-z])(?=[A-Za-z0-9\\-*/.]*\\d)[A-Za-z0-9][A-Za-z0-9\\-*/.]*\\b"
+
+
 def component_codes(text: Column) -> Column:
     """Sorted distinct tokens of letters and digits together, upper case."""
-    token = "\\b(?=[A-Za-z0-9][A-Za-z0-9\\-*/.]{2,}\\b)(?=[A-Za-z0-9\\-*/.]*[A-Za-z])(?=[A-Za-z0-9\\-*/.]*\\d)[A-Za-z0-9][A-Za-z0-9\\-*/.]*\\b"
-    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(token), F.lit(0))
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(CODE_TOKEN), F.lit(0))
     codes = F.transform(found, lambda c: F.regexp_replace(F.upper(c), "^[.\\-]+|[.\\-]+$", ""))
     keep = F.filter(codes, lambda c: (F.length(c) >= 3) & ~F.regexp_replace(c, "\\.", "").rlike("^[0-9]+$"))
     return F.array_sort(F.array_distinct(keep))
@@ -139,6 +142,8 @@ def list_item(text: Column, marker: Column) -> Column:
 
 # ---------------------------------------------------------------- broken text
 
+# Glyphs that text recognition leaves, and the shares of them and of
+# words without a vowel above which a text or line counts as garbled
 _STRAY = "[À-ÿƐ-ʒ¿¶]"
 _LONG = "[A-Za-z]{4,}"
 

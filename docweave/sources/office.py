@@ -11,8 +11,8 @@ Where only Spark reaches the store, :func:`office_blocks` does the same over a
 frame of binary files.
 
 Blocks of a file are numbered in the order: paragraphs, tables, images of a
-document; text, tables, images of each slide; table, formulas, pivots of each
-sheet. Blank paragraphs and empty rows and columns of a sheet make no block.
+document; text, tables, images of each slide; table, formulas, pivots, images of
+each sheet. Blank paragraphs and empty rows and columns of a sheet make no block.
 """
 
 from __future__ import annotations
@@ -295,6 +295,8 @@ def workbook_blocks(content: bytes) -> Iterator[Block]:
         yield from formulas
         for target in package.targets(name, "pivotTable"):
             yield from _pivot(package, target, title, number)
+        for drawing in package.targets(name, "drawing"):
+            yield from package.images(drawing, number)
 
 
 READERS = {"docx": word_blocks, "pptx": slide_blocks, "xlsx": workbook_blocks, "xlsm": workbook_blocks}

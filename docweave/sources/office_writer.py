@@ -69,9 +69,9 @@ def slide_file(slides: list[tuple[list[str], list[list[list[str]]], str]]) -> by
     return _zip(parts)
 
 
-def workbook_file(title: str, rows: list[list[str | float]], formulas: dict[str, str] | None = None, *, pivot: bool = True) -> bytes:
-    """A sheet (texts as shared strings, formulas by cell) and, with ``pivot``,
-    a pivot table over it whose cache holds all rows; texts are shared items."""
+def workbook_file(title: str, rows: list[list[str | float]], formulas: dict[str, str] | None = None, *, pivot: bool = True, images: list[bytes] = ()) -> bytes:
+    """A sheet (texts as shared strings, formulas by cell) with images and, with
+    ``pivot``, a pivot table whose cache holds all rows; texts are shared items."""
     strings: dict[str, int] = {}
     cells = []
     for r, row in enumerate(rows, 1):
@@ -92,18 +92,26 @@ def workbook_file(title: str, rows: list[list[str | float]], formulas: dict[str,
         "xl/worksheets/sheet1.xml": f'<worksheet xmlns="{_SHEET}"><sheetData>{"".join(cells)}</sheetData></worksheet>',
         "xl/sharedStrings.xml": f'<sst xmlns="{_SHEET}">' + "".join(f"<si><t>{_said(s)}</t></si>" for s in strings) + "</sst>",
     }
+    sheet_relations = []
+    if images:
+        sheet_relations.append(("rIdD", "drawing", "../drawings/drawing1.xml"))
+        parts["xl/drawings/drawing1.xml"] = f'<xdr:wsDr xmlns:xdr="{_DRAW}"/>'
+        parts["xl/drawings/_rels/drawing1.xml.rels"] = _relations(*((f"rId{k}", "image", f"../media/image{k}.png") for k in range(1, len(images) + 1)))
+        parts |= {f"xl/media/image{k}.png": i for k, i in enumerate(images, 1)}
     if pivot:
+        sheet_relations.append(("rId1", "pivotTable", "../pivotTables/pivotTable1.xml"))
         heads, body = rows[0], rows[1:]
         shared = [list(dict.fromkeys(clean(r[k]) for r in body if isinstance(r[k], str))) for k in range(len(heads))]
         fields = "".join(f"<cacheField name={quoteattr(str(h))}><sharedItems>" + "".join(f"<s v={quoteattr(s)}/>" for s in items) + "</sharedItems></cacheField>" for h, items in zip(heads, shared))
         places = [{s: n for n, s in enumerate(items)} for items in shared]
         item = lambda k, v: f'<x v="{places[k][clean(v)]}"/>' if isinstance(v, str) else f'<n v="{v}"/>'
         parts |= {
-            "xl/worksheets/_rels/sheet1.xml.rels": _relations(("rId1", "pivotTable", "../pivotTables/pivotTable1.xml")),
             "xl/pivotTables/pivotTable1.xml": f'<pivotTableDefinition xmlns="{_SHEET}" name="Pivot1"/>',
             "xl/pivotTables/_rels/pivotTable1.xml.rels": _relations(("rId1", "pivotCacheDefinition", "../pivotCache/pivotCacheDefinition1.xml")),
             "xl/pivotCache/pivotCacheDefinition1.xml": f'<pivotCacheDefinition xmlns="{_SHEET}"><cacheSource type="worksheet"><worksheetSource ref="A1:{end}" sheet={quoteattr(title)}/></cacheSource><cacheFields>{fields}</cacheFields></pivotCacheDefinition>',
             "xl/pivotCache/_rels/pivotCacheDefinition1.xml.rels": _relations(("rId1", "pivotCacheRecords", "pivotCacheRecords1.xml")),
             "xl/pivotCache/pivotCacheRecords1.xml": f'<pivotCacheRecords xmlns="{_SHEET}">' + "".join("<r>" + "".join(item(k, v) for k, v in enumerate(r)) + "</r>" for r in body) + "</pivotCacheRecords>",
         }
+    if sheet_relations:
+        parts["xl/worksheets/_rels/sheet1.xml.rels"] = _relations(*sheet_relations)
     return _zip(parts)

@@ -116,3 +116,14 @@ def src_excel_formula(spark, d):
 def src_excel_pivot(spark, d):
     cache = _workbooks(spark, d).where("type = 'pivot'").select("l_suppkey", F.col("style").alias("pivot"), F.col("ref").alias("source_range"), F.explode("rows").alias("row"))
     return cache.groupBy("l_suppkey", "pivot", "source_range", F.get("row", 0).alias("flag"), F.get("row", 1).alias("status")).agg(F.count("*").alias("records"), F.sum(F.get("row", 3).cast("long")).alias("quantity"))
+
+
+@query("SELECT page_id, CAST(sha256(html) AS VARCHAR) AS digest, kind FROM pages, (VALUES ('docx'), ('xlsx')) t(kind)", name="src_excel_images")
+def src_excel_images(spark, d):
+    """Pictures in documents and workbooks: each page's bytes stand for one."""
+    folder = shared_folder(spark, "pictures")
+    pages = table(spark, d, "pages").select("page_id", "html")
+    _files(pages, folder, "docx", lambda i, html: office_writer.word_file([("Normal", str(i))], [], [html.encode()]))
+    _files(pages, folder, "xlsx", lambda i, html: office_writer.workbook_file("S", [["page"], [i]], images=[html.encode()]))
+    found = _read(spark, folder).where("type = 'image_caption'")
+    return found.select(F.col("document_id").alias("page_id"), "digest", F.regexp_extract("path", "([a-z]+)$", 1).alias("kind"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..registry import query, table
 from ..sources.shared import shared_folder, write_file
 from ..sources.watch import watch_folder
+from ..streaming import guards
 from ..streaming import stateful as T
 from .guards import quota_sql
 
@@ -82,3 +83,35 @@ def src_dir_watch(spark, d):
         told = files.select(F.regexp_extract("name", "^([0-9]+)", 1).cast("long").alias("page_id"), "size", F.sha2("content", 256).alias("digest"), F.lit(wave).cast("long").alias("wave"))
         T.run_to_files(told, out, checkpoint)
     return spark.read.parquet(out)
+
+
+@query("SELECT 'all' AS place, event_id FROM events UNION ALL SELECT 'security', event_id FROM events WHERE event_type IN ('error', 'purchase')", name="snk_logs")
+def snk_logs(spark, d):
+    """All events to one sink, the security ones to another too, over a restart."""
+    landed, every, security, checkpoint = (shared_folder(spark, k) for k in ("landed", "all", "security", "checkpoint"))
+    events = _events(spark, d)
+    stream = spark.readStream.schema(events.schema).parquet(f"{landed}/*")
+    for k in (0, 1):
+        events.where(F.col("event_id") % 2 == k).write.parquet(f"{landed}/part={k}")
+        guards.write_batches(stream, guards.two_sinks(every, security, ("error", "purchase")), checkpoint).awaitTermination()
+    told = lambda path, place: spark.read.parquet(path).select(F.lit(place).alias("place"), "event_id")
+    return told(every, "all").unionByName(told(security, "security"))
+
+
+@query("SELECT sha256(html) AS digest, CAST(octet_length(encode(html)) AS BIGINT) AS size FROM pages GROUP BY ALL", name="st_watch")
+def st_watch(spark, d):
+    """Every page lands twice, in two waves under other names; contents count once."""
+    folder, done, out, checkpoint = (shared_folder(spark, k) for k in ("inbox", "done", "out", "checkpoint"))
+    files = watch_folder(spark, folder, done, stable_seconds=0.2, max_files=100_000)
+    told = files.select(F.sha2("content", 256).alias("digest"), "size").dropDuplicates(["digest"])
+    for wave in (0, 1):
+
+        def write(batches, wave=wave):
+            for b in batches:
+                for i, html in zip(*(c.to_pylist() for c in b.columns)):
+                    write_file(folder, f"{wave}-{i}.html", (html or "").encode())
+                yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
+
+        table(spark, d, "pages").select("page_id", "html").mapInArrow(write, "n long").agg(F.sum("n")).first()
+        T.run_to_files(told, out, checkpoint)
+    return spark.read.parquet(out)
