@@ -26,6 +26,7 @@ import json
 import re
 import struct
 from collections.abc import Iterable, Iterator
+from functools import cached_property
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -184,20 +185,18 @@ class Merger:
         return [self._merge(w) if bad or p is None else p for w, p, bad in zip(words, proposed, failed.tolist())]
 
 
-#: bytes that a worker keeps of chunks, and as many of words, between texts
-CACHE_BYTES = 48 << 20
+#: bytes that a worker keeps of chunks and of words between texts
+CACHE_BYTES = (72 << 20, 24 << 20)
 
 
 class Tokenizer:
     """Ids and decoded text as the tokenizers library gives them, for BPE files
     that normalise by NFC, white space and lower case and split by a pattern."""
 
-    def __init__(self, path: str, cache_bytes: int = CACHE_BYTES):
-        from tokenizers import Tokenizer as Library
-
+    def __init__(self, path: str, cache_bytes: tuple[int, int] = CACHE_BYTES):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self._library = Library.from_file(path)
+        self._path = path
         self.merger = Merger(spec)
         normal = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
         splits = [p for p in (spec["pre_tokenizer"] or {}).get("pretokenizers", [])]
@@ -212,12 +211,26 @@ class Tokenizer:
         letters = "a-zªµºß-öø-ÿĀ-ſ"
         self._words = re.compile(f"[{letters}]+|[0-9²³¹¼½¾]|'(?:s|t|re|ve|m|ll|d)|[^\\s{letters}0-9²³¹¼½¾]+").findall
         self._bytes = {b: c for c, b in _byte_of().items()}
-        #: ids and decoded text of words, and of chunks between white space
+        #: ids of words, and of chunks between white space
         self._word_ids: dict[str, bytes] = {}
-        self._word_text: dict[str, str] = {}
         self._ids: dict[str, bytes] = {}
-        self._text: dict[str, str] = {}
-        self._most, self._held = cache_bytes, {"words": 0, "chunks": 0}
+        #: what each id is decoded to
+        named = {v: k for k, v in special.items()}
+        tokens = self.merger.tokens
+        ids = [*range(len(tokens))] if isinstance(tokens, list) else list(tokens)
+        self._said = np.full(max([*ids, *named]) + 1, "", object)
+        for i in ids:
+            self._said[i] = tokens[i]
+        for i, token in named.items():
+            self._said[i] = token
+        self._most, self._held = dict(zip(("chunks", "words"), cache_bytes)), {"chunks": 0, "words": 0}
+
+    @cached_property
+    def _library(self):  # noqa: ANN202
+        """Loaded where a text of other characters comes: most workers never need it."""
+        from tokenizers import Tokenizer as Library
+
+        return Library.from_file(self._path)
 
     def _rare_words(self, text: str) -> list[str]:
         """Words of a text of any characters, by the library's own parts."""
@@ -230,45 +243,45 @@ class Tokenizer:
         if not new:
             return
         turn = self._bytes.__getitem__
-        tokens = self.merger.tokens
         for w, ids in zip(new, self.merger.encode([w if w.isascii() and w.isalnum() else "".join(map(turn, w.encode())) for w in new])):
             self._word_ids[w] = struct.pack(f"<{len(ids)}I", *ids)
-            self._word_text[w] = " ".join([tokens[i] for i in ids])
-            self._held["words"] += self._cost(w, self._word_ids, self._word_text)
+            self._held["words"] += self._cost(w, self._word_ids[w])
 
     def _learn(self, chunks: set[str]) -> None:
         split = {c: self._words(c) for c in chunks}
         self._know(set().union(*split.values()))
-        ids, text = self._word_ids.__getitem__, self._word_text.__getitem__
+        ids = self._word_ids.__getitem__
         for c, words in split.items():
             self._ids[c] = b"".join(map(ids, words))
-            self._text[c] = " ".join(map(text, words))
-            self._held["chunks"] += self._cost(c, self._ids, self._text)
+            self._held["chunks"] += self._cost(c, self._ids[c])
 
     @staticmethod
-    def _cost(key: str, ids: dict[str, bytes], text: dict[str, str]) -> int:
-        """About the bytes of an entry: three objects in two tables."""
-        return 350 + 2 * len(key) + len(ids[key]) + 2 * len(text[key])
+    def _cost(key: str, ids: bytes) -> int:
+        """About the bytes of an entry: two objects in a table."""
+        return 190 + 2 * len(key) + len(ids)
 
-    def _trim(self, kind: str, ids: dict[str, bytes], text: dict[str, str]) -> None:
+    def _trim(self, kind: str, ids: dict[str, bytes]) -> None:
         """Over the bound, entries that came late go until half of it is left:
         frequent words are met early."""
-        if self._held[kind] <= self._most:
+        if self._held[kind] <= self._most[kind]:
             return
         kept = 0
         for key in list(ids):
-            cost = self._cost(key, ids, text)
-            if kept + cost > self._most // 2:
-                del ids[key], text[key]
+            cost = self._cost(key, ids[key])
+            if kept + cost > self._most[kind] // 2:
+                del ids[key]
             else:
                 kept += cost
         self._held[kind] = kept
 
+    def _decoded(self, ids: bytes) -> str:
+        return " ".join(self._said[np.frombuffer(ids, "<u4")].tolist())
+
     def encode(self, texts: list[str | None]) -> Iterator[tuple[bytes, str]]:
         """For each text (none: empty) its ids as unsigned 32-bit integers, and
         the decoded text; unknown words of all the texts are learnt at once."""
-        self._trim("chunks", self._ids, self._text)
-        self._trim("words", self._word_ids, self._word_text)
+        self._trim("chunks", self._ids)
+        self._trim("words", self._word_ids)
         # plain texts as chunks; others as a list of words and special ids
         plain: list[list[str] | None] = []
         other: dict[int, list[str | int]] = {}
@@ -288,17 +301,13 @@ class Tokenizer:
             other[n] = split
         self._know(words)
         self._learn(unknown.difference(self._ids))
-        named = {v: k for k, v in self._special.items()}
-        ids_of, text_of = self._ids.__getitem__, self._text.__getitem__
+        ids_of = self._ids.__getitem__
         for n, chunks in enumerate(plain):
             if chunks is not None:
-                yield b"".join(map(ids_of, chunks)), " ".join(map(text_of, chunks))
+                ids = b"".join(map(ids_of, chunks))
             else:
-                split = other[n]
-                yield (
-                    b"".join(self._word_ids[w] if isinstance(w, str) else struct.pack("<I", w) for w in split),
-                    " ".join(self._word_text[w] if isinstance(w, str) else named[w] for w in split),
-                )
+                ids = b"".join(self._word_ids[w] if isinstance(w, str) else struct.pack("<I", w) for w in other[n])
+            yield ids, self._decoded(ids)
 
 
 _kept: dict[str, Tokenizer] = {}

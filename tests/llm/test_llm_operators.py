@@ -334,7 +334,7 @@ def test_bpe_equals_library(fixture_texts):
     texts += ["".join(rng.choice("aab") for _ in range(rng.randrange(1, 40))) for _ in range(300)]
     texts += ["".join(rng.choice("abcdeinstr'0 .-ée") for _ in range(300)) for _ in range(100)]
     texts += ["".join(chr(rng.choice((rng.randrange(32, 0x250), rng.randrange(32, 0x3000)))) for _ in range(60)) for _ in range(100)]
-    tok = bpe.Tokenizer(WORDS, cache_bytes=20_000)
+    tok = bpe.Tokenizer(WORDS, cache_bytes=(20_000, 20_000))
     lib = tok._library
     got = [x for i in range(0, len(texts), 40) for x in tok.encode(texts[i : i + 40])]
     for t, (ids, decoded) in zip(texts, got):
@@ -694,10 +694,10 @@ def test_automaton_equals_plain_windows():
 
 
 def test_bpe_caches_are_bounded_by_bytes():
-    tok = bpe.Tokenizer(WORDS, cache_bytes=1 << 20)
+    tok = bpe.Tokenizer(WORDS, cache_bytes=(1 << 20, 1 << 20))
     for k in range(30):
         list(tok.encode([" ".join(f"{k}x{i}" + "y" * 2000 for i in range(40)), "the and of"]))
         list(tok.encode(["the"]))
         assert max(tok._held.values()) <= 1 << 20
-        assert sum(map(len, tok._ids)) + sum(map(len, tok._text.values())) <= 1 << 20
+        assert sum(map(len, tok._ids)) + sum(map(len, tok._ids.values())) <= 1 << 20
     assert "the" in tok._ids
