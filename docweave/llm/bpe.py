@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._resident import resident, tidy
 from .token_files import _byte_of
 
 _NONE = np.int64(2**31)
@@ -310,7 +311,7 @@ class Tokenizer:
             yield ids, self._decoded(ids)
 
 
-_kept: dict[str, Tokenizer] = {}
+_kept: dict[str, Tokenizer] = resident()
 
 
 def _tokenizer(path: str) -> Tokenizer:
@@ -343,7 +344,7 @@ def encode(docs: DataFrame, *, tokenizer: str, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: len(columns)])
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * contents
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), schema)
 
 
 def decode(ids: Iterable[int], path: str) -> str:

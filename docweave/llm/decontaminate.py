@@ -38,6 +38,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._resident import resident
 from ._scratch import cut, new_path, release
 from ._words import ALNUM, Words, blocks
 
@@ -323,7 +324,7 @@ class Finder:
         return {k: (merged(s), i) for k, (s, i) in found.items()}
 
 
-_kept: dict[str, Finder] = {}
+_kept: dict[str, Finder] = resident()
 
 
 def _found(batches, place: int, items: Items) -> Iterator[tuple[pa.RecordBatch, np.ndarray, dict]]:

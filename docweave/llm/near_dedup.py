@@ -37,6 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._resident import tidy
 from ._scratch import cut, release
 from ._words import NOT_SPACE, blocks, shingles
 
@@ -81,7 +82,7 @@ def sketches(docs: DataFrame, width: int, k: int) -> DataFrame:
                     [batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), _lists(sketch), _lists(bits)], ["doc_id", "n", "digest", "sketch", "bits"]
                 )
 
-    return docs.mapInArrow(run, "doc_id long, n long, digest binary, sketch array<long>, bits array<long>")
+    return docs.mapInArrow(tidy(run, alone=True), "doc_id long, n long, digest binary, sketch array<long>, bits array<long>")
 
 
 def _full_sets(docs: DataFrame, width: int, bits: np.ndarray) -> DataFrame:
@@ -96,7 +97,7 @@ def _full_sets(docs: DataFrame, width: int, bits: np.ndarray) -> DataFrame:
                 batch = picked.slice(at, 512)
                 yield pa.RecordBatch.from_arrays([batch.column(0), _lists([s for _, s in _sets(batch, width)])], ["doc_id", "full"])
 
-    return docs.mapInArrow(run, "doc_id long, full array<long>")
+    return docs.mapInArrow(tidy(run, alone=True), "doc_id long, full array<long>")
 
 
 def _bucket(ids: np.ndarray) -> np.ndarray:
@@ -114,7 +115,7 @@ def _some_bits(ids: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([np.packbits(seen).tobytes()], pa.binary())], ["bits"])
 
     bits = np.zeros(_BITS // 8, np.uint8)
-    for row in ids.coalesce(16).mapInArrow(run, "bits binary").toLocalIterator():
+    for row in ids.coalesce(16).mapInArrow(tidy(run, alone=True), "bits binary").toLocalIterator():
         bits |= np.frombuffer(row[0], np.uint8)
     return np.unpackbits(bits).astype(bool)
 
@@ -139,7 +140,7 @@ def _frequent(classes: DataFrame, at_most: int = 1 << 18) -> tuple[np.ndarray, n
         if held:
             yield flush()
 
-    counted = classes.select("sketch").mapInArrow(run, "v long, c long").groupBy("v").agg(F.sum("c").alias("c"))
+    counted = classes.select("sketch").mapInArrow(tidy(run, alone=True), "v long, c long").groupBy("v").agg(F.sum("c").alias("c"))
     rows = counted.where("c >= 16").orderBy(F.desc("c"), "v").limit(at_most).toArrow()
     v, c = rows.column("v").to_numpy(), rows.column("c").to_numpy()
     order = np.argsort(v)
@@ -183,7 +184,7 @@ def _prefixes(classes: DataFrame, k: int, num: int, den: int) -> DataFrame:
             columns = [pa.array(sketch[chosen]), b.column(0).take(pa.array(rows)), b.column(1).take(pa.array(rows)), pa.array(need[rows].astype(np.int32))]
             yield pa.RecordBatch.from_arrays(columns, ["v", "rep", "n", "need"])
 
-    return classes.select("rep", "n", "sketch").mapInArrow(run, "v long, rep long, n long, need int")
+    return classes.select("rep", "n", "sketch").mapInArrow(tidy(run, alone=True), "v long, rep long, n long, need int")
 
 
 def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, k: int, num: int, den: int) -> DataFrame:
