@@ -183,7 +183,7 @@ def evidence(spark, d):
     t = F.col("event_type")
     stage = F.when(t == "view", "input").when(t == "click", "retrieval").otherwise("output")
     hard = (t == "error") & (F.col("event_id") % 7 == 0)
-    return table(spark, d, "events").select(F.floor(F.col("event_id") / 4).alias("request"), stage.alias("stage"), (F.floor("value") % 60).alias("risk_score"), hard.alias("hard_block"))
+    return table(spark, d, "events").select("event_id", F.floor(F.col("event_id") / 4).alias("request"), stage.alias("stage"), (F.floor("value") % 60).alias("risk_score"), hard.alias("hard_block"))
 
 
 @query(
