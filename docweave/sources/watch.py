@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow.fs as pafs
 from pyspark.sql import SparkSession
@@ -25,9 +26,13 @@ def _open(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
 
 
+#: files and bytes that one task reads
+_FILES, _BYTES = 256, 32 << 20
+
+
 class _Taken(InputPartition):
-    def __init__(self, key: str):
-        self.key = key
+    def __init__(self, keys: list[str]):
+        self.keys = keys
 
 
 class FolderReader(DataSourceStreamReader):
@@ -55,17 +60,29 @@ class FolderReader(DataSourceStreamReader):
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         old = set(start["files"])
-        return [_Taken(k) for k in end["files"] if k not in old]
+        groups: list[list[str]] = []
+        held = 0
+        for k in (k for k in end["files"] if k not in old):
+            size = int(k.split(_SPLIT)[1])
+            if not groups or len(groups[-1]) >= _FILES or held + size > _BYTES:
+                groups.append([])
+                held = 0
+            groups[-1].append(k)
+            held += size
+        return [_Taken(g) for g in groups]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        name, size, _ = partition.key.split(_SPLIT)
+        for key in partition.keys:
+            yield self._content(key)
+
+    def _content(self, key: str) -> tuple:
+        name, size, _ = key.split(_SPLIT)
         for place in (self.folder, self.done):
             if place:
                 fs, base = _open(place)
                 try:
                     with fs.open_input_stream(f"{base}/{name}") as f:
-                        yield (name, int(size), f.read())
-                    return
+                        return (name, int(size), f.read())
                 except FileNotFoundError:
                     continue
         raise FileNotFoundError(f"{name} is neither in the folder nor among those done")
@@ -78,10 +95,9 @@ class FolderReader(DataSourceStreamReader):
         _, to = _open(self.done)
         fs.create_dir(to, recursive=True)
         here = self._listed()
-        for key in end["files"]:
-            name = key.split(_SPLIT)[0]
-            if here.get(name) == key:
-                fs.move(f"{base}/{name}", f"{to}/{name}")
+        names = [n for n, key in ((k.split(_SPLIT)[0], k) for k in end["files"]) if here.get(n) == key]
+        with ThreadPoolExecutor(16) as pool:
+            list(pool.map(lambda n: fs.move(f"{base}/{n}", f"{to}/{n}"), names))
 
 
 class WatchedFolder(DataSource):
@@ -104,5 +120,3 @@ def watch_folder(spark: SparkSession, folder: str, done: str | None = None, *, s
     spark.dataSource.register(WatchedFolder)
     reader = spark.readStream.format(WatchedFolder.name()).option("stableSeconds", stable_seconds).option("maxFiles", max_files)
     return (reader.option("done", done) if done else reader).load(folder)
-
-

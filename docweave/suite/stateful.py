@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..registry import query, table
-from ..sources.shared import shared_folder, write_file
+from ..sources.shared import shared_folder, spread, write_file
 from ..sources.watch import watch_folder
 from ..streaming import guards
 from ..streaming import stateful as T
@@ -63,24 +63,36 @@ def st_log_batch(spark, d):
     return _streamed(spark, events, lambda s: T.log_batches(s, kind="event_type", ts="ts", item="event_id", lanes=4, wait=_WAIT), end=end)
 
 
+#: files of a micro-batch: all, as a run that ends by itself takes one batch only
+FILES = 1 << 40
+
+
+def _land(pages, folder, prefix=""):
+    """A file for each page; a page without text says so in its name."""
+
+    def write(batches):
+        for b in batches:
+            for i, html in zip(*(c.to_pylist() for c in b.columns)):
+                write_file(folder, f"{prefix}{i}.{'none' if html is None else 'html'}", (html or "").encode())
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
+
+    spread(pages.select("page_id", "html")).mapInArrow(write, "n long").agg(F.sum("n")).first()
+
+
+def _told():
+    """Size and digest of files' contents, null for pages without text."""
+    some = ~F.endswith("name", F.lit(".none"))
+    return F.when(some, F.col("size")).alias("size"), F.when(some, F.sha2("content", 256)).alias("digest")
+
+
 @query("SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS size, sha256(html) AS digest, page_id % 2 AS wave FROM pages", name="src_dir_watch")
 def src_dir_watch(spark, d):
     """Pages land as files in two waves; the stream runs, stops and goes on."""
     folder, done, out, checkpoint = (shared_folder(spark, k) for k in ("inbox", "done", "out", "checkpoint"))
-
-    def land(wave):
-        def write(batches):
-            for b in batches:
-                for i, html in zip(*(c.to_pylist() for c in b.columns)):
-                    write_file(folder, f"{i}.html", (html or "").encode())
-                yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
-
-        table(spark, d, "pages").where(F.col("page_id") % 2 == wave).select("page_id", "html").mapInArrow(write, "n long").agg(F.sum("n")).first()
-
     for wave in (0, 1):
-        land(wave)
-        files = watch_folder(spark, folder, done, stable_seconds=0.2, max_files=100_000)
-        told = files.select(F.regexp_extract("name", "^([0-9]+)", 1).cast("long").alias("page_id"), "size", F.sha2("content", 256).alias("digest"), F.lit(wave).cast("long").alias("wave"))
+        _land(table(spark, d, "pages").where(F.col("page_id") % 2 == wave), folder)
+        files = watch_folder(spark, folder, done, stable_seconds=0.2, max_files=FILES)
+        told = files.select(F.regexp_extract("name", "^([0-9]+)", 1).cast("long").alias("page_id"), *_told(), F.lit(wave).cast("long").alias("wave"))
         T.run_to_files(told, out, checkpoint)
     return spark.read.parquet(out)
 
@@ -102,16 +114,8 @@ def snk_logs(spark, d):
 def st_watch(spark, d):
     """Every page lands twice, in two waves under other names; contents count once."""
     folder, done, out, checkpoint = (shared_folder(spark, k) for k in ("inbox", "done", "out", "checkpoint"))
-    files = watch_folder(spark, folder, done, stable_seconds=0.2, max_files=100_000)
-    told = files.select(F.sha2("content", 256).alias("digest"), "size").dropDuplicates(["digest"])
+    told = watch_folder(spark, folder, done, stable_seconds=0.2, max_files=FILES).select(*_told()).dropDuplicates(["digest"])
     for wave in (0, 1):
-
-        def write(batches, wave=wave):
-            for b in batches:
-                for i, html in zip(*(c.to_pylist() for c in b.columns)):
-                    write_file(folder, f"{wave}-{i}.html", (html or "").encode())
-                yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
-
-        table(spark, d, "pages").select("page_id", "html").mapInArrow(write, "n long").agg(F.sum("n")).first()
+        _land(table(spark, d, "pages"), folder, f"{wave}-")
         T.run_to_files(told, out, checkpoint)
     return spark.read.parquet(out)
