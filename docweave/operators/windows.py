@@ -87,15 +87,8 @@ def merged_boxes(boxes: list[list[float]], least_iou: float = 0.3) -> list[list[
 
 def merge_boxes(boxes: DataFrame, keys: list[str], order: str, least_iou: float = 0.3) -> DataFrame:
     """Boxes of a page (in the order of ``order``) that overlap become one, until
-    none do. A page has few boxes; they are merged together in one Arrow group."""
-    import pandas as pd
-
-    def run(page: pd.DataFrame) -> pd.DataFrame:
-        rest = merged_boxes(page.sort_values(order)[["x0", "y0", "x1", "y1"]].to_numpy().tolist(), least_iou)
-        out = pd.DataFrame(rest, columns=["x0", "y0", "x1", "y1"]).astype("int64")
-        for k in reversed(keys):
-            out.insert(0, k, page[k].iloc[0])
-        return out
-
-    schema = ", ".join(f"{k} long" for k in [*keys, "x0", "y0", "x1", "y1"])
-    return boxes.groupBy(*keys).applyInPandas(run, schema)
+    none do. Pages stream through their tasks; one page's boxes are held."""
+    sides = ["x0", "y0", "x1", "y1"]
+    whole = boxes.select(*(F.col(k).cast("long").alias(k) for k in keys), order, *sides)
+    merged = lambda page: [tuple(map(int, b)) for b in merged_boxes(page, least_iou)]
+    return fold(whole, keys, [order, *sides], sides, list, lambda page, box: page.append(list(box)) or (), ", ".join(f"{c} long" for c in sides), merged)
