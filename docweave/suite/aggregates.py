@@ -80,13 +80,7 @@ def agg_keyword_freq(spark, d):
     SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, word) AS rank FROM c) WHERE rank <= 8"""
 )
 def agg_keyword_cad(spark, d):
-    # counted within the row: a text is never copied beside each of its words
-    low = F.lower("text")
-    found = F.array_distinct(F.regexp_extract_all(low, F.lit("[a-z]{3,}"), F.lit(0)))
-    one = table(spark, d, "documents").select("doc_id", low.alias("t"), found.alias("w"))
-    counted = F.transform("w", lambda w: F.struct((-((F.length("t") - F.length(F.replace(F.col("t"), w))) / F.length(w)).cast("long")).alias("m"), w.alias("word")))
-    best = one.select("doc_id", F.posexplode(F.slice(F.array_sort(counted), 1, 8)).alias("r", "x"))
-    return best.select("doc_id", "x.word", (-F.col("x.m")).alias("n"), (F.col("r") + 1).cast("long").alias("rank"))
+    return A.keyword_occurrences(table(spark, d, "documents"), "doc_id", "text")
 
 
 @query(f"WITH {BLOCKS} SELECT document_id, string_agg(text, chr(10) ORDER BY block_order) AS head FROM blocks WHERE page = 1 GROUP BY document_id")
